@@ -7,18 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import neardup, tables
+from threadloom.llm import neardup, overlap, tables
+from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(scope, id_t, id_e) of weaknesses and papers, and the records."""
+    items, used = tables.overlap_items(spark, d)
+    return overlap.overlapping(cut(items, "items"), {"weakness": 8, "title": 1}), used
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    met, used = _overlaps(spark, d)
+    t = used.where("split = 'train'").select(F.col("weakness_id").alias("id_t"), F.col("record_id").alias("rec_t"))
+    e = used.where("split != 'train'").select(F.col("weakness_id").alias("id_e"), F.col("record_id").alias("rec_e"))
+    records = met.where("scope = 'weakness'").join(t, "id_t").join(e, "id_e").select("scope", F.col("rec_t").alias("a"), F.col("rec_e").alias("b"))
+    papers = met.where("scope = 'title' and id_t != id_e").select("scope", F.col("id_t").alias("a"), F.col("id_e").alias("b"))
+    both = records.union(papers).select(F.col("scope").alias("field_name"), F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+    return both.distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping evaluation records per split and venue of their paper, with the share of all."""
+    met, used = _overlaps(spark, d)
+    hit = met.where("scope = 'weakness'").select(F.col("id_e").alias("weakness_id")).distinct().withColumn("hit", F.lit(1))
+    papers = met.where("scope = 'title' and id_t != id_e").select(F.col("id_e").alias("paper")).distinct().withColumn("paper_hit", F.lit(1))
+    venue = table(spark, d, "paper_context").where("submission_id is not null").groupBy(F.col("submission_id").alias("paper")).agg(F.max("venue").alias("venue"))
+    e = used.where("split != 'train'").join(hit, "weakness_id", "left").join(papers, "paper", "left").join(venue, "paper", "left")
+    return e.groupBy("split", "venue").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"), F.count("paper_hit").alias("n_same_title"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = neardup.near_pairs(tables.near_items(spark, d))
     return found.select(F.col("scope").alias("field_name"), "id_a", "id_b")
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,3 +34,15 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 def paper_of(c: str) -> Column:
     """The submission_id a weakness_id starts with: what stands before _Reviewer_, else the whole."""
     return F.regexp_replace(F.col(c), r"_Reviewer_.*$", "")
+
+
+def overlap_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(scope, id, text, train, eval) of problem 1: weaknesses by weakness_id and titles by paper; and the records."""
+    used = records(spark, d).where("split is not null")
+    sides = [F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("eval")]
+    pairs = latest(table(spark, d, "classified_weakness_pairs"), ["weakness_id"], "classified_at", ["weakness_id", "original_weakness"])
+    papers = latest(table(spark, d, "paper_context"), ["submission_id"], "fetched_at", ["submission_id", "title"])
+    a = used.groupBy("weakness_id").agg(*sides).join(pairs, "weakness_id")
+    b = used.groupBy(F.col("paper").alias("submission_id")).agg(*sides).join(papers, "submission_id")
+    items = a.select(F.lit("weakness").alias("scope"), F.col("weakness_id").alias("id"), F.col("original_weakness").alias("text"), "train", "eval")
+    return items.union(b.select(F.lit("title"), "submission_id", "title", "train", "eval")), used
