@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import neardup, overlap, tables
+from threadloom.llm import conversations, neardup, overlap, tables
 from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("scope").alias("field_name"), "id_a", "id_b")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.discussions(table(spark, d, "thread_events")).select("opener_id", "msg_no", "event_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
