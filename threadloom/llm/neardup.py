@@ -27,7 +27,9 @@ from threadloom.runtime import cut
 #: Texts of one run that are paired inside one task.
 BLOCK = 8192
 #: Pairs that are looked at in one step.
-STEP = 1 << 20
+STEP = 1 << 18
+#: Runs of more texts are compared as matrices.
+TILE = 48
 POSTING = "token long, s1 long, s2 long"
 
 
@@ -53,14 +55,23 @@ def postings(df: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def tile(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, same: bool, threshold: float) -> Iterator[list[np.ndarray]]:
-    """Pairs of x and y that may be near, in steps; same: x is y, each pair once."""
+    """Pairs of x and y that may be near, in steps; same: x is y, each pair once.
+
+    The first 64 bits of the sketches and the sizes are compared for whole tiles, in sixteenths of a word; only what
+    passes there is looked at in full.
+    """
+    share = (1 - threshold) / (1 + threshold) * 16
+    room = lambda s2: np.where(s2 & 255 == 255, 16 * 64, np.ceil((s2 & 255) * share + 1e-9)).astype(np.uint16)
+    rx, ry, u, v = room(x2), room(y2), x1.view(np.uint64), y1.view(np.uint64)
     rows = max(1, STEP // max(1, len(y1)))
     for s in range(0, len(x1), rows):
-        i, j = np.divmod(np.arange(min(rows, len(x1) - s) * len(y1)), len(y1))
+        from_ = s if same else 0
+        apart = np.bitwise_count(u[s : s + rows, None] ^ v[None, from_:]).astype(np.uint16) << np.uint16(4)
+        i, j = np.nonzero(apart <= rx[s : s + rows, None] + ry[None, from_:])
+        i, j = i + s, j + from_
         if same:
-            once = j > i + s
+            once = j > i
             i, j = i[once], j[once]
-        i += s
         near = N.may_be_near(x1[i], x2[i], y1[j], y2[j], threshold)
         i, j = i[near], j[near]
         swap = (x1[i] > y1[j]) | ((x1[i] == y1[j]) & (x2[i] > y2[j]))
@@ -70,7 +81,7 @@ def tile(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, same: b
 def merge_runs(threshold: float):
     """Over rows sorted by token: pairs of each run; of a long run its members, with the number of their block."""
 
-    def small_runs(t: np.ndarray, a: np.ndarray, b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
+    def small_runs(a: np.ndarray, b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
         """Many runs in one step: member i of a run meets the members after it."""
         after = np.repeat(starts + sizes, sizes) - 1
         member = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -95,8 +106,10 @@ def merge_runs(threshold: float):
         t, a, b = t[new], a[new], b[new]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         sizes = np.diff(np.r_[starts, len(t)])
-        some = (sizes > 1) & (sizes <= BLOCK)
-        found = list(small_runs(t, a, b, starts[some], sizes[some]))
+        some = (sizes > 1) & (sizes <= TILE)
+        found = list(small_runs(a, b, starts[some], sizes[some]))
+        for s, k in zip(starts[(sizes > TILE) & (sizes <= BLOCK)], sizes[(sizes > TILE) & (sizes <= BLOCK)], strict=True):
+            found += tile(a[s : s + k], b[s : s + k], a[s : s + k], b[s : s + k], True, threshold)
         if found:
             x = np.unique(np.stack([np.concatenate(p) for p in zip(*found, strict=True)], 1), axis=0)
             k = np.zeros(len(x), np.int64)
@@ -148,6 +161,7 @@ def near_classes(items: DataFrame, min_words: int = 8, threshold: float = N.THRE
     if threshold < N.THRESHOLD:
         raise ValueError(f"the bound on common pairs holds from {N.THRESHOLD} on")
     sets = N.with_sets(items.select("scope", "id", "ts", "text"), "text", ["scope"])
+    sets = cut(sets, "sets")
     valid = sets.where("id is not null").groupBy("scope", "id").agg(F.max(F.struct("ts", "__n", "__s1", "__s2", "__cid")).alias("v"))
     members = cut(valid.where(F.col("v.__n") >= min_words).select("scope", "id", F.col("v.__s1").alias("s1"), F.col("v.__s2").alias("s2"), F.col("v.__cid").alias("c")), "members")
     sets = sets.where(F.col("__n") >= min_words)
