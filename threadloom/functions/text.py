@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space, no-break spaces and zero-width characters, as a regex class body.
-BLANKS = r"\s\x1C-\x1F\x85  ᠎ -‏    ⁠　﻿"
+BLANKS = r"\s\x1C-\x1F\x85\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}"
 
 
 def strip(c: Column) -> Column:
