@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, neardup, overlap, tables
+from threadloom.llm import conversations, neardup, overlap, pieces, tables
 from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.discussions(table(spark, d, "thread_events")).select("opener_id", "msg_no", "event_id")
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversize(tables.snippets(spark, d), table(spark, d, "chunk_limits"), ["weakness_id", "snippet_no"], "list_name")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where(F.size("pieces") > 1).select("weakness_id", "list_name", "snippet_no", "cut_kind")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves."""
+    return _pieces(spark, d).select("weakness_id", "list_name", "snippet_no", F.explode("pieces").alias("p")).select("weakness_id", "list_name", "snippet_no", "p.piece_no", "p.start", "p.text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,3 +46,12 @@ def overlap_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b = used.groupBy(F.col("paper").alias("submission_id")).agg(*sides).join(papers, "submission_id")
     items = a.select(F.lit("weakness").alias("scope"), F.col("weakness_id").alias("id"), F.col("original_weakness").alias("text"), "train", "eval")
     return items.union(b.select(F.lit("title"), "submission_id", "title", "train", "eval")), used
+
+
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """(weakness_id, list_name, snippet_no, text) of the valid rows, both lists."""
+    lists = ["aligned_snippets_task1", "aligned_snippets_task2"]
+    rows = table(spark, d, "enhanced_data_with_snippets_dual").select("weakness_id", "aligned_at", *[F.transform(c, lambda x: x["text"]).alias(c) for c in lists])
+    valid = latest(rows, ["weakness_id"], "aligned_at", ["weakness_id", *lists])
+    one = [valid.select("weakness_id", F.lit(c).alias("list_name"), F.posexplode(c).alias("i", "text")) for c in lists]
+    return one[0].union(one[1]).select("weakness_id", "list_name", (F.col("i") + 1).alias("snippet_no"), "text")
