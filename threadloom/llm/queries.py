@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, neardup, overlap, pieces, tables
+from threadloom.llm import answers, conversations, neardup, overlap, pieces, tables
 from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,13 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("weakness_id", "list_name", "snippet_no", F.explode("pieces").alias("p")).select("weakness_id", "list_name", "snippet_no", "p.piece_no", "p.start", "p.text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["table_name", "record_key", "pair_no"]
+    return answers.judge(cut(tables.answer_pairs(spark, d), "pairs"), keys).select(*keys, "defect")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
