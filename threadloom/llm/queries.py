@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import answers, conversations, neardup, overlap, pieces, tables
+from threadloom.llm import answers, conversations, neardup, overlap, pieces, tables, together
 from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,35 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.judge(cut(tables.answer_pairs(spark, d), "pairs"), keys).select(*keys, "defect")
 
 
+SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, split, root): the valid records with the root of their group."""
+    records = cut(tables.records(spark, d).select("record_id", "paper", "split"), "records")
+    papers = records.select(F.col("paper").alias("node")).distinct()
+    links = tables.paper_authors(spark, d).join(papers, "node", "left_semi")
+    labels, _ = together.spanning_forest(papers, together.star_edges(links))
+    return cut(records.join(labels.withColumnRenamed("node", "paper"), "paper", "left").select("record_id", "split", F.coalesce("root", F.concat(F.lit("record "), "record_id")).alias("root")), "grouped")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    grouped = _groups(spark, d)
+    of = grouped.groupBy("root").agg(F.min("record_id").alias("group_id"), F.min("split").alias("one"), F.max("split").alias("other"))
+    return grouped.join(of.where("one != other").select("root", "group_id"), "root").select("record_id", "group_id")
+
+
+def p7_split(spark: SparkSession, d: str) -> DataFrame:
+    """The new split of every record."""
+    grouped = _groups(spark, d)
+    of = cut(grouped.groupBy("root").agg(F.min("record_id").alias("group_id"), F.count("*").alias("size")), "groups")
+    dealt = together.deal(of.select("group_id", "size"), SHARES)
+    ids = of.select("root", "group_id").join(dealt.select("group_id", "split"), "group_id")
+    return grouped.select("record_id", "root").join(ids, "root").select("record_id", "group_id", "split")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,3 +69,10 @@ def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
     reviews = table(spark, d, "enhanced_reviews").select("weakness_id", "enhanced_at", "original_weakness", F.col("enhanced_review.claim").alias("claim"))
     b = latest(reviews, ["weakness_id"], "enhanced_at", ["weakness_id", "original_weakness", "claim"])
     return a.union(b.select(F.lit("enhanced_reviews"), "weakness_id", F.lit(1), F.col("original_weakness"), F.col("claim")))
+
+
+def paper_authors(spark: SparkSession, d: str) -> DataFrame:
+    """(node, key): paper and author_id, from the valid rows of paper_context."""
+    papers = latest(table(spark, d, "paper_context").select("submission_id", "fetched_at", "participants.authors"), ["submission_id"], "fetched_at", ["submission_id", "authors"])
+    one = papers.select(F.col("submission_id").alias("node"), F.explode("authors").alias("a")).select("node", X.strip(F.col("a.author_id")).alias("key"))
+    return one.where(~X.blank(F.col("key")))
