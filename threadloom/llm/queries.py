@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import answers, conversations, neardup, overlap, pieces, tables, together
+from threadloom.llm import answers, conversations, neardup, overlap, pieces, spam, tables, together
 from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,8 +93,17 @@ def p7_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("record_id", "root").join(ids, "root").select("record_id", "group_id", "split")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.flagged(table(spark, d, "documents")).distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Bits a token of every document with a text."""
+    return spam.scores(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p10_found": p10_found, "p10_scores": p10_scores}
 
 
 def oracle_sql() -> dict[str, str]:
