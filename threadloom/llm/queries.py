@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import answers, conversations, neardup, overlap, pieces, spam, tables, together
+from threadloom.llm import answers, conversations, mixing, neardup, overlap, packing, pieces, spam, tables, together, tokens
 from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,35 @@ def p7_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("record_id", "root").join(ids, "root").select("record_id", "group_id", "split")
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return cut(tokens.with_tokens(table(spark, d, "documents"), "text", ["doc_id", "source"]), "sizes")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of one above the capacity, in a container of each kind."""
+    capacities = {r[0]: r[1] for r in table(spark, d, "container_sizes").select("container_kind", "capacity_tokens").where("container_kind is not null").collect()}  # three rows
+    filled = packing.fill(_sizes(spark, d).select("doc_id", "tokens"), capacities, "doc_id")
+    return filled.withColumnRenamed("kind", "container_kind")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and unused share of each kind."""
+    caps = F.broadcast(table(spark, d, "container_sizes"))
+    each = p8_containers(spark, d).groupBy("container_kind", "container_no").agg(F.sum("tokens").alias("tokens"))
+    by = each.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest")).join(caps, "container_kind")
+    return by.select("container_kind", "capacity_tokens", "containers", "tokens", "fullest", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: each use of each document, in its shuffled order."""
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"), "doc_id")[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"), "doc_id")[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.flagged(table(spark, d, "documents")).distinct()
 
@@ -103,7 +132,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p10_found": p10_found, "p10_scores": p10_scores}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 
 
 def oracle_sql() -> dict[str, str]:
