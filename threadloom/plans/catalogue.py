@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import nested
+from threadloom.plans import nested, retrieval
 
-MODULES = [nested]
+MODULES = [retrieval, nested]
 
 
 def queries() -> dict:
