@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import nested, retrieval
+from threadloom.plans import nested, relational, retrieval, threads
 
-MODULES = [retrieval, nested]
+MODULES = [retrieval, threads, relational, nested]
 
 
 def queries() -> dict:

@@ -72,15 +72,17 @@ def _case_flags_sql() -> str:
 
 
 def phrase_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Points for the phrases of a claim that its documents repeat."""
-    q = claims(spark, d).select("weakness_id", "submission_id", L.phrases(F.col("claim")).alias("p"))
+    """Points for the phrases of a weakness that documents of its paper repeat."""
+    rows = table(spark, d, "classified_weakness_pairs").select("weakness_id", "submission_id", "classified_at", "original_weakness")
+    q = latest(rows, ["weakness_id"], "classified_at", ["weakness_id", "submission_id", "original_weakness"])
     c = texts(spark, d).select("doc_id", "submission_id", L.norm(F.col("text")).alias("t"))
-    return q.join(c, "submission_id").select("weakness_id", "doc_id", F.round(L.phrase_overlap(F.col("p"), F.col("t")), 6).alias("score")).where("score > 0")
+    both = q.select("weakness_id", "submission_id", L.phrases(F.col("original_weakness")).alias("p")).join(c, "submission_id")
+    return both.select("weakness_id", "doc_id", F.round(L.phrase_overlap(F.col("p"), F.col("t")), 6).alias("score")).where("score > 0")
 
 
-_PHRASES = f"list_slice(list_filter(list_transform(string_split_regex({S.norm('claim')}, '[.;:\\n]'), lambda p: {S.strip('p')}), lambda p: length(string_split_regex(p, '\\s+')) BETWEEN 2 AND 18 AND length(p) <= 120), 1, 18)"
+_PHRASES = f"list_slice(list_filter(list_transform(string_split_regex({S.norm('w')}, '[.;:\\n]'), lambda p: {S.strip('p')}), lambda p: length(string_split_regex(p, '\\s+')) BETWEEN 2 AND 18 AND length(p) <= 120), 1, 18)"
 _PHRASE_SQL = f"""
-    WITH q AS (SELECT weakness_id, submission_id, {_PHRASES} AS p FROM {_CLAIMS}),
+    WITH q AS (SELECT weakness_id, submission_id, {_PHRASES} AS p FROM {S.latest("classified_weakness_pairs", "weakness_id", "classified_at", {"submission_id": "submission_id", "w": "original_weakness"})}),
     c AS (SELECT doc_id, submission_id, {S.norm("text")} AS t FROM documents)
     SELECT weakness_id, doc_id, round(least(0.30, 0.05 * length(list_filter(p, lambda x: contains(t, x)))), 6)::DOUBLE AS score
     FROM q JOIN c USING (submission_id) WHERE length(list_filter(p, lambda x: contains(t, x))) > 0"""
