@@ -22,7 +22,7 @@ def number_in_order(df: DataFrame, keys: list[str], order: list[str], name: str
     much the first group of each partition is shifted. Rows equal in keys and order get numbers in no defined order.
     """
     spark = df.sparkSession
-    df = cut(df, "to-number")
+    df = cut(df.drop(name, "__pid", "__no", "__p", "__shift"), "to-number")
     by = [*keys, *order]
     parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__pid", F.spark_partition_id())
     schema = T.StructType([*parts.schema.fields, T.StructField("__no", T.LongType())])

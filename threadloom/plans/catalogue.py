@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import nested, relational, retrieval, threads
+from threadloom.plans import nested, relational, retrieval, rules, sources, threads
 
-MODULES = [retrieval, threads, relational, nested]
+MODULES = [retrieval, threads, relational, rules, sources, nested]
 
 
 def queries() -> dict:
