@@ -49,7 +49,7 @@ def write_document(spark: SparkSession, value: object, path: str) -> None:
 
 
 def read_document(spark: SparkSession, path: str) -> object:
-    return json.loads(spark.read.option("wholetext", "true").text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def write_splits(df: DataFrame, split: str, path: str) -> None:
