@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
@@ -107,6 +107,6 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 17, total: f
     asked = F.broadcast(spark.createDataFrame([(s, share, most) for s, share, most in wanted], "source string, target_share double, max_repeat int"))
     sums = used.groupBy("source").agg(F.sum("tokens").alias("available_tokens"), F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.sum("uses").alias("copies"), F.max("uses").alias("most_uses"))
     report = asked.join(sums, "source", "left").fillna(0, ["available_tokens", "used_tokens", "copies", "most_uses"])
-    all_used = report.agg(F.sum("used_tokens").alias("all_used"))
-    report = report.join(F.broadcast(all_used)).select("source", "target_share", "max_repeat", "available_tokens", "used_tokens", "copies", "most_uses", (F.col("used_tokens") / F.greatest("all_used", F.lit(1))).alias("actual_share"))
+    all_used = F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))  # one row per target source
+    report = report.select("source", "target_share", "max_repeat", "available_tokens", "used_tokens", "copies", "most_uses", (F.col("used_tokens") / F.greatest(all_used, F.lit(1))).alias("actual_share"))
     return mixture, report

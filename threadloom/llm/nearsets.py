@@ -126,6 +126,7 @@ def check_near(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOL
     pairs needn't hold a sketch twice: classes of equal sketch and different __cid are compared as well.
     """
     side = lambda s: classes.select(F.col("__s1").alias(f"{s}1"), F.col("__s2").alias(f"{s}2"), F.col("__cid").alias(s), F.col("text").alias(f"t{s}"))
+    pairs = pairs.where("not (a1 = b1 and a2 = b2)")  # those are compared below
     one = pairs.join(side("a"), ["a1", "a2"]).repartition("b1", "b2").join(side("b"), ["b1", "b2"])
     own = classes.groupBy("__s1", "__s2").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("__cid").alias("c"), F.col("text").alias("t"))).alias("all")).where("n > 1")
     own = own.select("__s1", "__s2", F.explode("all").alias("x"), "all").select("__s1", "__s2", "x", F.explode("all").alias("y")).where("x.c < y.c")

@@ -127,8 +127,10 @@ def across(items: DataFrame, min_words: dict[str, int], threshold: float = N.THR
     side as a; of a class that stands on both sides there is no row, its members overlap anyway.
     """
     sets = N.with_sets(items.select("scope", "id", "text", "train", "eval"), "text", ["scope"])
-    least = F.create_map(*[F.lit(x) for pair in min_words.items() for x in pair])
-    sets = cut(sets.where(F.col("__n") >= F.coalesce(least[F.col("scope")], F.lit(1))), "sets")
+    least = F.lit(1)
+    for scope, n in min_words.items():
+        least = F.when(F.col("scope") == scope, n).otherwise(least)
+    sets = cut(sets.where(F.col("__n") >= least), "sets")
     members = sets.select("scope", "id", "train", "eval", F.col("__s1").alias("s1"), F.col("__s2").alias("s2"), F.col("__cid").alias("c"))
     one = sets.groupBy("__s1", "__s2", "__cid").agg(F.max("train").alias("train"), F.max("eval").alias("eval"), F.first("__h").alias("__h"))
     one = cut(one, "classes")

@@ -32,8 +32,10 @@ STATES = 2048
 def boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Upper bounds of at most `buckets` buckets with the least padding; counts[i] items have length i."""
     top = len(counts) - 1
+    if top <= 0:
+        return np.zeros(0, np.int64)
     step = max(1, -(-top // STATES))
-    ends = np.unique(np.r_[np.arange(step, top + 1, step), top]) if top else np.zeros(0, np.int64)
+    ends = np.unique(np.r_[np.arange(step, top + 1, step), top])
     cum = np.cumsum(counts)[np.r_[0, ends]].astype(np.float64)
     keep = np.r_[True, np.diff(cum) > 0]  # lengths that occur
     cum, ends = cum[keep], np.r_[0, ends][keep]

@@ -49,7 +49,7 @@ def split_oversize(items: DataFrame, limits: DataFrame, keys: list[str], limit_k
     Returns keys, limit_key, max_chars, cut_kind and pieces: array of (piece_no, start, text), start counting from 0.
     """
     small = F.broadcast(limits.select(limit_key, "max_chars", "overlap_chars").where("max_chars > 0").dropDuplicates([limit_key]))
-    big = items.join(small, limit_key).where(F.length("text") > F.col("max_chars"))
+    big = items.select(*keys, limit_key, "text").join(small, limit_key).where(F.length("text") > F.col("max_chars"))
     overlap = F.least(F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)), F.floor(F.col("max_chars") / 2).cast("int"))
     big = big.withColumn("__over", overlap).withColumn("__room", (F.col("max_chars") - F.col("__over")).cast("string"))
     parts = F.regexp_extract_all("text", pattern(F.col("__room")), F.lit(0))

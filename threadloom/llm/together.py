@@ -25,7 +25,7 @@ from threadloom.runtime import cut
 
 def star_edges(pairs: DataFrame) -> DataFrame:
     """pairs (node, key) to edges (a, b) between nodes of one key."""
-    pairs = pairs.where("node is not null and key is not null").distinct()
+    pairs = pairs.where("node is not null and key is not null").select("node", "key").distinct()
     hub = pairs.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     return pairs.join(hub, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
@@ -73,7 +73,7 @@ def quotas(bands: list[tuple[int, int, int]], shares: dict[str, float]) -> list[
 
 def deal(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     """groups (group_id, size) with a split for each."""
-    banded = cut(groups.withColumn("band", F.floor(F.log2("size")).cast("int")), "banded")
+    banded = cut(groups.select("group_id", "size").withColumn("band", F.floor(F.log2("size")).cast("int")), "banded")
     found = [tuple(r) for r in banded.groupBy("band").agg(F.count("*"), F.sum("size")).orderBy(F.desc("band")).collect()]  # at most 64 rows
     plan = quotas(found, shares)
     spark = groups.sparkSession
