@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import answers, conversations, mixing, neardup, overlap, packing, pieces, spam, tables, together, tokens
+from threadloom.llm import answers, conversations, mixing, neardup, oracles, overlap, packing, pieces, spam, tables, together, tokens
 from threadloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,4 +136,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
