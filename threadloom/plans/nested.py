@@ -54,7 +54,44 @@ def _filled(names: list[str]) -> str:
     return " OR ".join(f"NOT regexp_matches(coalesce(CAST(e.{n} AS VARCHAR), ''), '{_BLANK}')" for n in names)
 
 
+
+
+def _opened(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x}->>'$', '^\\s*[\\[{{]') AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
+
+
+def _object(x: str) -> str:
+    o = f"({_opened(x)})"
+    return f"CASE json_type({o}) WHEN 'OBJECT' THEN {o} WHEN 'ARRAY' THEN CASE WHEN json_array_length({o}) = 1 THEN json_extract({o}, '$[0]') END END"
+
+
+def _list(x: str) -> str:
+    o = f"({_opened(x)})"
+    return f"CASE json_type({o}) WHEN 'ARRAY' THEN json_extract({o}, '$[*]') WHEN 'NULL' THEN [] ELSE CASE WHEN {x} IS NULL THEN [] ELSE [{o}] END END"
+
+
+def _item(fields: list[str]) -> str:
+    """True where a JSON entry has a field, or is a text, that isn't blank."""
+    own = " OR ".join(f"NOT regexp_matches(coalesce(e->>'{n}', ''), '{_BLANK}')" for n in fields if n != "value") or "false"
+    return f"CASE json_type(e) WHEN 'OBJECT' THEN {own} WHEN 'NULL' THEN false ELSE NOT regexp_matches(coalesce(e->>'$', ''), '{_BLANK}') END"
+
+
+def _found_sql() -> str:
+    pack = "r := to_json(enhanced_review), p := to_json(paper_context), c := to_json(weakness_category)"
+    whole = f"""
+        WITH t AS (SELECT weakness_id, arg_max(struct_pack({pack}), enhanced_at) AS v FROM enhanced_reviews WHERE weakness_id IS NOT NULL GROUP BY 1),
+        j AS (SELECT line_no, CAST(raw AS JSON) AS j FROM enhanced_raw WHERE json_valid(raw)),
+        l AS (SELECT j->>'weakness_id' AS weakness_id, arg_max(j, line_no) AS j FROM j WHERE json_type(j) = 'OBJECT' AND j->>'weakness_id' IS NOT NULL GROUP BY 1),
+        a AS (SELECT weakness_id, v.r AS r, v.p AS p, v.c AS c FROM t UNION ALL SELECT weakness_id, {_object("(j->'enhanced_review')")}, {_object("(j->'paper_context')")}, {_object("(j->'weakness_category')")} FROM l),
+        k AS (SELECT weakness_id, CAST(c AS JSON) AS c, {_list("(r->'actionable_suggestions')")} AS suggestion, {_list("(r->'citations')")} AS citation, {_list("(p->'keywords')")} AS keyword, {_list("(p->'sections_index')")} AS section FROM a)
+        SELECT 'review' AS item_kind, weakness_id, 0 AS item_no FROM k UNION ALL SELECT 'category', weakness_id, 0 FROM k WHERE c IS NOT NULL AND json_type(c) <> 'NULL'"""
+    for kind, (_, fields) in KINDS.items():
+        whole += f" UNION ALL SELECT '{kind}', weakness_id, CAST(i AS INTEGER) FROM (SELECT weakness_id, unnest({kind}) AS e, generate_subscripts({kind}, 1) AS i FROM k) WHERE {_item(fields)}"
+    return whole
+
+
 SQL = {
+    "p4_found": _found_sql(),
     "p4_suggestions": f"""
         SELECT weakness_id, CAST(i AS INTEGER) AS item_no, e.what AS what, e."where" AS "where", e.how AS how, e.expected_outcome AS expected_outcome, e.priority AS priority
         FROM (SELECT weakness_id, unnest(r) AS e, generate_subscripts(r, 1) AS i FROM {_VALID.format(c="enhanced_review.actionable_suggestions")})
