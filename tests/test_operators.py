@@ -219,6 +219,6 @@ def test_reward_parts(spark):
 
 
 def test_lexical_markers(spark):
-    assert one(spark, L.chunk_type, "See Table 3.") == "table_result" and one(spark, L.chunk_type, None) == "generic"
-    assert one(spark, L.anchors, "Eq. (3) and Table 4, then table 4") == ["eq. (3)", "table 4"]
+    assert one(spark, lambda c: L.chunk_type(L.norm(c)), "See Table 3.") == "table_result" and one(spark, lambda c: L.chunk_type(L.norm(c)), None) == "generic"
+    assert one(spark, lambda c: L.anchors(L.norm(c)), "Eq. (3) and Table 4, then table 4") == ["eq. (3)", "table 4"]
     assert one(spark, L.tokens, "The Method, (uses) a 2-stage λ/x a") == ["method", "uses", "2-stage", "λ/x"]

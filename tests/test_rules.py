@@ -28,12 +28,12 @@ FOLLOW_UPS = [
 @pytest.mark.parametrize("first, text, label", FOLLOW_UPS)
 def test_follow_up_labels(spark, first, text, label):
     df = spark.createDataFrame([(first, text)], "a string, b string")
-    assert df.select(U.follow_up(F.col("a"), F.col("b"))["label"]).first()[0] == label
+    assert df.select(U.follow_up(F.lower("a"), F.lower("b"))["label"]).first()[0] == label
 
 
 def test_follow_up_scores(spark):
     df = spark.createDataFrame([("x", "I appreciate the effort."), ("x", "It is this and that."), ("x", "Fine."), ("the proof of the bound", "bound proof")], "a string, b string")
-    got = [r[0] for r in df.select(U.follow_up(F.col("a"), F.col("b"))["score"]).collect()]
+    got = [r[0] for r in df.select(U.follow_up(F.lower("a"), F.lower("b"))["score"]).collect()]
     assert got == pytest.approx([0.68, 0.55, 0.60, 0.80])
 
 
@@ -70,10 +70,10 @@ def test_noisy_titles(spark, title, noisy):
 
 def test_tie_break_and_specificity(spark):
     rows = [("There is no proof here", "L2.3.2"), ("a strong assumption", "L2.3.1"), ("gap between theory and no proof", "L2.3.1"), ("no proof", "L1.1.1"), ("nothing", "L2.3.3")]
-    got = [r[0] for r in spark.createDataFrame(rows, "t string, l string").select(U.tie_break(F.col("t"), F.col("l"))).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, l string").select(U.tie_break(F.lower("t"), F.col("l"))).collect()]
     assert got == ["L2.3.1", "L2.3.2", "L2.3.3", "L1.1.1", "L2.3.3"]
     texts = ["Table 3 lacks a baseline because of the metric", "vague", "1", ""]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(U.specificity(F.col("t"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(U.specificity(F.lower(F.btrim("t")))).collect()]
     assert got == [folds.specificity(t) for t in texts]
 
 

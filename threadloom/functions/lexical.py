@@ -76,19 +76,20 @@ def has_any(c: Column, markers: list[str]) -> Column:
     return out
 
 
-def chunk_type(c: Column) -> Column:
-    t = norm(c)
+def chunk_type(t: Column) -> Column:
+    """Type of a normalised text. Give it a column of its own: every marker reads it."""
     out = F.lit("generic")
     for name, markers in reversed(CHUNK_TYPES.items()):
         out = F.when(has_any(t, markers), name).otherwise(out)
     return out
 
 
-def anchors(c: Column) -> Column:
-    """Distinct structural anchors, pattern by pattern."""
-    t = norm(c)
-    return F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda a: norm(a)) for p in ANCHORS])))
+def anchors(t: Column) -> Column:
+    """Distinct structural anchors of a normalised text, pattern by pattern. Give it a column of its own."""
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in ANCHORS])
+    return F.array_distinct(F.transform(found, lambda a: X.strip(a)))
 
 
-def prefix_key(c: Column, n: int = 350) -> Column:
-    return F.substring(norm(c), 1, n)
+def prefix_key(t: Column, n: int = 350) -> Column:
+    """What two normalised texts must share to count as one."""
+    return F.substring(t, 1, n)

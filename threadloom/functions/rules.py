@@ -121,8 +121,8 @@ def keyword_set(c: Column, stop: list[str]) -> Column:
 
 
 def follow_up(initial: Column, text: Column) -> Column:
-    """label, tier and score of a follow-up against the first statement."""
-    t = F.lower(text)
+    """label, tier and score of a follow-up against the first statement; both in lower case, in columns of their own."""
+    t = text
     ik, fk = keyword_set(initial, LABEL_STOPWORDS), keyword_set(text, LABEL_STOPWORDS)
     ratio = F.size(F.array_intersect(ik, fk)) / F.size(ik)
     both = (F.size(ik) > 0) & (F.size(fk) > 0)
@@ -160,8 +160,8 @@ def role_of(kind: Column, signature: Column) -> Column:
 
 
 def tie_break(text: Column, l2: Column) -> Column:
-    """The theory category that the phrases of a text favour, else the given one."""
-    hits = {k: sum((F.contains(F.lower(text), F.lit(p)).cast("int") for p in phrases), F.lit(0)) for k, phrases in TIE_PHRASES.items()}
+    """The theory category that the phrases of a text in lower case favour, else the given one."""
+    hits = {k: sum((F.contains(text, F.lit(p)).cast("int") for p in phrases), F.lit(0)) for k, phrases in TIE_PHRASES.items()}
     h1, h2, h3 = hits.values()
     better = F.when((h3 > 0) & (h3 >= h1) & (h3 >= h2), "L2.3.3").when((h1 > 0) & (h1 > h2), "L2.3.1").when((h2 > 0) & (h2 > h1), "L2.3.2").otherwise(l2)
     return F.when(l2.isin(*TIE_PHRASES), better).otherwise(l2)
@@ -179,8 +179,8 @@ def noisy_title(title: Column) -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", True).otherwise(noise)
 
 
-def specificity(text: Column) -> Column:
-    t = F.lower(F.btrim(text))
+def specificity(t: Column) -> Column:
+    """Of a trimmed text in lower case, in a column of its own."""
     named = sum((t.rlike(rf"\b{w}\b").cast("int") for w in SPECIFIC), F.lit(0))
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     return F.when(t.rlike(r"\d"), 2).otherwise(0) + F.when(t.rlike(r"\b(section|sec\.|table|figure|fig\.|appendix|app\.)\b"), 2).otherwise(0) + named + F.when(t.rlike(r"\b(because|therefore|which|leading to|causing|so that)\b"), 1).otherwise(0) + F.least(F.floor(words / 10), F.lit(3))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import lexical as L
+from threadloom.runtime import cut
 
 #: Weights of the overlap scores by mode. Fixed values.
 WEIGHTS = {
@@ -142,7 +145,7 @@ def page_distance(page: Column, pages: Column) -> Column:
 
 def section_hints(blob: Column) -> Column:
     """The hint words that the blob has as words."""
-    return F.filter(F.lit(HINT_WORDS), lambda w: F.regexp_like(blob, F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b"))))
+    return F.array_compact(F.array(*[F.when(blob.rlike(rf"\b{re.escape(w)}\b"), w) for w in HINT_WORDS]))
 
 
 def hint_score(hints: Column, text: Column) -> Column:
@@ -184,18 +187,20 @@ def prepare_records(records: DataFrame) -> DataFrame:
     text = lambda names: F.concat_ws(" ", *[F.col(n) for n in names])
     blob = L.norm(text(["meta", "weakness", "claim", "evidence", "followups", "rebuttals"]))
     out = records.withColumn("blob", blob).withColumn("blob_all", L.norm(F.concat_ws(" ", "blob", "what", "where", "how")))
+    out = out.withColumns({f"src_{m}": L.norm(F.concat_ws("\n", *fields)) for m, fields in ANCHOR_FIELDS.items()})
     out = out.withColumns({f"t_{f}": L.tokens(F.col(f)) for f in FIELDS} | {f"p_{f}": L.phrases(F.col(f)) for f in FIELDS})
     return out.withColumns(
         {f"case_{n}": c for n, c in case_flags(F.col("blob"), F.col("blob_all")).items()}
         | {"hints": section_hints(F.col("blob")), "hints_all": section_hints(F.col("blob_all"))}
         | {"pages": hinted_pages(text(["claim", "evidence", "weakness", "followups"]), F.col("blob"), F.col("sections")), "pages_all": hinted_pages(text(["claim", "evidence", "weakness", "followups", "where"]), F.col("blob_all"), F.col("sections"))}
-        | {f"anchors_{m}": L.anchors(F.concat_ws("\n", *fields)) for m, fields in ANCHOR_FIELDS.items()}
+        | {f"anchors_{m}": L.anchors(F.col(f"src_{m}")) for m in ANCHOR_FIELDS}
     )
 
 
 def prepare_chunks(chunks: DataFrame) -> DataFrame:
     """chunks (group, doc, chunk_no, page, text): normalised text, tokens and type, once per chunk."""
-    return chunks.withColumns({"norm": L.norm(F.col("text")), "c_tokens": L.tokens(F.col("text")), "kind": L.chunk_type(F.col("text")), "prefix": L.prefix_key(F.col("text"))})
+    chunks = chunks.withColumn("norm", L.norm(F.col("text")))
+    return chunks.withColumns({"c_tokens": L.tokens(F.col("norm")), "kind": L.chunk_type(F.col("norm")), "prefix": L.prefix_key(F.col("norm"))})
 
 
 def score_mode(records: DataFrame, chunks: DataFrame, mode: str) -> DataFrame:
@@ -232,8 +237,12 @@ def best_of(scored: DataFrame, k: int, seeds: int = 10, width: int = 2) -> DataF
 
 
 def align(records: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Both second-task channels scored, widened, freed of doubles and merged; with the status of each record."""
-    channel = lambda mode, take, seeds, width: best_of(score_mode(records, chunks, mode), take, seeds, width).withColumn("id", F.concat_ws(":", "doc", "chunk_no")).select("weakness_id", "rank", "id", "score", "prefix")
+    """Both second-task channels scored, widened, freed of doubles and merged.
+
+    Prepared records and chunks and the scores of each mode are written down, as each is read several times.
+    """
+    records, chunks = cut(records, "records"), cut(chunks, "chunks")
+    channel = lambda mode, take, seeds, width: best_of(cut(score_mode(records, chunks, mode), mode), take, seeds, width).withColumn("id", F.concat_ws(":", "doc", "chunk_no")).select("weakness_id", "rank", "id", "score", "prefix")
     return merge_ranked(channel("task2_evidence", 4, 12, 3), channel("task2_support", 4, 12, 3), "weakness_id", "id", k=k)
 
 

@@ -25,7 +25,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three documents of its paper that best cover each claim."""
     q = claims(spark, d).select("weakness_id", "submission_id", L.tokens(F.col("claim")).alias("q_tokens"))
-    c = texts(spark, d).select("doc_id", "submission_id", L.tokens(F.col("text")).alias("c_tokens"), L.prefix_key(F.col("text")).alias("prefix"))
+    c = texts(spark, d).withColumn("t", L.norm(F.col("text"))).select("doc_id", "submission_id", L.tokens(F.col("t")).alias("c_tokens"), L.prefix_key(F.col("t")).alias("prefix"))
     return R.lexical_topk(q, c, "submission_id", "weakness_id", "doc_id")
 
 
@@ -40,8 +40,8 @@ _TOPK = f"""
 
 
 def tokens_distinct(spark: SparkSession, d: str) -> DataFrame:
-    t = L.tokens(F.col("text"))
-    return texts(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(F.array_sort(t), " ")).alias("digest"))
+    t = F.col("t")
+    return texts(spark, d).withColumn("t", L.tokens(F.col("text"))).select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(F.array_sort(t), " ")).alias("digest"))
 
 
 def norm_text(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ def norm_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_type(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).select("doc_id", L.chunk_type(F.col("text")).alias("kind"))
+    return texts(spark, d).withColumn("t", L.norm(F.col("text"))).select("doc_id", L.chunk_type(F.col("t")).alias("kind"))
 
 
 def _chunk_type_sql() -> str:
@@ -61,8 +61,8 @@ def _chunk_type_sql() -> str:
 def case_flags(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "classified_weakness_pairs").select("weakness_id", "classified_at", "original_weakness")
     v = latest(rows, ["weakness_id"], "classified_at", ["weakness_id", "original_weakness"])
-    blob = L.norm(F.col("original_weakness"))
-    return v.select("weakness_id", *[c.alias(n) for n, c in R.case_flags(blob, blob).items()])
+    v = v.withColumn("blob", L.norm(F.col("original_weakness")))
+    return v.select("weakness_id", *[c.alias(n) for n, c in R.case_flags(F.col("blob"), F.col("blob")).items()])
 
 
 def _case_flags_sql() -> str:
@@ -107,7 +107,7 @@ def pack_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_prefix350(spark: SparkSession, d: str) -> DataFrame:
     """The first document of each 350-character prefix."""
-    keyed = texts(spark, d).select(L.prefix_key(F.col("text")).alias("k"), "doc_id")
+    keyed = texts(spark, d).select(L.prefix_key(L.norm(F.col("text"))).alias("k"), "doc_id")
     return keyed.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 

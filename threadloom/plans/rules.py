@@ -27,7 +27,8 @@ def _reviews(spark: SparkSession, d: str) -> DataFrame:
 def classify_followup(spark: SparkSession, d: str) -> DataFrame:
     """Label, tier and score of every follow-up, and whether it should be verified."""
     f = _pairs(spark, d).select("weakness_id", "original_weakness", F.posexplode("follow_ups").alias("place", "f")).select("weakness_id", "place", "original_weakness", F.col("f.text").alias("text")).where("text is not null and original_weakness is not null")
-    labelled = f.withColumn("l", U.follow_up(F.col("original_weakness"), F.col("text")))
+    f = f.withColumns({"first": F.lower("original_weakness"), "t": F.lower("text")})
+    labelled = f.withColumn("l", U.follow_up(F.col("first"), F.col("t")))
     return labelled.select("weakness_id", "place", "l.label", "l.tier", F.round("l.score", 6).alias("score"), U.needs_check(F.col("l"), F.col("text")).alias("verify"))
 
 
@@ -79,7 +80,8 @@ def _reply_type_sql() -> str:
 
 def l13_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     """Categories after the tie-break among those of theory."""
-    return _pairs(spark, d).where("original_weakness is not null").select("weakness_id", U.tie_break(F.col("original_weakness"), F.col("l2_id")).alias("l2_id"))
+    p = _pairs(spark, d).where("original_weakness is not null").withColumn("t", F.lower("original_weakness"))
+    return p.select("weakness_id", U.tie_break(F.col("t"), F.col("l2_id")).alias("l2_id"))
 
 
 def _tie_sql() -> str:
@@ -111,7 +113,8 @@ def leak_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def specificity(spark: SparkSession, d: str) -> DataFrame:
-    return _reviews(spark, d).where("enhanced_review.claim is not null").select("weakness_id", U.specificity(F.col("enhanced_review.claim")).cast("int").alias("score"))
+    c = _reviews(spark, d).where("enhanced_review.claim is not null").select("weakness_id", F.lower(F.btrim("enhanced_review.claim")).alias("t"))
+    return c.select("weakness_id", U.specificity(F.col("t")).cast("int").alias("score"))
 
 
 _R = S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"claim": "enhanced_review.claim"})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -13,18 +14,35 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session may go without: it gets a folder that ends with it."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "threadloom-scratch")
-        spark.conf.set("spark.checkpoint.dir", base) if not spark.sparkContext.master.startswith("local-cluster") else None
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="threadloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def forget() -> None:
+    """Removes the tables that this process has cut, where their folder is a mounted one; others are left to the cluster."""
+    for path in _written:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    _written.clear()
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back; lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
