@@ -128,9 +128,7 @@ def check_near(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOL
     side = lambda s: classes.select(F.col("__s1").alias(f"{s}1"), F.col("__s2").alias(f"{s}2"), F.col("__cid").alias(s), F.col("text").alias(f"t{s}"))
     pairs = pairs.where("not (a1 = b1 and a2 = b2)")  # those are compared below
     one = pairs.join(side("a"), ["a1", "a2"]).repartition("b1", "b2").join(side("b"), ["b1", "b2"])
-    own = classes.groupBy("__s1", "__s2").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("__cid").alias("c"), F.col("text").alias("t"))).alias("all")).where("n > 1")
-    own = own.select("__s1", "__s2", F.explode("all").alias("x"), "all").select("__s1", "__s2", "x", F.explode("all").alias("y")).where("x.c < y.c")
-    own = own.select(F.col("__s1").alias("b1"), F.col("__s2").alias("b2"), F.col("__s1").alias("a1"), F.col("__s2").alias("a2"), F.col("x.c").alias("a"), F.col("x.t").alias("ta"), F.col("y.c").alias("b"), F.col("y.t").alias("tb"))
+    own = side("a").join(side("b"), (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("a") < F.col("b")))
     both = one.unionByName(own).withColumns({"wa": X.word_set(F.col("ta")), "wb": X.word_set(F.col("tb"))})
     both = both.withColumn("common", F.size(F.array_intersect("wa", "wb")))
     top, low = round(threshold * 1000), 1000
