@@ -174,3 +174,27 @@ def test_provider_asks_once_and_uses_the_cache(spark):
     first = spark.createDataFrame([("1", "a", 0.5), ("2", "b", 0.9), ("3", "c", 0.3)], "id string, text string, s double")
     second = spark.createDataFrame([("1", "x", 0.6), ("2", "y", 1.0), ("3", "z", 0.2)], "id string, text string, s double")
     assert {r["id"]: r["text"] for r in provider.retry(first, "s", 0.6, second).collect()} == {"1": "x", "2": "b", "3": "c"}
+
+
+WHOLE = "## Claim\nc\n## Evidence\ne\n### Suggestion 1\n- **What**: a\n- **Where**: b\n- **How**: c\n- **Expected Outcome**: d\n- **Priority**: high\n## Severity\nmajor"
+
+
+@pytest.mark.parametrize("text, state", [
+    (WHOLE, "Complete"), (None, "Missing section: ## Claim"), (WHOLE.replace("## Evidence", "x"), "Missing section: ## Evidence"), (WHOLE.replace("- **How**: c\n", ""), "Suggestion 1 missing field: How"), (WHOLE + "\nuser\n", "Contains stray role marker"),
+    (WHOLE + " [TASK 2]", "Contains stray task header"), (WHOLE.replace("major", "odd"), "Severity section missing a valid value"),
+])
+def test_states_of_analyses(spark, text, state):
+    assert spark.createDataFrame([(text,)], "t string").select(V.analysis_state(F.col("t"))).first()[0] == state
+
+
+def test_answers_are_cut_out():
+    assert folds.answer_of("x\n" + WHOLE + "\nmore", "analysis").endswith("major")
+    assert folds.answer_of("words\nassistant\nmore", "analysis") == "words"
+    assert folds.answer_of("Sure:\nClaim 1: The proof is missing.\nClaim 2: No runtime on any dataset.\ntail\nClaim 3: x", "claims") == "Claim 1: No runtime on any dataset.\nClaim 2: The proof is missing."
+    assert folds.answer_of("none", "claims") == "None" and folds.answer_of("plain", "claims") == "plain" and folds.answer_of(None, "claims") is None
+
+
+@pytest.mark.parametrize("review, ok", [(GOOD, True), (None, False), (changed(claim=""), False), (changed(actionable_suggestions=[]), False), (suggestion(what=None), False), (changed(evidence="As the authors say"), False)])
+def test_valid_items(spark, review, ok):
+    df = spark.createDataFrame([(json.dumps(review),)], "j string").select(F.when(F.lit(review is not None), F.from_json("j", REVIEW)).alias("r"))
+    assert df.select(V.item_valid(F.col("r"))).first()[0] is ok

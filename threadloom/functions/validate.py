@@ -71,3 +71,26 @@ def rubric_valid(soft: Column, hard: Column) -> Column:
 def candidates_valid(candidates: Column) -> Column:
     """Exactly three, each with a text and a temperature."""
     return F.coalesce((F.size(candidates) == 3) & F.forall(candidates, lambda x: ~X.blank(x["text"]) & x["temperature"].isNotNull()), F.lit(False))
+
+
+def item_valid(review: Column) -> Column:
+    """A claim, suggestions with every field, and no talk of the rebuttal."""
+    s = F.coalesce(review["actionable_suggestions"], F.array())
+    whole = F.forall(s, lambda x: ~X.blank(x["what"]) & ~X.blank(x["where"]) & ~X.blank(x["how"]) & ~X.blank(x["expected_outcome"]) & ~X.blank(x["priority"]))
+    told = F.concat_ws("\n", review["claim"], review["evidence"], F.to_json(review))
+    return F.coalesce(~X.blank(review["claim"]) & (F.size(s) > 0) & whole & ~rules.leaks(told, "chat"), F.lit(False))
+
+
+def analysis_state(c: Column) -> Column:
+    """"Complete", or the first thing that is wrong with an analysis under headings."""
+    blocks = F.regexp_extract_all(c, F.lit(r"(?is)###\s*Suggestion\s+\d+.*?(?=###\s*Suggestion|##\s*Severity|\z)"), F.lit(0))
+    lacking = lambda b, i: F.array_compact(F.array(*[F.when(~b.rlike(rf"(?i)(?:\*\*{f}\*\*|{f})\s*[:：]"), F.concat(F.lit("Suggestion "), (i + 1).cast("string"), F.lit(f" missing field: {f}"))) for f in ("What", "Where", "How", "Expected Outcome", "Priority")]))
+    sections = [(r"(?i)##\s*Claim", "## Claim"), (r"(?i)##\s*Evidence", "## Evidence"), (r"(?i)###\s*Suggestion\s+\d+", "### Suggestion"), (r"(?i)##\s*Severity", "## Severity")]
+    return F.coalesce(
+        *[F.when(~F.coalesce(c, F.lit("")).rlike(p), f"Missing section: {name}") for p, name in sections],
+        F.when(c.rlike(r"(?im)^\s*(?:user|assistant|system)\s*$"), "Contains stray role marker"),
+        F.when(c.rlike(r"(?i)\[\s*TASK\s*[12]\s*\]"), "Contains stray task header"),
+        F.try_element_at(F.flatten(F.transform(blocks, lacking)), F.lit(1)),
+        F.when(~c.rlike(r"(?i)##\s*Severity\s*\n\s*(critical|major|moderate|minor)\b"), "Severity section missing a valid value"),
+        F.lit("Complete"),
+    )

@@ -95,3 +95,10 @@ def id_digest(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
     distinct = rows.select(*keys, id_).where(F.col(id_).isNotNull()).distinct()
     low = F.conv(F.substring(F.md5(F.col(id_).cast("string")), 1, 15), 16, 10).cast("long")
     return distinct.groupBy(*keys).agg(F.count("*").alias("n_ids"), F.bit_xor(low).alias("digest"))
+
+
+def best_match(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str, similarity: Column) -> DataFrame:
+    """For each left row the most similar right row of its group, the smallest id among equals; without any likeness the group's first. (left_id, right_id, similarity)"""
+    pairs = left.join(right, group).withColumn("__s", F.coalesce(similarity, F.lit(0.0)))
+    best = pairs.groupBy(left_id).agg(F.max("__s").alias("similarity"), F.min_by(right_id, F.struct(-F.col("__s"), F.col(right_id))).alias(right_id))
+    return best.select(left_id, right_id, "similarity")

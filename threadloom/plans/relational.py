@@ -196,6 +196,8 @@ SQL = {
         FROM (SELECT *, CASE WHEN event_type <> 'view' THEN event_id % 5 + 1 END AS s FROM events) GROUP BY 1""",
     "weight_normalise": """SELECT o_orderkey, round(CASE WHEN sum(o_totalprice) OVER w > 0 THEN o_totalprice * 100 / sum(o_totalprice) OVER w ELSE 100.0 / count(*) OVER w END, 6) AS weight FROM orders WINDOW w AS (PARTITION BY o_custkey)""",
     "token_estimates": "SELECT source, count(*) AS n, CAST(sum(n_chars // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
+    "chat_records": f"""SELECT weakness_id, md5(CAST(to_json([struct_pack("role" := 'user', content := w), struct_pack("role" := 'assistant', content := c)]) AS VARCHAR)) AS digest
+        FROM {_REVIEW(w='original_weakness', c='enhanced_review.claim')} WHERE NOT {S.blank('w')} AND NOT {S.blank('c')}""",
     "token_sets": f"""WITH r AS (SELECT weakness_id, {_WS('w')} AS a, {_WS('c')} AS b FROM {_REVIEW(w='original_weakness', c='enhanced_review.claim')} WHERE w IS NOT NULL AND c IS NOT NULL),
         i AS (SELECT *, length(list_intersect(a, b)) AS m FROM r WHERE length(a) > 0 AND length(b) > 0)
         SELECT weakness_id, CAST(m AS INTEGER) AS common, round(m / (length(a) + length(b) - m), 6) AS jaccard, round(m / least(length(a), length(b)), 6) AS containment FROM i""",

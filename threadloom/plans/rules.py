@@ -210,8 +210,14 @@ def sanitize_refs(spark: SparkSession, d: str) -> DataFrame:
     return r.select("weakness_id", folds.general_places(F.col("enhanced_review.evidence"), has).alias("evidence"))
 
 
+def analysis_states(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the reviews as analyses, counted."""
+    a = _reviews(spark, d).where("enhanced_review is not null").select(analysis_text().alias("t"))
+    return a.groupBy(V.analysis_state(F.col("t")).alias("state")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in [
-    classify_followup, quote_only, reply_type, l13_tiebreak, noisy_title, leak_flags, specificity, review_validation, record_validation, repetition_penalty, claim_prior, reward_claims, reward_analysis, refined_claims, sanitize_refs,
+    classify_followup, quote_only, reply_type, l13_tiebreak, noisy_title, leak_flags, specificity, review_validation, record_validation, repetition_penalty, claim_prior, reward_claims, reward_analysis, analysis_states, refined_claims, sanitize_refs,
 ]}
 SQL = {
     "classify_followup": _FOLLOW, "quote_only": _QUOTE, "reply_type": _reply_type_sql(), "l13_tiebreak": _tie_sql(), "noisy_title": _NOISY, "specificity": _SPECIFIC, "repetition_penalty": _REPEAT,

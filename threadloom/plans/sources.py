@@ -97,5 +97,8 @@ SQL = {
     "decisions": rf"""WITH l AS (SELECT lower(CASE WHEN regexp_matches(split_part({S.strip('d')}, chr(10), 1), '(?i)accept|reject') THEN split_part({S.strip('d')}, chr(10), 1) ELSE d END) AS s FROM {_PAPER(d='decision')})
         SELECT CASE WHEN regexp_matches(s, 'reject') THEN 'reject' WHEN regexp_matches(s, 'withdraw') THEN 'withdrawn' WHEN regexp_matches(s, 'accept|poster|oral|spotlight') THEN 'accept' END AS decision, count(*) AS n FROM l GROUP BY 1""",
     "batch_requests": f"SELECT 'claim' AS kind, weakness_id, 0 AS idx, md5(c) AS digest FROM {S.latest('enhanced_reviews', 'weakness_id', 'enhanced_at', {'c': 'enhanced_review.claim'})} WHERE c IS NOT NULL",
+    "fallback_weakness": rf"""WITH r AS {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"s": "submission_id", "w": "original_weakness", "c": "enhanced_review.claim", "e": "enhanced_review.evidence", "u": "paper_context.web_url"})}
+        SELECT weakness_id, coalesce(CASE WHEN NOT {S.blank('s')} THEN {S.strip('s')} END, nullif(regexp_extract(weakness_id, '^(.*?)_Reviewer_', 1), ''), regexp_extract(u, '[?&]id=([^&#]+)', 1)) AS paper,
+            md5(coalesce(CASE WHEN NOT {S.blank('w')} THEN {S.strip('w')} END, CASE WHEN NOT {S.blank('c')} THEN {S.strip('c')} || CASE WHEN NOT {S.blank('e')} THEN ' ' || {S.strip('e')} ELSE '' END END, '(no text)')) AS digest FROM r""",
     "iso_times": "SELECT DISTINCT timestamp, epoch_us(TRY_CAST(timestamp AS TIMESTAMPTZ)) AS micros FROM thread_events",
 }
