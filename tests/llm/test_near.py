@@ -50,9 +50,12 @@ def corpus(n, seed, low=3, high=40):
 ITEMS = "scope string, id string, ts int, text string, token string, __set string"
 
 
-@pytest.mark.parametrize("seed, block", [(1, 8192), (2, 8192), (3, 16)])
-def test_all_near_pairs_are_found(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, held", [(1, 8192, 500_000), (2, 8192, 100), (3, 16, 500_000), (4, 4, 30)])
+def test_all_near_pairs_are_found(spark, monkeypatch, seed, block, held):
+    """Also with runs longer than a block, and longer than what a task takes up at once."""
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(held, 10_000)))
     texts = corpus(350, seed)
     texts += [texts[0]] * 40 + [None, "", "one two three", "x " * 20_000]
     rows = [(("a", "b")[i % 2], f"{i:04d}", 1, t, "clash", "clash") for i, t in enumerate(texts)]
@@ -60,6 +63,7 @@ def test_all_near_pairs_are_found(spark, monkeypatch, seed, block):
     got = sorted(map(tuple, neardup.near_pairs(spark.createDataFrame(rows, ITEMS)).collect()))
     valid = [r for r in rows[: len(texts)]]
     want = sorted((s, a[1], b[1]) for i, a in enumerate(valid) for b in valid[i + 1 :] if (s := a[0]) == b[0] and near(a[3], b[3], 8))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(want) > 300 and got == want
 
 

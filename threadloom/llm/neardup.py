@@ -28,6 +28,8 @@ from threadloom.runtime import cut
 BLOCK = 8192
 #: Pairs that are looked at in one step.
 STEP = 1 << 18
+#: Rows that a task takes up at once.
+HELD = 500_000
 #: Runs of more texts are compared as matrices.
 TILE = 48
 POSTING = "token long, s1 long, s2 long"
@@ -79,7 +81,13 @@ def tile(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, same: b
 
 
 def merge_runs(threshold: float):
-    """Over rows sorted by token: pairs of each run; of a long run its members, with the number of their block."""
+    """Over sorted rows: pairs of each run; of a long run its members, with the number of their block."""
+
+    def distinct(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """Rows in one piece, of equal neighbours one."""
+        t, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        new = np.r_[True, (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(t) else np.zeros(0, bool)
+        return [t[new], a[new], b[new]]
 
     def small_runs(a: np.ndarray, b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
         """Many runs in one step: member i of a run meets the members after it."""
@@ -97,14 +105,13 @@ def merge_runs(threshold: float):
             yield [a[i], b[i], a[j], b[j]]
             at = to
 
+    def members(t: np.ndarray, a: np.ndarray, b: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+        """Rows of one long run, in blocks numbered from `first`."""
+        yield from N.batches({"a1": a, "a2": b, "b1": a, "b2": b, "token": t, "block": first + np.arange(len(t)) // BLOCK})
+
     def emit(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(t):
-            return
-        order = np.lexsort((b, a, t))
-        t, a, b = t[order], a[order], b[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        t, a, b = t[new], a[new], b[new]
-        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        """Whole runs that are no part of a long one begun before."""
+        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[starts, len(t)])
         some = (sizes > 1) & (sizes <= TILE)
         found = list(small_runs(a, b, starts[some], sizes[some]))
@@ -113,33 +120,47 @@ def merge_runs(threshold: float):
         if found:
             x = np.unique(np.stack([np.concatenate(p) for p in zip(*found, strict=True)], 1), axis=0)
             k = np.zeros(len(x), np.int64)
-            yield from N.batches({"a1": x[:, 0], "a2": x[:, 1], "b1": x[:, 2], "b2": x[:, 3], "token": k, "block": k - 1, "blocks": k})
+            yield from N.batches({"a1": x[:, 0], "a2": x[:, 1], "b1": x[:, 2], "b2": x[:, 3], "token": k, "block": k - 1})
         for s, k in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK], strict=True):
-            m1, m2 = a[s : s + k], b[s : s + k]
-            yield from N.batches({"a1": m1, "a2": m2, "b1": m1, "b2": m2, "token": t[s : s + k], "block": np.arange(k) // BLOCK, "blocks": np.full(k, -(-k // BLOCK))})
+            yield from members(t[s : s + k], a[s : s + k], b[s : s + k], 0)
 
     def over(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        long_token, blocks = None, 0  # the long run whose first blocks are out already
+
+        def whole(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            own = int(np.searchsorted(t, long_token, side="right")) if long_token is not None and len(t) and t[0] == long_token else 0
+            yield from members(t[:own], a[:own], b[:own], blocks)
+            yield from emit(t[own:], a[own:], b[own:])
+
         for batch in it:
             held.append([batch.column(c).to_numpy() for c in ("token", "s1", "s2")])
             size += len(batch)
-            if size < 500_000:
+            if size < HELD:
                 continue
-            t, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = np.searchsorted(t, t[-1])  # the last run may go on
-            yield from emit(t[:last], a[:last], b[:last])
-            held, size = [[t[last:], a[last:], b[last:]]], len(t) - last
+            t, a, b = distinct(held)
+            last = int(np.searchsorted(t, t[-1]))  # the last run may go on
+            yield from whole(t[:last], a[:last], b[:last])
+            t, a, b = t[last:], a[last:], b[last:]
+            if t[0] != long_token:
+                long_token, blocks = None, 0
+            if len(t) > BLOCK:  # of a long run only less than a block is kept
+                out = len(t) // BLOCK * BLOCK
+                yield from members(t[:out], a[:out], b[:out], blocks)
+                long_token, blocks = int(t[0]), blocks + out // BLOCK
+                t, a, b = t[out:], a[out:], b[out:]
+            held, size = [[t, a, b]], len(t)
         if held:
-            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from whole(*distinct(held))
 
     return over
 
 
 def candidates(sets: DataFrame, counts: np.ndarray, threshold: float = N.THRESHOLD) -> DataFrame:
     """Distinct pairs of sketches that meet in a short list."""
-    lists = postings(sets, counts).repartition("token").sortWithinPartitions("token")
+    lists = postings(sets, counts).repartition("token").sortWithinPartitions("token", "s1", "s2")
     kinds = "a1 long, a2 long, b1 long, b2 long"
-    met = cut(lists.mapInArrow(merge_runs(threshold), f"{kinds}, token long, block long, blocks long"), "met")
+    met = cut(lists.mapInArrow(merge_runs(threshold), f"{kinds}, token long, block long"), "met")
 
     def two_blocks(key: tuple, at: pa.Table) -> pa.Table:
         a, b, block = (at.column(c).to_numpy() for c in ("a1", "a2", "block"))
@@ -147,7 +168,9 @@ def candidates(sets: DataFrame, counts: np.ndarray, threshold: float = N.THRESHO
         found = list(tile(a[p], b[p], a[q], b[q], key[1] == key[2], threshold))
         return pa.table(dict(zip(("a1", "a2", "b1", "b2"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
 
-    long_runs = met.where("block >= 0").select("token", "a1", "a2", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    in_runs = met.where("block >= 0").select("token", "a1", "a2", "block")
+    number = in_runs.groupBy("token").agg(F.max("block").alias("last"))
+    long_runs = in_runs.join(number, "token").select("token", "a1", "a2", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other"))
     tiles = long_runs.select("token", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "a1", "a2", "block")
     more = tiles.groupBy("token", "p", "q").applyInArrow(two_blocks, kinds)
     return met.where("block < 0").select("a1", "a2", "b1", "b2").union(more).distinct()
@@ -177,3 +200,19 @@ def near_pairs(items: DataFrame, min_words: int = 8, threshold: float = N.THRESH
     same = side("a").join(side("b").withColumnsRenamed({"b1": "a1", "b2": "a2", "b": "a"}), ["a1", "a2", "a", "scope"]).where("id_a < id_b")
     one = across.select("scope", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return one.union(same.select("scope", "id_a", "id_b"))
+
+
+def near_links(items: DataFrame, min_words: int = 8, threshold: float = N.THRESHOLD) -> DataFrame:
+    """(scope, id, class_id, n_links): one row per valid text, its class (smallest id of those with the same words) and how many others are near.
+
+    Counts come from class sizes and links between classes; pairs of copies are never formed.
+    """
+    members, links = near_classes(items, min_words, threshold)
+    key = ["s1", "s2", "c"]
+    sizes = members.groupBy(*key).agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    both = links.select(F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("a").alias("c"), F.col("b1").alias("o1"), F.col("b2").alias("o2"), F.col("b").alias("o"))
+    both = both.union(links.select("b1", "b2", "b", "a1", "a2", "a"))
+    other = sizes.select(F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("c").alias("o"), F.col("n").alias("m"))
+    across = both.join(other, ["o1", "o2", "o"]).groupBy(*key).agg(F.sum("m").alias("m"))
+    counted = sizes.join(across, key, "left").select(*key, "class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return members.join(counted, key).select("scope", "id", "class_id", "n_links")

@@ -30,6 +30,12 @@ P2 = f"""
         UNION ALL SELECT 'claim', weakness_id, {_set('t')} FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"t": "enhanced_review.claim"})} WHERE t IS NOT NULL)
     SELECT a.field_name, a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.field_name = b.field_name AND a.id < b.id AND {_SIZE} WHERE length(a.w) >= 8 AND length(b.w) >= 8 AND {_NEAR}"""
 
+_P2_TEXTS = P2[P2.index("WITH") : P2.index("    SELECT a.field_name")].rstrip()
+P2_LINKS = f"""
+    {_P2_TEXTS}, l AS (SELECT * FROM t WHERE length(w) >= 8),
+    p AS (SELECT a.field_name, a.id, count(*) AS n FROM l a JOIN l b ON a.field_name = b.field_name AND a.id <> b.id AND {_SIZE} WHERE {_NEAR} GROUP BY 1, 2)
+    SELECT field_name, id, min(id) OVER (PARTITION BY field_name, list_sort(w)) AS class_id, coalesce(n, 0) AS n_links FROM l LEFT JOIN p USING (field_name, id)"""
+
 _SPEAKER = f"""CASE WHEN NOT {S.blank('role')} AND lower({S.strip('role')}) <> 'unknown' THEN lower({S.strip('role')}) ELSE
     nullif(regexp_extract(lower(regexp_extract(coalesce(actor_id, ''), '([^/]*)/*\\s*$', 1)), '^(reviewer|author|area_chair|program_chair)', 1), '') END"""
 P3 = f"""
@@ -57,4 +63,12 @@ P7 = f"""
     g AS (SELECT root, min(record_id) AS group_id FROM records JOIN roots USING (paper) GROUP BY 1 HAVING count(DISTINCT split) > 1)
     SELECT record_id, group_id FROM records JOIN roots USING (paper) JOIN g USING (root)"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p7_found": P7}
+_P1_WITH = P1[P1.index("WITH") : P1.index("    SELECT DISTINCT 'weakness'")].rstrip()
+P1_REPORT = f"""
+    {_P1_WITH},
+    h AS (SELECT DISTINCT b.record_id FROM w a JOIN w b ON a.train AND NOT b.train AND {_SIZE} WHERE length(a.w) >= 8 AND length(b.w) >= 8 AND {_NEAR}),
+    t AS (SELECT DISTINCT b.paper FROM p a JOIN p b ON a.train AND b.eval AND a.paper <> b.paper AND {_SIZE} WHERE length(a.w) > 0 AND length(b.w) > 0 AND {_NEAR}),
+    v AS (SELECT submission_id AS paper, max(venue) AS venue FROM paper_context GROUP BY 1)
+    SELECT split, venue, count(*) AS n_records, count(h.record_id) AS n_overlapping, count(t.paper) AS n_same_title FROM records LEFT JOIN h USING (record_id) LEFT JOIN t USING (paper) LEFT JOIN v USING (paper) WHERE split <> 'train' GROUP BY 1, 2"""
+
+SQL = {"p1_found": P1, "p1_report": P1_REPORT, "p2_found": P2, "p2_links": P2_LINKS, "p3_found": P3, "p5_found": P5, "p7_found": P7}

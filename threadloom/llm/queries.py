@@ -44,6 +44,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("scope").alias("field_name"), "id_a", "id_b")
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each text with its class and its number of near texts."""
+    return neardup.near_links(tables.near_items(spark, d)).withColumnRenamed("scope", "field_name")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.discussions(table(spark, d, "thread_events")).select("opener_id", "msg_no", "event_id")
 
@@ -132,7 +137,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 
 
 def oracle_sql() -> dict[str, str]:
