@@ -126,10 +126,11 @@ def check_near(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOL
     pairs needn't hold a sketch twice: classes of equal sketch and different __cid are compared as well.
     """
     side = lambda s: classes.select(F.col("__s1").alias(f"{s}1"), F.col("__s2").alias(f"{s}2"), F.col("__cid").alias(s), F.col("text").alias(f"t{s}"))
-    pairs = pairs.where("not (a1 = b1 and a2 = b2)")  # those are compared below
-    one = pairs.join(side("a"), ["a1", "a2"]).repartition("b1", "b2").join(side("b"), ["b1", "b2"])
-    own = side("a").join(side("b"), (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("a") < F.col("b")))
-    both = one.unionByName(own).withColumns({"wa": X.word_set(F.col("ta")), "wb": X.word_set(F.col("tb"))})
+    twins = classes.groupBy("__s1", "__s2").agg(F.count("*").alias("n")).where("n > 1")  # reads no texts
+    twins = twins.select(F.col("__s1").alias("a1"), F.col("__s2").alias("a2"), F.col("__s1").alias("b1"), F.col("__s2").alias("b2"))
+    pairs = pairs.select("a1", "a2", "b1", "b2").where("not (a1 = b1 and a2 = b2)").union(twins)
+    both = pairs.join(side("a"), ["a1", "a2"]).repartition("b1", "b2").join(side("b"), ["b1", "b2"]).where("not (a1 = b1 and a2 = b2) or a < b")
+    both = both.withColumns({"wa": X.word_set(F.col("ta")), "wb": X.word_set(F.col("tb"))})
     both = both.withColumn("common", F.size(F.array_intersect("wa", "wb")))
     top, low = round(threshold * 1000), 1000
     return both.where(F.col("common") * low >= top * (F.size("wa") + F.size("wb") - F.col("common"))).select("a1", "a2", "a", "b1", "b2", "b")
