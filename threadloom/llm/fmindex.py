@@ -83,7 +83,7 @@ class Index:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, **{k: getattr(self, k) for k in ("alphabet", "start", "psi", "sampled", "before", "doc", "place")})
+        np.savez(out, **{k: getattr(self, k) for k in ("alphabet", "start", "psi", "sampled", "before", "doc", "place")})
         return out.getvalue()
 
     @classmethod
