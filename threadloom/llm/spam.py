@@ -27,7 +27,7 @@ ORDER = 4
 LEAST = 10
 CAP = 10.0
 #: Bits a token above which and below which a page is abnormal.
-HIGH, LOW = 4.8, 0.4
+HIGH, LOW = 4.9, 0.4
 
 
 def encoded(documents: DataFrame) -> DataFrame:

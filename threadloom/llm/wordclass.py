@@ -9,11 +9,11 @@ import numpy as np
 #: Function words of the five languages by kind. Fixed values.
 KINDS = {
     "det": "the a an this that these those each every some any all no both either neither der die das den dem des ein eine einen einem einer eines dieser diese dieses jede jeder le la les un une des l ce cette ces chaque tout toute el los las una unos unas este esta estos estas cada todo этот эта это эти каждый все весь",
-    "prep": "of in to on with for by from at as over under between into through about than without within across after before per against during near up out via von zu mit auf bei nach für aus über unter ohne zwischen durch gegen um im am zum zur beim vom de du dans pour avec sur par sans sous entre vers chez à au aux en con por sobre sin para desde hasta del al в на с о для из по к от без при между под над у до через об",
+    "prep": "of in to on with for by from at as over under between into through about than without within across after before per against during near up out via von zu mit auf bei nach für aus über unter ohne zwischen durch gegen um im am zum zur beim vom de du dans pour avec sur par sans sous entre vers chez à au aux en con por sobre sin para desde hasta del al в на с о для из по к от без при между под над у до через об после перед вокруг против около nach vor gegen hinter après avant contre después antes contra",
     "conj": "and or but nor yet so because since although though while when whereas if hence therefore thus unless once und oder aber denn weil obwohl wenn während dass sondern also daher et ou mais donc car parce puisque lorsque quand alors si y o u pero porque aunque cuando mientras pues и или но а что чтобы если хотя потому когда как то",
-    "pron": "i we you he she it they them us me my our your his her its their there who which what where how why whose one wir ich sie er es ihr uns man sich wer was wo wie je nous vous il elle ils elles on qui que dont où quoi se nos notre leur yo nosotros usted ella ellos lo su sus nuestro nuestra мы я вы он она они оно его её их мне нас нам который которая где",
+    "pron": "i we you he she it they them us me my our your his her its their there who which what where how why whose one wir ich sie er es ihr uns man sich wer was wo wie je nous vous il elle ils elles on qui que dont où quoi se nos notre leur yo nosotros usted ella ellos lo su sus nuestro nuestra мы я вы он она они оно его её их мне нас нам который которая где почему наш наша наше нашему нашего нашей warum unser unsere unserer unserem pourquoi notre qué porqué",
     "aux": "is are was were be been being am has have had do does did can could may might must should would will shall cannot ist sind war waren wird werden wurde hat haben kann können soll sollen sollte muss sein est sont était a ont été peut doit faut serait es son fue ha han puede debe debería está están быть был была было есть может должен должна",
-    "adv": "not only never still also very more most less too already just even then here now however rather nicht nur auch sehr mehr noch immer schon hier nun klar pas ne plus aussi très moins toujours encore bien no sí más muy también solo ya aún menos не только также очень более ещё уже здесь нет лишь",
+    "adv": "not only never still also very more most less too already just even then here now however rather nicht nur auch sehr mehr noch immer schon hier nun klar pas ne plus aussi très moins toujours encore bien no sí más muy también solo ya aún menos не только также очень более ещё уже здесь нет лишь слишком лучше хуже вместе точнее zu besser schlechter zusammen gemeinsam genauer trop mieux meilleur meilleure ensemble demasiado mejor peor juntos better worse together",
 }
 NAMES = ["start", "new", "again", "near", "loop", "name", "number", "code", "link", "tag", "comma", "stop", "colon", "open", "close", "dash", "slash", "bar", "quote", "mark", "line", "long", "letter", "foreign", *KINDS]
 ID = {n: i for i, n in enumerate(NAMES)}
