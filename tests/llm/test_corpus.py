@@ -134,3 +134,20 @@ def test_spam_stands_out(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted([first, *range(first, first + len(SPAM))])
     assert spam.flagged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert spam.flagged(spark.createDataFrame([(1, SPAM[0])], "doc_id long, text string")).count() == 0
+
+
+def test_keywords_at_any_cycle(spark):
+    rng = random.Random(8)
+    some = lambda: " ".join(rng.sample(NOUNS, rng.randrange(1, 7)))
+    prose = [" ".join(f"The {some()} of the {some()}, which is not in the {some()}, has been shown with {some()} for all of our {some()}." for _ in range(4)) for _ in range(300)]
+    table = prose[0] + "\n\nMethod | recall | accuracy\n" + "\n".join(f"{n.capitalize()} | {i}.5 | {i}.25" for i, n in enumerate(NOUNS[:20]))
+    words = [a + b for a in NOUNS for b in ("", "al", "ic", "ous", "ing", "ed", "or", "um")]
+    pages = []
+    for cycle in (5, 24, 30, 60, 400):
+        seq = [words[i % cycle] for i in range(400)]
+        mixed = rng.sample(seq, len(seq))
+        pages += [" ".join(seq), ", ".join(seq), " ".join(mixed), "\n".join(" ".join(seq[i : i + 3]) for i in range(0, 400, 3)), " ".join(f"for {w}" if i % 8 == 7 else w for i, w in enumerate(seq))]
+        pages += [" | ".join(w.capitalize() for w in seq), ". ".join(" ".join(seq[i : i + 8]).capitalize() for i in range(0, 400, 8)) + "."]
+    rows = list(enumerate([*prose, table, *pages]))
+    got = sorted(r["doc_id"] for r in spam.flagged(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == list(range(len(prose) + 1, len(rows)))

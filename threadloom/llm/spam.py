@@ -2,6 +2,8 @@
 
 Texts become sequences of classes (see wordclass). A four-gram model with Witten-Bell back-off is trained on the prose
 sentences of all documents: those that end with a full stop, have a fifth of function words and don't go round in circles.
+Keywords repeat at any distance or not at all: words that stand where function words are missing are a class of their own,
+which prose doesn't have, so the verdict depends neither on how many keywords a page has nor on their order.
 A page is scored by its mean surprisal in bits a token, each token capped so that a few odd marks can't decide; reference
 lists, tables and keyword lines lift the mean a little, pages made of keywords, tags or links a lot. Pages of abnormally
 high and abnormally low perplexity are flagged.
@@ -48,7 +50,7 @@ def prose(seq: np.ndarray) -> list[np.ndarray]:
     for end in np.flatnonzero((seq == ID["stop"]) | (seq == ID["line"])):
         s = seq[at : end + 1]
         at = end + 1
-        if len(s) >= 7 and seq[end] == ID["stop"] and (s >= ID["det"]).mean() >= 0.2 and not (s == ID["loop"]).any() and (s == ID["near"]).mean() < 0.15:
+        if len(s) >= 7 and seq[end] == ID["stop"] and (s >= ID["det"]).mean() >= 0.2 and not ((s == ID["loop"]) | (s == ID["bare"])).any() and (s == ID["near"]).mean() < 0.15:
             out.append(np.concatenate([[0] * (ORDER - 1), s]))
     return out
 

@@ -1,4 +1,4 @@
-"""Texts as sequences of word classes: function words by kind, other words by whether they are new, names, numbers, links, marks."""
+"""Texts as sequences of word classes: function words by kind, other words by whether they are new or stand where function words are missing, names, numbers, links, marks."""
 
 from __future__ import annotations
 
@@ -15,15 +15,36 @@ KINDS = {
     "aux": "is are was were be been being am has have had do does did can could may might must should would will shall cannot ist sind war waren wird werden wurde hat haben kann können soll sollen sollte muss sein est sont était a ont été peut doit faut serait es son fue ha han puede debe debería está están быть был была было есть может должен должна",
     "adv": "not only never still also very more most less too already just even then here now however rather nicht nur auch sehr mehr noch immer schon hier nun klar pas ne plus aussi très moins toujours encore bien no sí más muy también solo ya aún menos не только также очень более ещё уже здесь нет лишь слишком лучше хуже вместе точнее zu besser schlechter zusammen gemeinsam genauer trop mieux meilleur meilleure ensemble demasiado mejor peor juntos better worse together",
 }
-NAMES = ["start", "new", "again", "near", "loop", "name", "number", "code", "link", "tag", "comma", "stop", "colon", "open", "close", "dash", "slash", "bar", "quote", "mark", "line", "long", "letter", "foreign", *KINDS]
+NAMES = ["start", "new", "again", "near", "loop", "name", "number", "code", "link", "tag", "comma", "stop", "colon", "open", "close", "dash", "slash", "bar", "quote", "mark", "line", "long", "letter", "foreign", "bare", *KINDS]
 ID = {n: i for i, n in enumerate(NAMES)}
 K = len(NAMES)
 OF = {w: ID[k] for k, words in KINDS.items() for w in words.split()}
 MARKS = {",": "comma", ".": "stop", "!": "stop", "?": "stop", "…": "stop", "。": "stop", ":": "colon", ";": "colon", "(": "open", "[": "open", "{": "open", "<": "open", ")": "close", "]": "close", "}": "close", ">": "close", "-": "dash", "–": "dash", "—": "dash", "/": "slash", "\\": "slash", "+": "slash", "*": "slash", "|": "bar", '"': "quote", "'": "quote", "“": "quote", "”": "quote", "\n": "line"}
 MARK_ID = {m: ID[n] for m, n in MARKS.items()}
 TOKEN = re.compile(r"(?:https?|hxxps?|ftp)://[^\s\"'<>)\]]+|www\.[^\s\"'<>)\]]+|#[^\W_]\w[\w-]*|\d+(?:[.,]\d+)*%?|[^\W\d_]+(?:['’-][^\W_]+)*\d*|\n+|[^\w\s]|\w+")
-#: A content word is seen again within so many content words, near within so many; a loop repeats the word before it as well.
-RECENT, NEAR, LOOP = 24, 6, 12
+#: A repeat is near within so many content words, else it is one at any distance; a loop repeats the word before it as well.
+NEAR, LOOP = 6, 12
+#: So many words in a row with at most so many function words among them aren't sentences: their content words are bare.
+RUN, FEW = 16, 2
+CONTENT = np.array([n in ("new", "again", "near", "loop", "name", "letter") for n in NAMES])
+
+
+def bare(seq: np.ndarray) -> np.ndarray:
+    """Where the content words stand that are in a run of RUN words with at most FEW function words, wherever in the page.
+
+    Words of table rows, lines with as many numbers as words, don't count.
+    """
+    function = seq >= ID["det"]
+    word = function | CONTENT[seq]
+    line = np.cumsum(seq == ID["line"])
+    row = np.bincount(line, weights=seq == ID["number"]) >= np.bincount(line, weights=word)
+    at = np.flatnonzero(word & ~row[line])
+    if len(at) < RUN:
+        return at[:0]
+    some = np.r_[0, np.cumsum(function[at])]
+    first = some[RUN:] - some[:-RUN] <= FEW
+    within = np.cumsum(np.r_[first, np.zeros(RUN - 1, bool)].astype(np.int64) - np.r_[np.zeros(RUN, bool), first[: len(at) - RUN]]) > 0
+    return at[within & ~function[at]]
 
 
 def encode(text: str) -> np.ndarray:
@@ -47,7 +68,7 @@ def encode(text: str) -> np.ndarray:
                 last = low
                 if pair is not None and at - pair <= LOOP:
                     out.append(ID["loop"])
-                elif before is not None and at - before <= RECENT:
+                elif before is not None:
                     out.append(ID["near"] if at - before <= NEAR else ID["again"])
                 elif c.isupper() and (not start or any(x.isdigit() for x in t)):
                     out.append(ID["name"])
@@ -73,4 +94,6 @@ def encode(text: str) -> np.ndarray:
             k = MARK_ID.get(c)
             out.append(ID["mark"] if k is None else k)
             start = start or c in ".!?:"
-    return np.array(out, dtype=np.int8)
+    seq = np.array(out, dtype=np.int8)
+    seq[bare(seq)] = ID["bare"]
+    return seq
