@@ -105,6 +105,24 @@ def test_judging_a_table(spark):
     assert answers.judge(spark.createDataFrame([], kind), ["table_name", "record_key", "pair_no"]).count() == 0
 
 
+def test_endings_are_counted_over_all_answers(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.sample(SENTENCE, 3)) + f" Run {i} of the plan is done." for i in range(6000)] + ["It affects the main claim of the " + w for w in ("work", "main", "wor")]
+    # a third of all rows is one text; the one answer with a rare word counts whatever its hash, as every other
+    rare = ["The reader of the section finds a zymurgy."] + [f"The reader of the {w} finds the zymurgy." for w in ("code", "work", "field")]
+    rows = [("t", str(i), 1, LONG, t) for i, t in enumerate([*texts, *rare, *[texts[0]] * 3000, "The reader of the section finds a zymurgy", "The reader finds the zymur"])]
+    df = spark.createDataFrame(rows, "table_name string, record_key string, pair_no int, question string, answer string")
+    whole = EndModel({t for *_, t in rows if len(t) >= 40})
+    for keys in (300_000, 50):
+        monkeypatch.setattr(answers, "KEYS", keys, raising=False)
+        got = answers.fit(df)
+        assert got.seen.items() <= whole.seen.items() and got.ended.items() <= whole.ended.items() and got.seen[("zymurgy",)] == 4
+        assert (got.closing, got.inner, got.tails) == (whole.closing, whole.inner, whole.tails)
+        assert len(got.seen) < 100  # what unfinished answers ask for
+        assert all(got.truncated(t) == whole.truncated(t) for *_, t in rows)
+        assert not got.truncated(rows[-2][-1]) and got.truncated(rows[-1][-1])
+
+
 def components(nodes, pairs):
     root = {n: n for n in nodes}
 
