@@ -222,3 +222,16 @@ def test_lexical_markers(spark):
     assert one(spark, lambda c: L.chunk_type(L.norm(c)), "See Table 3.") == "table_result" and one(spark, lambda c: L.chunk_type(L.norm(c)), None) == "generic"
     assert one(spark, lambda c: L.anchors(L.norm(c)), "Eq. (3) and Table 4, then table 4") == ["eq. (3)", "table 4"]
     assert one(spark, L.tokens, "The Method, (uses) a 2-stage λ/x a") == ["method", "uses", "2-stage", "λ/x"]
+
+
+def test_id_set_has_one_digest(spark, tmp_path):
+    import hashlib
+    import json
+
+    from threadloom.plans import catalogue
+
+    sha = lambda ids: hashlib.sha256(json.dumps(ids, separators=(", ", ": ")).encode()).hexdigest()
+    spark.createDataFrame([("a", i) for i in (*range(2500), 7)] + [("b", 3)], "source string, doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: (r["blocks"], r["digest"]) for r in catalogue.queries()["id_set_digest_whole"](spark, str(tmp_path)).collect()}
+    want = lambda ids: [sha([i for i in ids if i // 1000 == b]) for b in sorted({i // 1000 for i in ids})]
+    assert got == {s: (len(x), hashlib.sha256(json.dumps(x, separators=(",", ":")).encode()).hexdigest()) for s, x in (("a", want(range(2500))), ("b", want([3])))}

@@ -51,7 +51,13 @@ def id_set_digest(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("source", "block", F.sha2(F.concat(F.lit("["), "part", F.lit("]")), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in [best_match, near_dup_pairs, valid_groups, id_set_digest]}
+def id_set_digest_whole(spark: SparkSession, d: str) -> DataFrame:
+    """One SHA-256 for the id set of each source: of the JSON list of its blocks' digests, in the order of the blocks."""
+    parts = id_set_digest(spark, d).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("parts"))
+    return parts.select("source", F.size("parts").alias("blocks"), F.sha2(F.to_json(F.col("parts.digest")), 256).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in [best_match, near_dup_pairs, valid_groups, id_set_digest, id_set_digest_whole]}
 _REV = S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"submission_id": "submission_id", "w": "original_weakness", "c": "enhanced_review.claim", "r": "enhanced_review", "l2_id": "weakness_category.l2_id", "abstract": "paper_context.abstract"})
 _WS = lambda c: f"list_distinct({S.words(c)})"
 _FIELDS = ["what", '"where"', "how", "expected_outcome", "priority"]
