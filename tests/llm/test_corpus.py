@@ -29,6 +29,12 @@ def test_boundaries_are_optimal():
     assert len(packing.boundaries(np.zeros(5, np.int64))) == 0 and len(packing.boundaries(np.zeros(1, np.int64))) == 0
 
 
+def test_boundaries_tell_all_lengths_apart():
+    counts = np.zeros(4100, np.int64)
+    counts[[1, 2, 4099]] = 1000, 1000, 1
+    assert packing.boundaries(counts, 2).tolist() == [2, 4099]
+
+
 def test_plan_never_overfills():
     rng = np.random.default_rng(2)
     for _ in range(50):

@@ -25,8 +25,6 @@ from threadloom.runtime import cut
 
 #: Buckets at most.
 BUCKETS = 128
-#: Lengths the dynamic program tells apart; longer histograms are read in steps.
-STATES = 2048
 
 
 def boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -34,27 +32,34 @@ def boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     top = len(counts) - 1
     if top <= 0:
         return np.zeros(0, np.int64)
-    step = max(1, -(-top // STATES))
-    ends = np.unique(np.r_[np.arange(step, top + 1, step), top])
-    cum = np.cumsum(counts)[np.r_[0, ends]].astype(np.float64)
-    keep = np.r_[True, np.diff(cum) > 0]  # lengths that occur
-    cum, ends = cum[keep], np.r_[0, ends][keep]
+    ends = np.r_[0, np.flatnonzero(counts[1:]) + 1]  # lengths that occur
+    cum = np.cumsum(counts)[ends] - counts[0]
     n = len(ends) - 1
     if n <= 0:
         return np.zeros(0, np.int64)
     if n <= buckets:
         return ends[1:]
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
+    # all of (i, j] padded to ends[j]: the best i never falls as j grows, so the middle j halves the range of i for both sides
+    best = np.r_[0, np.full(n, np.iinfo(np.int64).max // 2)]
     choice = []
-    cost = ends[None, :] * (cum[None, :] - cum[:, None])  # [i, j]: all of (i, j] padded to ends[j]
-    cost[np.tril_indices(n + 1)] = np.inf
     for _ in range(buckets):
-        total = best[:, None] + cost
-        from_ = total.argmin(0)
+        from_, total = np.zeros(n + 1, np.int64), best.copy()
+        lo, hi, first, last = np.array([1]), np.array([n]), np.array([0]), np.array([n - 1])
+        while len(lo):  # one level of the halving at a time
+            mid = (lo + hi) // 2
+            many = np.minimum(last, mid - 1) - first + 1
+            at = np.cumsum(many) - many
+            i = np.arange(many.sum()) - np.repeat(at - first, many)
+            j = np.repeat(mid, many)
+            cost = best[i] + ends[j] * (cum[j] - cum[i])
+            least = np.minimum.reduceat(cost, at)
+            hit = np.flatnonzero(cost == np.repeat(least, many))
+            from_[mid], total[mid] = i[hit[np.searchsorted(hit, at)]], least
+            lo, hi, first, last = np.r_[lo, mid + 1], np.r_[mid - 1, hi], np.r_[first, from_[mid]], np.r_[from_[mid], last]
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         choice.append(from_)
-        best = total[from_, np.arange(n + 1)]
-        best[0] = 0
+        best = np.r_[0, total[1:]]
     out, at = [], n
     for from_ in reversed(choice):
         if at == 0:
