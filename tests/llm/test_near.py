@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import nearsets as N
 from threadloom.llm import neardup, overlap
-from threadloom.llm.fmindex import Index, suffix_order
+from threadloom.llm.fmindex import Index, Packed, suffix_order
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -50,10 +50,11 @@ def corpus(n, seed, low=3, high=40):
 ITEMS = "scope string, id string, ts int, text string, token string, __set string"
 
 
-@pytest.mark.parametrize("seed, block, held", [(1, 8192, 500_000), (2, 8192, 100), (3, 16, 500_000), (4, 4, 30)])
-def test_all_near_pairs_are_found(spark, monkeypatch, seed, block, held):
-    """Also with runs longer than a block, and longer than what a task takes up at once."""
+@pytest.mark.parametrize("seed, block, wide, held", [(1, 8192, 32_768, 500_000), (2, 8192, 64, 100), (3, 16, 16, 500_000), (4, 4, 8, 30), (5, 4, 2, 40)])
+def test_all_near_pairs_are_found(spark, monkeypatch, seed, block, wide, held):
+    """Also with frequent pairs, with runs longer than a block, and longer than what a task takes up at once."""
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "WIDE", wide)
     monkeypatch.setattr(neardup, "HELD", held)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(held, 10_000)))
     texts = corpus(350, seed)
@@ -83,7 +84,7 @@ def test_sketches_never_rule_out_near_sets():
 
         def sketch(x):
             bits = np.bincount(x % N.SKETCH_BITS, minlength=N.SKETCH_BITS) & 1
-            value = sum(int(v) << i for i, v in enumerate(bits[:64])), sum(int(v) << (i + 8) for i, v in enumerate(bits[64:])) | min(len(x), 255)
+            value = sum(int(v) << i for i, v in enumerate(bits[:64])), sum(int(v) << i for i, v in enumerate(bits[64:])) | min(len(x), 255) << 56
             return [np.array([v], dtype=np.uint64).view(np.int64) for v in value]
 
         common = len(np.intersect1d(a, b))
@@ -112,14 +113,49 @@ def test_suffix_order_and_locate():
             assert sorted(zip(doc.tolist(), place.tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize("shard", [20_000, 25])
-def test_overlaps_across_splits(spark, monkeypatch, shard):
-    monkeypatch.setattr(overlap, "SHARD", shard)
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for top in (0, 1, 2, 255, 256, 2**33, 2**50):
+        x = rng.integers(0, top + 1, 70_000)
+        packed = Packed.of(x)
+        at = rng.permutation(len(x))
+        assert (packed[at] == x[at]).all() and len(packed.data) <= len(x) * max(1, top.bit_length()) / 8 + 9
+    assert len(Packed.of(np.zeros(0, np.int64))[np.zeros(0, np.int64)]) == 0
+
+
+def test_an_index_is_smaller_than_its_text_and_reads_it_off():
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(3000)]
+    docs = [rng.choice(3000, rng.integers(0, 60), p=(w := 1 / np.arange(1, 3001)) / w.sum()) for _ in range(3000)]
+    values, lengths = np.concatenate(docs) * 7919, np.array([len(d) for d in docs])
+    data = Index.build(values, lengths).dump()
+    assert len(data) < len(" ".join(" ".join(words[i] for i in d) for d in docs))
+    index = Index.load(data)
+    got, n = index.read(np.arange(len(docs)))
+    assert (n == lengths).all() and (index.alphabet[got - 1] == values).all()
+
+
+@pytest.mark.parametrize("a, b", [("a b c d e f", "a b c x d e f"), ("a c e", "b d f"), ("a b", "a b"), ("a b c d", "b c d"), ("a x b", "a b"), ("q", "q")])
+def test_maximal_matches(a, b):
+    ids = lambda t: np.array([ord(x) for x in sorted(t.split())])
+    x, y = ids(a), ids(b)
+    index = Index.build(y, np.array([len(y)]))
+    n, common, spans, matched = overlap.matches(index, x, np.array([len(x)]), np.array([0]), np.array([0]))
+    pairs = {(i, j) for i, j in zip(y, y[1:], strict=False)}
+    hit = [(i, j) in pairs for i, j in zip(x, x[1:], strict=False)]
+    runs = sum(h and (i == 0 or not hit[i - 1]) for i, h in enumerate(hit))
+    assert (n[0], common[0], spans[0], matched[0]) == (len(y), len(set(x) & set(y)), runs, sum(hit) + runs)
+
+
+@pytest.mark.parametrize("shard, held, step", [(2_000_000, 4_000_000, 1 << 20), (300, 500, 40)])
+def test_overlaps_across_splits(spark, monkeypatch, shard, held, step):
+    for name, value in (("SHARD", shard), ("HELD", held), ("STEP", step)):
+        monkeypatch.setattr(overlap, name, value)
     rng = random.Random(8)
     texts = corpus(260, 7, 1, 30) + [None, " ", "lone", "lone", "a b", "b a!"]
     rows = [("title" if i % 3 == 0 else "weakness", f"{i:04d}", t, rng.random() < 0.6, rng.random() < 0.5, "clash") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "scope string, id string, text string, train boolean, eval boolean, spans string")
-    got = sorted(map(tuple, overlap.overlapping(df, {"weakness": 8, "title": 1}).collect()))
+    got = sorted(map(tuple, overlap.overlapping(df, {"weakness": 8, "title": 1}).select("scope", "id_t", "id_e").collect()))
     least = {"weakness": 8, "title": 1}
     want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[3] and b[4] and near(a[2], b[2], least[a[0]]))
     assert len(want) > 100 and got == want
@@ -128,6 +164,8 @@ def test_overlaps_across_splits(spark, monkeypatch, shard):
 def test_one_side_only(spark):
     rows = [("title", "1", "a b c", True, False), ("title", "2", "a b c", True, False)]
     df = spark.createDataFrame(rows, "scope string, id string, text string, train boolean, eval boolean")
+    with pytest.raises(ValueError):
+        overlap.overlapping(df, {}, threshold=0.5)
     assert overlap.overlapping(df, {}).count() == 0
     assert overlap.overlapping(df.limit(0), {}).count() == 0
     assert overlap.overlapping(df.withColumn("eval", F.lit(True)).withColumn("train", F.lit(False)), {}).count() == 0

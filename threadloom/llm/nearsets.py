@@ -1,14 +1,14 @@
 """Distinct-word sets as sequences of word pairs, shared by the near-copy operators.
 
-Order every set of words by the words' hashes. Let U be the size of the union of two sets that are near (share at least
+Put every set of words in alphabetical order. Let U be the size of the union of two sets that are near (share at least
 0.7 U words) and put the union in that order. At most 0.3 U words are not shared, so they cut the shared ones into at
 most 0.3 U + 1 runs, and at least 0.7 U - (0.3 U + 1) = 0.4 U - 1 pairs of neighbours are neighbours in *both* sets. Two
-near texts thus have at least ceil(0.4 n - 1) such pairs in common, n the size of the larger set, whatever was inserted,
-deleted or put in another order; and a pair of words is rarer than its words.
+near texts thus have at least T = ceil(0.4 n - 1) such pairs in common, n the size of the larger set, whatever was
+inserted, deleted or put in another order; and a pair of words is rarer than its words.
 
 Pairs have a global order of their own: rising product of the two words' counts in a histogram over all texts, then
-hash. By the usual argument on prefixes the first common pair of two near sets lies within the first n - T pairs of each
-(T = ceil(0.4 n - 1)), so only those are looked up. No link is lost, and every candidate is checked exactly.
+hash. By the usual argument on prefixes, c of T common pairs lie among the first n - 1 - (T - c) pairs of each set, so
+only those are looked up; the T - c last ones, the long lists, are probed.
 
 Beside the pairs goes a parity sketch of the set: 120 bits, each the parity of the number of words that hash to it, and
 eight bits of n. The sketches of two sets differ in no more bits than the sets differ in words, so too many differing
@@ -33,28 +33,27 @@ THRESHOLD = 0.7
 SKETCH_BITS = 120
 
 
-def _sketch(hashes: Column, low: int, high: int, shift: int, start: Column) -> Column:
-    """Parities of the bits low..high - 1 of the sketch, from bit `shift` on."""
+def _sketch(hashes: Column, low: int, high: int, start: Column) -> Column:
+    """Parities of the bits low..high - 1 of the sketch."""
     def step(acc: Column, h: Column) -> Column:
         bit = F.pmod(h, F.lit(SKETCH_BITS)).cast("int")
-        return F.when((bit >= low) & (bit < high), acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit - low + shift))).otherwise(acc)
+        return F.when((bit >= low) & (bit < high), acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit - low))).otherwise(acc)
 
     return F.aggregate(hashes, start, step)
 
 
+def word_hashes(words: Column, scopes: list[Column]) -> Column:
+    """64 bits of each word; equal words of different scopes differ."""
+    return F.transform(words, lambda w: F.xxhash64(*scopes, w))
+
+
 def with_sets(df: DataFrame, text: str, scope: list[str]) -> DataFrame:
-    """Adds __n (distinct words), __h (their 64-bit hashes), __s1 and __s2 (the sketch) and __cid; (__s1, __s2, __cid) is the class of the set."""
+    """Adds __n (distinct words), __h (their hashes, in the words' order), __s1 and __s2 (the sketch, n in the top byte of __s2) and __cid; (__s1, __s2, __cid) is the class of the set."""
     df = df.withColumn("__set", X.word_set(F.coalesce(F.col(text), F.lit(""))))
     scopes = [F.col(c).cast("string") for c in scope]
-    df = df.withColumns({
-        "__n": F.size("__set"),
-        "__h": F.transform("__set", lambda w: F.xxhash64(*scopes, w)),
-        "__cid": F.xxhash64(*scopes, F.concat_ws(" ", "__set")),
-    }).drop("__set")
-    return df.withColumns({
-        "__s1": _sketch(F.col("__h"), 0, 64, 0, F.lit(0).cast("long")),
-        "__s2": _sketch(F.col("__h"), 64, SKETCH_BITS, 8, F.least("__n", F.lit(255)).cast("long")),
-    })
+    df = df.withColumns({"__n": F.size("__set"), "__h": word_hashes(F.col("__set"), scopes), "__cid": F.xxhash64(*scopes, F.concat_ws(" ", "__set"))}).drop("__set")
+    size = F.call_function("shiftleft", F.least("__n", F.lit(255)).cast("long"), F.lit(56))
+    return df.withColumns({"__s1": _sketch(F.col("__h"), 0, 64, F.lit(0).cast("long")), "__s2": _sketch(F.col("__h"), 64, SKETCH_BITS, size)})
 
 
 def histogram(df: DataFrame) -> np.ndarray:
@@ -66,7 +65,7 @@ def histogram(df: DataFrame) -> np.ndarray:
 
 
 def least_common(n: np.ndarray) -> np.ndarray:
-    """The least number of neighbouring pairs that near sets have in common, the larger of n words."""
+    """T: the least number of neighbouring pairs that near sets have in common, the larger of n words."""
     return np.maximum(1, np.ceil(0.4 * n - 1 - 1e-9)).astype(np.int64)
 
 
@@ -76,35 +75,65 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), lengths
 
 
+def starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit token for a pair of neighbours."""
+    """One 64-bit token for a pair of neighbours; the lowest bit is 0."""
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x7F4A7C159E3779B9))
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
-    return x.view(np.int64)
+    return (x & ~np.uint64(1)).view(np.int64)
 
 
-def short_lists(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of each row that must be looked up: token, row, place of the pair in its row's order by hash."""
+def word_pairs(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of neighbours, row by row: token, row, place, key of the global order, and in how many texts the pair can be at most."""
     row = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((values, row))
-    values = values[order]
-    place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    here = np.flatnonzero(place[1:] > 0)
-    count = counts[values % BUCKETS]
-    weight, token, row, place = count[here] * count[here + 1], mix(values[here], values[here + 1]), row[here], place[here]
-    order = np.lexsort((token, weight, row))
+    here = np.flatnonzero(row[1:] == row[:-1])
+    place = here - starts(lengths)[row[here]]
+    count = np.maximum(counts[values % BUCKETS], 1)
+    token = mix(values[here], values[here + 1])
+    weight = (np.log2(count[here] * count[here + 1].astype(np.float64)) * 256).astype(np.uint64)
+    key = weight << np.uint64(48) | token.view(np.uint64) >> np.uint64(16)
+    return token, row[here], place, key, np.minimum(count[here], count[here + 1])
+
+
+def ranks(key: np.ndarray, row: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of the pairs of each row in the global order, from 0."""
+    order = np.lexsort((key, row))
     pairs = np.maximum(lengths - 1, 0)
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-    order = order[rank < np.repeat(lengths - least_common(lengths), pairs)]
-    return token[order], row[order], place[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(starts(pairs), pairs)
+    return out
+
+
+def short_lists(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of each row that must be looked up for one common pair (c = 1): row and place of the pair in the row."""
+    _, row, place, key, _ = word_pairs(values, lengths, counts)
+    short = ranks(key, row, lengths) < (lengths - least_common(lengths))[row]
+    return row[short], place[short]
+
+
+def probe(values: np.ndarray, lengths: np.ndarray, asked: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which of the asked values are in the list of their row; by binary search, lists rise as unsigned numbers."""
+    start = starts(lengths)
+    lo, hi = start[row], start[row] + lengths[row]
+    values, asked = values.view(np.uint64), asked.view(np.uint64)
+    end = hi.copy()
+    for _ in range(int(lengths.max()).bit_length() if len(lengths) else 0):
+        mid = (lo + hi) >> 1
+        less = (mid < end) & (values[np.minimum(mid, len(values) - 1)] < asked)
+        open_ = lo < hi
+        lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+    return (lo < end) & (values[np.minimum(lo, len(values) - 1)] == asked) if len(values) else np.zeros(len(asked), bool)
 
 
 def may_be_near(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray, threshold: float) -> np.ndarray:
     """False where sketches or sizes rule a pair out."""
-    na, nb = (a2 & 255).astype(np.int64), (b2 & 255).astype(np.int64)
-    apart = np.bitwise_count((a1 ^ b1).view(np.uint64)).astype(np.int64) + np.bitwise_count(((a2 ^ b2) & ~np.int64(255)).view(np.uint64))
+    na, nb = (a2.view(np.uint64) >> np.uint64(56)).astype(np.int64), (b2.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+    apart = np.bitwise_count((a1 ^ b1).view(np.uint64)).astype(np.int64) + np.bitwise_count((a2 ^ b2).view(np.uint64) << np.uint64(8))
     small = (apart * (1 + threshold) <= (1 - threshold) * (na + nb) + 1e-9) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
     return small | (na == 255) | (nb == 255)
 
@@ -115,26 +144,16 @@ def batches(out: dict[str, np.ndarray], size: int = 50_000) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict({k: pa.array(v[i : i + size]) for k, v in out.items()})
 
 
-def classes_of(sets: DataFrame) -> DataFrame:
-    """One row per class with one of its texts; partitioned by sketch, as the joins of check_near need it."""
-    return sets.repartition("__s1", "__s2").groupBy("__s1", "__s2", "__cid").agg(F.min("text").alias("text"))
-
+def near(common: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether so many common words make two sets near; whole numbers, no rounding."""
+    return common * 1000 >= round(threshold * 1000) * (na + nb - common)
 
-def check_near(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The near ones among all classes of sketches (a1, a2) and (b1, b2), with their __cid as a, b. Exact: whole numbers, whole texts.
 
-    pairs needn't hold a sketch twice: classes of equal sketch and different __cid are compared as well.
-    """
-    side = lambda s: classes.select(F.col("__s1").alias(f"{s}1"), F.col("__s2").alias(f"{s}2"), F.col("__cid").alias(s), F.col("text").alias(f"t{s}"))
-    twins = classes.groupBy("__s1", "__s2").agg(F.count("*").alias("n")).where("n > 1")  # reads no texts
-    twins = twins.select(F.col("__s1").alias("a1"), F.col("__s2").alias("a2"), F.col("__s1").alias("b1"), F.col("__s2").alias("b2"))
-    pairs = pairs.select("a1", "a2", "b1", "b2").where("not (a1 = b1 and a2 = b2)").union(twins)
-    both = pairs.join(side("a"), ["a1", "a2"]).repartition("b1", "b2").join(side("b"), ["b1", "b2"]).where("not (a1 = b1 and a2 = b2) or a < b")
-    both = both.withColumns({"wa": X.word_set(F.col("ta")), "wb": X.word_set(F.col("tb"))})
-    both = both.withColumn("common", F.size(F.array_intersect("wa", "wb")))
-    top, low = round(threshold * 1000), 1000
-    return both.where(F.col("common") * low >= top * (F.size("wa") + F.size("wb") - F.col("common"))).select("a1", "a2", "a", "b1", "b2", "b")
+def checked(threshold: float) -> float:
+    if threshold < THRESHOLD:
+        raise ValueError(f"the bound on common pairs holds from {THRESHOLD} on")
+    return threshold
 
 
-def shards(rows: int, per: int) -> int:
-    return max(1, math.ceil(rows / per))
+def shards(size: int, per: int) -> int:
+    return max(1, math.ceil(size / per))

@@ -63,12 +63,23 @@ P7 = f"""
     g AS (SELECT root, min(record_id) AS group_id FROM records JOIN roots USING (paper) GROUP BY 1 HAVING count(DISTINCT split) > 1)
     SELECT record_id, group_id FROM records JOIN roots USING (paper) JOIN g USING (root)"""
 
-_P1_WITH = P1[P1.index("WITH") : P1.index("    SELECT DISTINCT 'weakness'")].rstrip()
+_SIDES = "bool_or(split = 'train') AS train, bool_or(split <> 'train') AS eval FROM records WHERE split IS NOT NULL GROUP BY 2"
+_NEIGHBOURS = "list_transform(range(1, length({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+_P1_MET = f"""{_RECORDS},
+    u AS (SELECT 'weakness' AS field_name, weakness_id AS id, {_SIDES} UNION ALL SELECT 'title', paper, {_SIDES}),
+    t AS (SELECT 'weakness' AS field_name, weakness_id AS id, t FROM {S.latest("classified_weakness_pairs", "weakness_id", "classified_at", {"t": "original_weakness"})} UNION ALL SELECT 'title', submission_id, t FROM {S.latest("paper_context", "submission_id", "fetched_at", {"t": "title"})}),
+    x AS (SELECT u.*, list_sort({_set('t')}) AS w FROM u JOIN t USING (field_name, id) WHERE t IS NOT NULL),
+    n AS (SELECT a.field_name, a.id AS id_t, b.id AS id_e, length(list_intersect(a.w, b.w)) AS common_words, {_NEIGHBOURS.format("a.w")} AS a, {_NEIGHBOURS.format("b.w")} AS b
+        FROM x a JOIN x b ON a.field_name = b.field_name AND a.train AND b.eval AND {_SIZE} WHERE least(length(a.w), length(b.w)) >= CASE WHEN a.field_name = 'weakness' THEN 8 ELSE 1 END AND {_NEAR}),
+    m AS (SELECT *, list_transform(a, lambda x: list_contains(b, x)) AS m FROM n),
+    s AS (SELECT field_name, id_t, id_e, common_words, length(list_filter(range(1, length(m) + 1), lambda i: m[i] AND (i = 1 OR NOT m[i - 1]))) AS spans, length(list_filter(m, lambda x: x)) AS pairs FROM m)"""
+P1_SPANS = f"WITH {_P1_MET} SELECT field_name, id_t, id_e, common_words, spans, pairs + spans AS matched_words FROM s"
 P1_REPORT = f"""
-    {_P1_WITH},
-    h AS (SELECT DISTINCT b.record_id FROM w a JOIN w b ON a.train AND NOT b.train AND {_SIZE} WHERE length(a.w) >= 8 AND length(b.w) >= 8 AND {_NEAR}),
-    t AS (SELECT DISTINCT b.paper FROM p a JOIN p b ON a.train AND b.eval AND a.paper <> b.paper AND {_SIZE} WHERE length(a.w) > 0 AND length(b.w) > 0 AND {_NEAR}),
+    WITH {_P1_MET},
+    h AS (SELECT id_e AS weakness_id, sum(spans) AS spans, sum(common_words) AS common_words FROM s WHERE field_name = 'weakness' GROUP BY 1),
+    p AS (SELECT DISTINCT id_e AS paper FROM s WHERE field_name = 'title' AND id_t <> id_e),
     v AS (SELECT submission_id AS paper, max(venue) AS venue FROM paper_context GROUP BY 1)
-    SELECT split, venue, count(*) AS n_records, count(h.record_id) AS n_overlapping, count(t.paper) AS n_same_title FROM records LEFT JOIN h USING (record_id) LEFT JOIN t USING (paper) LEFT JOIN v USING (paper) WHERE split <> 'train' GROUP BY 1, 2"""
+    SELECT split, venue, count(*) AS n_records, count(spans) AS n_overlapping, count(p.paper) AS n_same_title, CAST(coalesce(sum(spans), 0) AS BIGINT) AS spans, CAST(coalesce(sum(common_words), 0) AS BIGINT) AS common_words
+    FROM records LEFT JOIN h USING (weakness_id) LEFT JOIN p USING (paper) LEFT JOIN v USING (paper) WHERE split <> 'train' GROUP BY 1, 2"""
 
-SQL = {"p1_found": P1, "p1_report": P1_REPORT, "p2_found": P2, "p2_links": P2_LINKS, "p3_found": P3, "p5_found": P5, "p7_found": P7}
+SQL = {"p1_found": P1, "p1_report": P1_REPORT, "p1_spans": P1_SPANS, "p2_found": P2, "p2_links": P2_LINKS, "p3_found": P3, "p5_found": P5, "p7_found": P7}

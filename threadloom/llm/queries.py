@@ -13,14 +13,12 @@ from threadloom.runtime import cut, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(scope, id_t, id_e) of weaknesses and papers, and the records."""
-    items, used = tables.overlap_items(spark, d)
-    return overlap.overlapping(cut(items, "items"), {"weakness": 8, "title": 1}), used
+LEAST_WORDS = {"weakness": 8, "title": 1}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    met, used = _overlaps(spark, d)
+    items, used = tables.overlap_items(spark, d)
+    met = overlap.overlapping(cut(items, "items"), LEAST_WORDS)
     t = used.where("split = 'train'").select(F.col("weakness_id").alias("id_t"), F.col("record_id").alias("rec_t"))
     e = used.where("split != 'train'").select(F.col("weakness_id").alias("id_e"), F.col("record_id").alias("rec_e"))
     records = met.where("scope = 'weakness'").join(t, "id_t").join(e, "id_e").select("scope", F.col("rec_t").alias("a"), F.col("rec_e").alias("b"))
@@ -29,14 +27,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return both.distinct()
 
 
+def p1_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The overlapping texts themselves: words in common, maximal matches of the sorted words, and words in those."""
+    met = overlap.overlapping(cut(tables.overlap_items(spark, d)[0], "items"), LEAST_WORDS)
+    return met.select(F.col("scope").alias("field_name"), "id_t", "id_e", F.col("common").alias("common_words"), "spans", F.col("matched").alias("matched_words"))
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping evaluation records per split and venue of their paper, with the share of all."""
-    met, used = _overlaps(spark, d)
-    hit = met.where("scope = 'weakness'").select(F.col("id_e").alias("weakness_id")).distinct().withColumn("hit", F.lit(1))
-    papers = met.where("scope = 'title' and id_t != id_e").select(F.col("id_e").alias("paper")).distinct().withColumn("paper_hit", F.lit(1))
+    """Overlapping evaluation records per split and venue of their paper: how many of all, how many by title, and in how many spans and words they agree with training texts.
+
+    Counted over classes of equal texts, so that copies are never paired.
+    """
+    items, used = tables.overlap_items(spark, d)
+    members, near = overlap.across(cut(items, "items"), LEAST_WORDS)
+    size = members.where("train").groupBy(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("c").alias("t")).agg(F.count("*").alias("m"))
+    per = near.join(size, ["t1", "t2", "t"]).groupBy("e1", "e2", "e").agg(F.sum("m").alias("texts"), F.sum(F.col("m") * F.col("spans")).alias("spans"), F.sum(F.col("m") * F.col("common")).alias("common_words"))
+    of = members.where("eval").withColumnsRenamed({"c1": "e1", "c2": "e2", "c": "e"}).join(per, ["e1", "e2", "e"]).drop("e1", "e2", "e")
+    hit = of.where("scope = 'weakness'").select(F.col("id").alias("weakness_id"), "spans", "common_words")
+    # a paper on both sides meets itself, which doesn't count
+    papers = of.where("scope = 'title'").where(F.col("texts") > F.col("train").cast("int")).select(F.col("id").alias("paper"), F.lit(1).alias("same_title"))
     venue = table(spark, d, "paper_context").where("submission_id is not null").groupBy(F.col("submission_id").alias("paper")).agg(F.max("venue").alias("venue"))
     e = used.where("split != 'train'").join(hit, "weakness_id", "left").join(papers, "paper", "left").join(venue, "paper", "left")
-    return e.groupBy("split", "venue").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"), F.count("paper_hit").alias("n_same_title"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("spans", "common_words")]
+    return e.groupBy("split", "venue").agg(F.count("*").alias("n_records"), F.count("spans").alias("n_overlapping"), F.count("same_title").alias("n_same_title"), *sums)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +150,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_spans": p1_spans, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 
 
 def oracle_sql() -> dict[str, str]:
