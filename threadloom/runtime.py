@@ -47,6 +47,11 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wide(spark: SparkSession) -> int:
+    """A number of partitions for few but heavy rows, which adaptive execution would put together by their bytes."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 _shipped: set[str] = set()
 
 
