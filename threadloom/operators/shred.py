@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,20 +67,18 @@ def shred(df: DataFrame, columns: list[str]) -> list[Leaf]:
     return [leaf for c in columns for leaf in leaves(F.col(c), df.schema[c].dataType, (c,))]
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def _places(levels: pd.Series) -> pd.Series:
-    """For each entry its places in the lists on its path, from the repetition levels; the depth comes first."""
-    out = []
-    for seq in levels:
-        depth, r = int(seq[0]), np.asarray(seq[1:], dtype=np.int64)
-        places = []
-        for k in range(1, depth + 1):
-            new = r <= k  # an entry of list k begins; below k its parent does
-            count = np.cumsum(new)
-            start = np.maximum.accumulate(np.where(r < k, count, 0))
-            places.append(count - start + 1)
-        out.append(np.stack(places, 1).astype(np.int32).tolist() if len(r) else [])
-    return pd.Series(out)
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _places(depth: pa.Array, levels: pa.Array) -> pa.Array:
+    """For each entry its places in the lists on its path, from the repetition levels; one pass over all rows, each begins with level 0."""
+    n = depth[0].as_py() if len(depth) else 1
+    r = levels.flatten().to_numpy(zero_copy_only=False)
+    places = np.empty((len(r), n), np.int32)
+    for k in range(1, n + 1):
+        count = np.cumsum(r <= k)  # an entry of list k begins; below k its parent does
+        places[:, k - 1] = count - np.maximum.accumulate(np.where(r < k, count, 0)) + 1
+    entries = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * n, pa.int32()), pa.array(places.ravel()))
+    ends = np.cumsum(levels.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), entries)
 
 
 def tables(df: DataFrame, keys: list[str], columns: list[str]) -> dict[str, DataFrame]:
@@ -101,15 +99,10 @@ def tables(df: DataFrame, keys: list[str], columns: list[str]) -> dict[str, Data
             out[""] = df.select(*keys, *[leaf.column[0]["v"].alias(n) for leaf, n in zip(own, names, strict=True)])
             continue
         levels = df.select(*keys, *[leaf.column.alias(f"__{i}") for i, leaf in enumerate(own)])
-        zipped = F.arrays_zip(*[F.col(f"__{i}") for i in range(len(own))])
-        if depth == 1:
-            flat = levels.select(*keys, F.posexplode(zipped).alias("__pos", "__x"))
-            places = [(F.col("__pos") + 1).alias("item_no")]
-        else:
-            r = F.concat(F.array(F.lit(depth)), F.transform("__0", lambda x: x["r"]))
-            with_places = levels.withColumn("__p", _places(r)).withColumn("__z", zipped)
-            flat = with_places.select(*keys, F.explode(F.arrays_zip(F.col("__z").alias("z"), F.col("__p").alias("p"))).alias("__y")).select(*keys, F.col("__y.z").alias("__x"), F.col("__y.p").alias("__places"))
-            places = [F.col("__places")[i].alias(f"item_no_{i + 1}") for i in range(depth)]
+        values = F.arrays_zip(*[F.col(f"__{i}") for i in range(len(own))])
+        with_places = levels.withColumn("__p", _places(F.lit(depth), F.transform("__0", lambda x: x["r"])))
+        flat = with_places.select(*keys, F.explode(F.arrays_zip(values.alias("x"), F.col("__p").alias("p"))).alias("__y")).select(*keys, F.col("__y.x").alias("__x"), F.col("__y.p").alias("__places"))
+        places = [F.col("__places")[i].alias(f"item_no_{i + 1}" if depth > 1 else "item_no") for i in range(depth)]
         out[".".join(p for p in ancestor if p != "*")] = flat.where(F.col("__x")["__0"]["d"] >= own[0].slot).select(
             *keys, *places, *[F.col("__x")[f"__{i}"]["v"].alias(n) for i, n in enumerate(names)]
         )

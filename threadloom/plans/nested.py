@@ -30,32 +30,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """The suggestions of the valid rows of enhanced_reviews with all their fields."""
-    records = E.from_table(table(spark, d, "enhanced_reviews"))
-    flat = shred.tables(records, ["weakness_id"], ["enhanced_review"])["enhanced_review.actionable_suggestions"]
+    """The suggestions of all valid records with all their fields."""
+    flat = shred.tables(cut(E.valid_records(spark, d), "records"), ["weakness_id"], ["enhanced_review"])["enhanced_review.actionable_suggestions"]
     return flat.where(E.filled(*E.SUGGESTION)).select("weakness_id", "item_no", *E.SUGGESTION)
 
 
 def p4_sections(spark: SparkSession, d: str) -> DataFrame:
-    """The sections of the valid rows of enhanced_reviews."""
-    records = E.from_table(table(spark, d, "enhanced_reviews"))
-    flat = shred.tables(records, ["weakness_id"], ["paper_context"])["paper_context.sections_index"]
-    return flat.where(E.filled(*E.SECTION)).select("weakness_id", "item_no", "section_id", "name", F.col("page").cast("int").alias("page"))
+    """The sections of all valid records."""
+    flat = shred.tables(cut(E.valid_records(spark, d), "records"), ["weakness_id"], ["paper_context"])["paper_context.sections_index"]
+    return flat.where(E.filled(*E.SECTION)).select("weakness_id", "item_no", "section_id", "name", F.col("page").try_cast("int").alias("page"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_suggestions": p4_suggestions, "p4_sections": p4_sections}
 
 #: Blank in DuckDB's regex dialect.
 _BLANK = r"^[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]*$"
-_VALID = "(SELECT weakness_id, arg_max(struct_pack(r := {c}), enhanced_at).r AS r FROM enhanced_reviews WHERE weakness_id IS NOT NULL GROUP BY weakness_id)"
-
-
-def _filled(names: list[str]) -> str:
-    return " OR ".join(f"NOT regexp_matches(coalesce(CAST(e.{n} AS VARCHAR), ''), '{_BLANK}')" for n in names)
-
-
-
-
 def _opened(x: str) -> str:
     return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x}->>'$', '^\\s*[\\[{{]') AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
 
@@ -76,28 +65,29 @@ def _item(fields: list[str]) -> str:
     return f"CASE json_type(e) WHEN 'OBJECT' THEN {own} WHEN 'NULL' THEN false ELSE NOT regexp_matches(coalesce(e->>'$', ''), '{_BLANK}') END"
 
 
+_PACK = "r := to_json(enhanced_review), p := to_json(paper_context), c := to_json(weakness_category)"
+_RECORDS = f"""
+    WITH t AS (SELECT weakness_id, arg_max(struct_pack({_PACK}), enhanced_at) AS v FROM enhanced_reviews WHERE weakness_id IS NOT NULL GROUP BY 1),
+    j AS (SELECT line_no, CAST(raw AS JSON) AS j FROM enhanced_raw WHERE json_valid(raw)),
+    l AS (SELECT j->>'weakness_id' AS weakness_id, arg_max(j, line_no) AS j FROM j WHERE json_type(j) = 'OBJECT' AND j->>'weakness_id' IS NOT NULL GROUP BY 1),
+    a AS (SELECT weakness_id, v.r AS r, v.p AS p, v.c AS c FROM t UNION ALL SELECT weakness_id, {_object("(j->'enhanced_review')")}, {_object("(j->'paper_context')")}, {_object("(j->'weakness_category')")} FROM l),
+    k AS (SELECT weakness_id, CAST(c AS JSON) AS c, {_list("(r->'actionable_suggestions')")} AS suggestion, {_list("(r->'citations')")} AS citation, {_list("(p->'keywords')")} AS keyword, {_list("(p->'sections_index')")} AS section FROM a)"""
+
+
 def _found_sql() -> str:
-    pack = "r := to_json(enhanced_review), p := to_json(paper_context), c := to_json(weakness_category)"
-    whole = f"""
-        WITH t AS (SELECT weakness_id, arg_max(struct_pack({pack}), enhanced_at) AS v FROM enhanced_reviews WHERE weakness_id IS NOT NULL GROUP BY 1),
-        j AS (SELECT line_no, CAST(raw AS JSON) AS j FROM enhanced_raw WHERE json_valid(raw)),
-        l AS (SELECT j->>'weakness_id' AS weakness_id, arg_max(j, line_no) AS j FROM j WHERE json_type(j) = 'OBJECT' AND j->>'weakness_id' IS NOT NULL GROUP BY 1),
-        a AS (SELECT weakness_id, v.r AS r, v.p AS p, v.c AS c FROM t UNION ALL SELECT weakness_id, {_object("(j->'enhanced_review')")}, {_object("(j->'paper_context')")}, {_object("(j->'weakness_category')")} FROM l),
-        k AS (SELECT weakness_id, CAST(c AS JSON) AS c, {_list("(r->'actionable_suggestions')")} AS suggestion, {_list("(r->'citations')")} AS citation, {_list("(p->'keywords')")} AS keyword, {_list("(p->'sections_index')")} AS section FROM a)
-        SELECT 'review' AS item_kind, weakness_id, 0 AS item_no FROM k UNION ALL SELECT 'category', weakness_id, 0 FROM k WHERE c IS NOT NULL AND json_type(c) <> 'NULL'"""
+    whole = f"{_RECORDS} SELECT 'review' AS item_kind, weakness_id, 0 AS item_no FROM k UNION ALL SELECT 'category', weakness_id, 0 FROM k WHERE c IS NOT NULL AND json_type(c) <> 'NULL'"
     for kind, (_, fields) in KINDS.items():
         whole += f" UNION ALL SELECT '{kind}', weakness_id, CAST(i AS INTEGER) FROM (SELECT weakness_id, unnest({kind}) AS e, generate_subscripts({kind}, 1) AS i FROM k) WHERE {_item(fields)}"
     return whole
 
 
-SQL = {
-    "p4_found": _found_sql(),
-    "p4_suggestions": f"""
-        SELECT weakness_id, CAST(i AS INTEGER) AS item_no, e.what AS what, e."where" AS "where", e.how AS how, e.expected_outcome AS expected_outcome, e.priority AS priority
-        FROM (SELECT weakness_id, unnest(r) AS e, generate_subscripts(r, 1) AS i FROM {_VALID.format(c="enhanced_review.actionable_suggestions")})
-        WHERE {_filled(['what', '"where"', 'how', 'expected_outcome', 'priority'])}""",
-    "p4_sections": f"""
-        SELECT weakness_id, CAST(i AS INTEGER) AS item_no, e.section_id AS section_id, e.name AS name, e.page AS page
-        FROM (SELECT weakness_id, unnest(r) AS e, generate_subscripts(r, 1) AS i FROM {_VALID.format(c="paper_context.sections_index")})
-        WHERE {_filled(E.SECTION)}""",
-}
+def _rows_sql(kind: str, fields: list[str], out: dict[str, str]) -> str:
+    """All items of a kind with their fields; a plain value is the first one."""
+    each = ", ".join(f"o->>'{n}' AS \"{n}\"" if i else f"CASE WHEN o IS NULL THEN e->>'$' ELSE o->>'{n}' END AS \"{n}\"" for i, n in enumerate(fields))
+    some = " OR ".join(f"NOT regexp_matches(coalesce(\"{n}\", ''), '{_BLANK}')" for n in fields)
+    names = ", ".join(out.get(n, f'"{n}"') + f' AS "{n}"' for n in fields)
+    return f"""{_RECORDS}, e AS (SELECT weakness_id, unnest({kind}) AS e, generate_subscripts({kind}, 1) AS i FROM k), o AS (SELECT weakness_id, i, e, {_object("e")} AS o FROM e WHERE json_type(e) <> 'NULL'),
+        f AS (SELECT weakness_id, CAST(i AS INTEGER) AS item_no, {each} FROM o) SELECT weakness_id, item_no, {names} FROM f WHERE {some}"""
+
+
+SQL = {"p4_found": _found_sql(), "p4_suggestions": _rows_sql("suggestion", E.SUGGESTION, {}), "p4_sections": _rows_sql("section", E.SECTION, {"page": "TRY_CAST(page AS INTEGER)"})}
