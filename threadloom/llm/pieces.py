@@ -1,14 +1,16 @@
 """Problem 5: oversized texts cut at natural boundaries by one regex with bounded quantifiers.
 
-The alternatives of the pattern stand in the order of boundary strength: the rest of the text if it fits, a blank line, a
-line end, the end of a sentence, a comma or semicolon, white space, and at last any character. Each consumes up to the
-limit less the overlap, the strong ones at least a part of it, so that pieces don't get tiny. regexp_extract_all returns
-the consumed parts; their lengths summed up are the offsets, and each piece but the first looks back by the overlap.
-Every character of the text is in a piece, in order; no piece has more than the limit.
+Beside the text stands a row of marks, one for each character: at the last character of a run of white space the kind of
+boundary it is, whatever the run's length (blank line, line end, end of a sentence, of a clause, mere space), likewise at
+a full stop that needs no space behind it, and x elsewhere. The alternatives of the pattern run over the marks in the
+order of boundary strength: the rest of the text if it fits, then for each kind as much as fits up to one, and at last any
+character. Each consumes up to the limit less the overlap, the strong ones at least a part of it, so that pieces don't get
+tiny. The consumed parts' lengths summed up are the offsets in the text, and each piece but the first looks back by the
+overlap. Every character of the text is in a piece, in order; no piece has more than the limit.
 
 Edges: null, empty and fitting texts are not cut; lengths count Unicode code points; an overlap of half the limit or more
-is cut back to half; only the row of a key with the latest ts counts; rows equal in key and place are told apart by
-nothing and give the same pieces; null limits mean no limit.
+is cut back to half; rows equal in key and place are told apart by nothing and give the same pieces; null limits mean no
+limit.
 """
 
 from __future__ import annotations
@@ -16,26 +18,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Boundaries by falling strength: name, what a piece ends with, and the least share of the room it must use.
-BOUNDARIES = [
-    ("paragraph", r"\n[ \t]*\n\s*", 2),
-    ("line", r"\n\s*", 2),
-    ("sentence", r"(?:[.!?][\"')\]]*\s+|。)", 4),
-    ("clause", r"(?:[;,:]\s+)", 4),
-    ("space", r"\s+", 8),
-]
+#: Characters of white space, as a regex class body.
+SPACE = r"\s\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Boundaries by falling strength: mark, and the least share of the room a piece that ends there must use.
+BOUNDARIES = [("P", 2), ("L", 2), ("S", 4), ("C", 4), ("W", 8)]
+#: What the run before a space ends with at the end of a sentence, and of a clause.
+SENTENCE, CLAUSE = r"[.!?][\"')\]]*$", r"[;,:]$"
 #: A run of more characters than the limit without these has no natural boundary.
-NATURAL = r"\s\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}.!?;,。"
+NATURAL = SPACE + ".!?;,。"
+
+
+def marks(text: Column) -> Column:
+    """One mark for each character."""
+
+    def of(run: Column) -> Column:
+        """Of other characters and the white space behind them."""
+        word = F.regexp_extract(run, f"^[^{SPACE}]*", 0)
+        space = F.substring(run, F.length(word) + 1, F.length(run))
+        kind = F.when(space.rlike(r"\n[^\n]*\n"), "P").when(F.contains(space, F.lit("\n")), "L").when(word.rlike(SENTENCE), "S").when(word.rlike(CLAUSE), "C").otherwise("W")
+        own = F.regexp_replace(F.regexp_replace(word, "[^。]", "x"), "。", "S")
+        return F.when(space == "", own).otherwise(F.concat(own, F.repeat(F.lit("x"), F.length(space) - 1), kind))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*|[{SPACE}]+"), F.lit(0)), of), "")
 
 
 def pattern(room: Column) -> Column:
-    """The pattern that consumes pieces of at most `room` characters."""
-    parts = [F.concat(F.lit(r"[\s\S]{1,"), room, F.lit(r"}\z"))]
-    for _, end, share in BOUNDARIES:
-        # the lookahead keeps what is consumed, boundary included, within the room
-        least = F.greatest(F.floor(room / share), F.lit(1)).cast("string")
-        parts.append(F.concat(F.lit(r"[\s\S]{"), least, F.lit(","), room, F.lit(r"}(?<="), F.lit(end.replace("+", "{1,8}").replace("*", "{0,8}")), F.lit(r")(?!\s)")))
-    parts.append(F.concat(F.lit(r"[\s\S]{1,"), room, F.lit("}")))
+    """The pattern that consumes pieces of at most `room` marks."""
+    parts = [F.concat(F.lit(r"[A-Zx]{1,"), room.cast("string"), F.lit(r"}\z"))]
+    for mark, share in BOUNDARIES:
+        least = F.least(F.greatest(F.floor(room / share), F.lit(1)), room) - 1
+        parts.append(F.concat(F.lit("[A-Zx]{"), least.cast("string"), F.lit(","), (room - 1).cast("string"), F.lit("}" + mark)))
+    parts.append(F.concat(F.lit("[A-Zx]{1,"), room.cast("string"), F.lit("}")))
     return F.concat_ws("|", *parts)
 
 
@@ -51,13 +64,13 @@ def split_oversize(items: DataFrame, limits: DataFrame, keys: list[str], limit_k
     small = F.broadcast(limits.select(limit_key, "max_chars", "overlap_chars").where("max_chars > 0").dropDuplicates([limit_key]))
     big = items.select(*keys, limit_key, "text").join(small, limit_key).where(F.length("text") > F.col("max_chars"))
     overlap = F.least(F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)), F.floor(F.col("max_chars") / 2).cast("int"))
-    big = big.withColumn("__over", overlap).withColumn("__room", (F.col("max_chars") - F.col("__over")).cast("string"))
-    parts = F.regexp_extract_all("text", pattern(F.col("__room")), F.lit(0))
+    big = big.withColumn("__over", overlap).withColumn("__room", F.col("max_chars") - F.col("__over")).withColumn("__marks", marks(F.col("text")))
+    parts = F.transform(F.regexp_extract_all("__marks", pattern(F.col("__room")), F.lit(0)), lambda p: F.length(p))
 
     def add(acc: Column, part: Column) -> Column:
         back = F.least(acc["end"], F.col("__over"))
-        one = F.struct((F.size(acc["cuts"]) + 1).alias("no"), (acc["end"] - back).alias("start"), (back + F.length(part)).alias("chars"))
-        return F.struct((acc["end"] + F.length(part)).alias("end"), F.concat(acc["cuts"], F.array(one)).alias("cuts"))
+        one = F.struct((F.size(acc["cuts"]) + 1).alias("no"), (acc["end"] - back).alias("start"), (back + part).alias("chars"))
+        return F.struct((acc["end"] + part).alias("end"), F.array_append(acc["cuts"], one).alias("cuts"))
 
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<no:int,start:int,chars:int>>").alias("cuts"))
     cuts = F.aggregate(parts, none, add, lambda acc: acc["cuts"])

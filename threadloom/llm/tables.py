@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.runtime import latest, table
+from threadloom.runtime import latest, table, wide
 
 
 def near_items(spark: SparkSession, d: str) -> DataFrame:
@@ -48,13 +48,21 @@ def overlap_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return items.union(b.select(F.lit("title"), "submission_id", "title", "train", "eval")), used
 
 
-def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """(weakness_id, list_name, snippet_no, text) of the valid rows, both lists."""
-    lists = ["aligned_snippets_task1", "aligned_snippets_task2"]
-    rows = table(spark, d, "enhanced_data_with_snippets_dual").select("weakness_id", "aligned_at", *[F.transform(c, lambda x: x["text"]).alias(c) for c in lists])
-    valid = latest(rows, ["weakness_id"], "aligned_at", ["weakness_id", *lists])
-    one = [valid.select("weakness_id", F.lit(c).alias("list_name"), F.posexplode(c).alias("i", "text")) for c in lists]
-    return one[0].union(one[1]).select("weakness_id", "list_name", (F.col("i") + 1).alias("snippet_no"), "text")
+LISTS = ["aligned_snippets_task1", "aligned_snippets_task2"]
+
+
+def oversize_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """(weakness_id, list_name, snippet_no, text) of the valid rows, both lists, only the texts above the limit of their list.
+
+    Texts that fit are left out before the rows meet by key, and the long ones are spread over the cluster.
+    """
+    limits = {r[0]: r[1] for r in table(spark, d, "chunk_limits").where("list_name is not null and max_chars > 0").groupBy("list_name").agg(F.min("max_chars")).collect() if r[0] in LISTS}  # at most two
+    one = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array()), lambda x, i: F.struct(F.lit(c).alias("list_name"), (i + 1).alias("snippet_no"), x["text"].alias("text"))), lambda x: F.length(x["text"]) > limits[c])
+    big = F.concat(*[one(c) for c in limits]) if limits else F.array().cast("array<struct<list_name:string,snippet_no:int,text:string>>")
+    rows = table(spark, d, "enhanced_data_with_snippets_dual").select("weakness_id", "aligned_at", big.alias("big"))
+    valid = latest(rows, ["weakness_id"], "aligned_at", ["weakness_id", "big"])
+    spread = valid.select("weakness_id", F.explode("big").alias("s")).select("weakness_id", "s.*")
+    return spread.repartition(wide(spark), "weakness_id", "list_name", "snippet_no")
 
 
 def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
