@@ -3,11 +3,13 @@
 Entities (papers) are nodes; those that share a key (an author) are joined by a star around the smallest of them, so a key
 of any size gives as many edges as it has entities. Each round every component picks its least edge (edges have a total
 order, so the picks form trees), the trees are contracted by pointer doubling, and what then lies inside a component is
-dropped; components at least halve in number. The picked edges are written down: they are a spanning forest.
+dropped; components at least halve in number. The picked edges are written down: they are a spanning forest, kept for good
+where a path is given.
 
 Dealing: groups are put into bands by the size of their group (powers of two). From the largest band down, each band gives
 so many groups to val and test that their totals follow the wanted shares, and within a band those are spread evenly by
-the hash of the group. A group larger than the share of val or test goes to train.
+the hash of the group. A band gives a split another group only where at least half of it is still wanted, so a group much
+larger than the share of val or test goes to train.
 
 Edges: null entities and keys link nothing; repeated rows count once; empty tables give empty results.
 """
@@ -30,8 +32,11 @@ def star_edges(pairs: DataFrame) -> DataFrame:
     return pairs.join(hub, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (node) and edges (a, b). Returns labels (node, root) of all nodes and the forest (a, b); both are tables."""
+def spanning_forest(nodes: DataFrame, edges: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (node) and edges (a, b). Returns labels (node, root) of all nodes and the forest (a, b); both are tables.
+
+    With a path the forest is written there and stays: later runs can add edges to it instead of to all old ones.
+    """
     labels = cut(nodes.where("node is not null").distinct().select("node", F.col("node").alias("root")), "labels")
     weight = F.struct(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     edges = cut(edges.where("a != b").select("a", "b", weight.alias("w")), "edges")
@@ -54,7 +59,11 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
         labels = cut(name(labels, "root"), "labels")
         left = name(name(edges, "a"), "b").where("a != b")
         edges = cut(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")), "edges")
-    return labels.select("node", "root"), reduce(DataFrame.union, forest)
+    trees = reduce(DataFrame.union, forest)
+    if path:
+        trees.write.mode("overwrite").parquet(path)
+        trees = labels.sparkSession.read.parquet(path)
+    return labels.select("node", "root"), trees
 
 
 def quotas(bands: list[tuple[int, int, int]], shares: dict[str, float]) -> list[tuple[int, int, int, int]]:
@@ -62,10 +71,11 @@ def quotas(bands: list[tuple[int, int, int]], shares: dict[str, float]) -> list[
     out, seen, have = [], 0, {"val": 0.0, "test": 0.0}
     for band, groups, records in bands:
         seen += records
-        mean, take = records / groups, {}
+        mean, take, left = records / groups, {}, groups
         for split in ("val", "test"):
             want = (shares[split] * seen - have[split]) / mean
-            take[split] = max(0, min(int(want + 0.5), groups // 3))
+            take[split] = max(0, min(int(want + 0.5), left))
+            left -= take[split]
             have[split] += take[split] * mean
         out.append((band, groups, take["val"], take["test"]))
     return out
@@ -84,6 +94,6 @@ def deal(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     # test is dealt among what val leaves, so that both get their full number
     taken = F.floor(F.col("k") * F.col("n_val") / F.col("groups"))
     rest = F.col("k") - taken
-    left = F.col("groups") - F.col("n_val")
+    left = F.greatest(F.col("groups") - F.col("n_val"), F.lit(1))
     test = (F.floor(rest * F.col("n_test") / left) > F.floor((rest - 1) * F.col("n_test") / left)) & apart.isNull()
     return ranked.select("group_id", "size", F.coalesce(apart, F.when(test, "test"), F.lit("train")).alias("split"))
