@@ -1,11 +1,12 @@
 """Problem 9: sources mixed to target shares by Poisson replication.
 
 Every document has a number u in (0, 1) from a seeded hash of its id. At rate r it is used as often as the Poisson
-distribution of mean r, inverted at u, says, and never more than its source allows. As u stays, uses only grow with r, so
-a source's tokens are a rising function of r; it is tabulated for all rates of a fixed grid in one pass over all documents
-(bounded by sources times grid), and each source takes the rate that comes closest to its target. The mixture is as large
-as it can be with every share met, that is until one source is used up, unless a total is given. At the last rate of the
-grid, infinity, every document is used as often as allowed.
+distribution of mean r, inverted at u, says, and never more than its source allows. The rate is the target repetition rate
+of its source and at most max_repeat, so every source, the scarcest too, is drawn at random. As u stays, uses only grow with
+r, so a source's tokens are a rising function of r; it is tabulated for all rates of a fixed grid in one pass over all
+documents (bounded by sources times grid), and each source takes the rate that comes closest to its share. The mixture may
+be as large as the scarcest source at its highest rate allows. As whole documents are used, shares can be missed by part of a
+long one: of SIZES sizes from half of that on the one that comes closest to all shares is taken, the largest of equals.
 
 Edges: documents of no tokens, of null ids or of sources without a target are not used; sources without documents are left
 out and the other shares stand as they are among themselves; a null max_repeat is 1; repeated rows are repeated items.
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 
-#: Rates of the grid, evenly from 0 to TOP; then infinity.
-GRID, TOP = 16_384, 8.0
+#: Rates of the grid, evenly from 0 to the max_repeat of a source.
+GRID = 16_384
+#: Sizes of the mixture that are tried where no total is given.
+SIZES = 1024
 
 
 def source_name(c: Column) -> Column:
@@ -38,8 +41,8 @@ def uniform(key: str, seed: int) -> Column:
 
 
 def cdf_table(most: int) -> np.ndarray:
-    """[k, g]: chance of at most k at rate g of the grid."""
-    rate = np.linspace(0, TOP, GRID + 1)
+    """[k, g]: chance of at most k uses at rate g of the grid of a source that may be used so often."""
+    rate = np.linspace(0, most, GRID + 1)
     term = np.exp(-rate)
     rows = [term]
     for k in range(1, most):
@@ -49,11 +52,28 @@ def cdf_table(most: int) -> np.ndarray:
 
 
 def first_rates(u: np.ndarray, most: int, table: np.ndarray) -> np.ndarray:
-    """[k, document]: the first grid rate at which it is used more than k times; GRID + 1 is infinity."""
+    """[k, document]: the first grid rate at which it is used more than k times; GRID + 1 is none."""
     # used more than k times at rate r iff u > P(at most k); that chance falls with r
     return np.stack([np.searchsorted(-table[k], -u, side="right") for k in range(most)]) if most else np.zeros((0, len(u)), np.int64)
 
 
+def rates(at_rate: dict[str, np.ndarray], shares: dict[str, float], total: float | None = None) -> dict[str, int]:
+    """The place on the grid for each source; at_rate: its tokens at every rate of the grid."""
+    if not shares:
+        return {}
+    most = min(at_rate[s][-1] / share for s, share in shares.items())
+    tried = np.array([min(total, most)]) if total else np.linspace(0.5, 1, SIZES) * most
+    places = []
+    for s, share in shares.items():
+        above = np.minimum(np.searchsorted(at_rate[s], tried * share), GRID)
+        below = np.maximum(above - 1, 0)
+        places.append(np.where(at_rate[s][above] - tried * share < tried * share - at_rate[s][below], above, below))
+    used = np.stack([at_rate[s][g] for s, g in zip(shares, places, strict=True)])
+    off = np.abs(used / np.maximum(used.sum(0), 1) - np.array(list(shares.values()))[:, None]).max(0)
+    best = np.flatnonzero(off <= off.min() + 1e-4)[-1]
+    return {s: int(g[best]) for s, g in zip(shares, places, strict=True)}
+
+
 def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 17, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """sizes (key, source, tokens), targets (source, target_share, max_repeat): (mixture, report).
 
@@ -65,7 +85,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 17, total: f
     known = sizes.where((F.col("tokens") > 0) & F.col(key).isNotNull()).withColumn("source", source_name(F.col("source"))).where(F.col("source").isin([s for s, *_ in wanted]))
     known = known.select(key, "source", "tokens", uniform(key, seed).alias("u"))
     limits = {s: most for s, _, most in wanted}
-    table = spark.sparkContext.broadcast((limits, cdf_table(max(limits.values(), default=1))))
+    table = spark.sparkContext.broadcast((limits, {m: cdf_table(m) for m in set(limits.values())}))
 
     def tabulate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -73,7 +93,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 17, total: f
             for s, most in table.value[0].items():
                 at = source == s
                 if at.any():
-                    g = first_rates(u[at], most, table.value[1]).ravel()
+                    g = first_rates(u[at], most, table.value[1][most]).ravel()
                     n = np.bincount(g, weights=np.tile(tokens[at], most), minlength=GRID + 2)
                     some = np.flatnonzero(n)
                     yield pa.RecordBatch.from_pydict({"source": [s] * len(some), "g": pa.array(some, pa.int32()), "n": pa.array(n[some].astype(np.int64))})
@@ -82,13 +102,9 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 17, total: f
     at_rate = {s: np.zeros(GRID + 2) for s in limits}
     for s, g, n in zip(*(steps.column(c).to_pylist() for c in ("source", "g", "n")), strict=True):
         at_rate[s][g] = n
-    at_rate = {s: np.cumsum(x) for s, x in at_rate.items() if x.any()}
-    there = [(s, share, most) for s, share, most in wanted if s in at_rate]
-    whole = sum(share for _, share, _ in there) or 1.0
-    most_total = min((at_rate[s][-1] * whole / share for s, share, _ in there), default=0.0)
-    size = min(total, most_total) if total else most_total
-    rate = {s: int(np.abs(at_rate[s] - size * share / whole).argmin()) for s, share, _ in there}
-    chosen = spark.sparkContext.broadcast(rate)
+    at_rate = {s: np.cumsum(x[:-1]) for s, x in at_rate.items() if x[:-1].any()}
+    shares = {s: share for s, share, _ in wanted if s in at_rate}
+    chosen = spark.sparkContext.broadcast(rates(at_rate, {s: x / sum(shares.values()) for s, x in shares.items()}, total))
     id_kind = known.schema[key].dataType.simpleString()
 
     def replicate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +114,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 17, total: f
             for s, g in chosen.value.items():
                 at = np.flatnonzero(source == s)
                 if len(at):
-                    uses[at] = (first_rates(u[at], table.value[0][s], table.value[1]) <= g).sum(0)
+                    uses[at] = (first_rates(u[at], m := table.value[0][s], table.value[1][m]) <= g).sum(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, "source", "tokens")], pa.array(uses)], names=[key, "source", "tokens", "uses"])
 
     used = known.mapInArrow(replicate, f"`{key}` {id_kind}, source string, tokens long, uses int")
