@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 #: Function words of the five languages by kind. Fixed values.
 KINDS = {
@@ -29,71 +31,85 @@ RUN, FEW = 16, 2
 CONTENT = np.array([n in ("new", "again", "near", "loop", "name", "letter") for n in NAMES])
 
 
-def bare(seq: np.ndarray) -> np.ndarray:
+def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The tokens of all texts one after another, and how many each text has."""
+    found = [TOKEN.findall(t or "") for t in texts.to_pylist()]
+    return pa.array(chain.from_iterable(found), pa.string()).dictionary_encode(), np.array([len(x) for x in found], np.int64)
+
+
+def single(t: str) -> tuple[int, str]:
+    """Class of a token by itself; of a content word its class where it is new in the middle of a sentence, and the word."""
+    c = t[0]
+    if c.isalpha():
+        if "://" in t or (len(t) > 5 and t[:4].lower() == "www."):
+            return ID["link"], ""
+        low = t.lower()
+        if low in OF:
+            return OF[low], ""
+        return (ID["name"] if c.isupper() else ID["letter"] if len(t) == 1 else ID["new"]), low
+    if c.isdigit():
+        return (ID["number"] if t[-1].isdigit() or t[-1] == "%" else ID["code"]), ""
+    if c == "#" and len(t) > 1:
+        return ID["tag"], ""
+    return (ID["line"] if c == "\n" else MARK_ID.get(c, ID["mark"])), ""
+
+
+def since_last(key: np.ndarray) -> np.ndarray:
+    """How far back the same key stood, or a very large number."""
+    order = np.argsort(key, kind="stable")
+    out = np.full(len(key), 1 << 40)
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    out[order[same + 1]] = order[same + 1] - order[same]
+    return out
+
+
+def bare(seq: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Where the content words stand that are in a run of RUN words with at most FEW function words, wherever in the page.
 
     Words of table rows, lines with as many numbers as words, don't count.
     """
     function = seq >= ID["det"]
     word = function | CONTENT[seq]
-    line = np.cumsum(seq == ID["line"])
+    line = np.cumsum((seq == ID["line"]) | np.r_[True, of[1:] != of[:-1]]) if len(seq) else seq
     row = np.bincount(line, weights=seq == ID["number"]) >= np.bincount(line, weights=word)
     at = np.flatnonzero(word & ~row[line])
     if len(at) < RUN:
         return at[:0]
     some = np.r_[0, np.cumsum(function[at])]
-    first = some[RUN:] - some[:-RUN] <= FEW
+    first = (some[RUN:] - some[:-RUN] <= FEW) & (of[at[RUN - 1 :]] == of[at[: len(at) - RUN + 1]])
     within = np.cumsum(np.r_[first, np.zeros(RUN - 1, bool)].astype(np.int64) - np.r_[np.zeros(RUN, bool), first[: len(at) - RUN]]) > 0
     return at[within & ~function[at]]
 
 
-def encode(text: str) -> np.ndarray:
-    """Class ids of a text, a start before each."""
-    out = [0]
-    seen: dict[str, int] = {}
-    two: dict[tuple[str, str], int] = {}
-    at, start, last = 0, True, ""
-    for t in TOKEN.findall(text):
-        c = t[0]
-        if c.isalpha():
-            low = t.lower()
-            k = OF.get(low)
-            if k is not None:
-                out.append(k)
-            else:
-                before = seen.get(low)
-                seen[low] = at
-                pair = two.get((last, low))
-                two[last, low] = at
-                last = low
-                if pair is not None and at - pair <= LOOP:
-                    out.append(ID["loop"])
-                elif before is not None:
-                    out.append(ID["near"] if at - before <= NEAR else ID["again"])
-                elif c.isupper() and (not start or any(x.isdigit() for x in t)):
-                    out.append(ID["name"])
-                elif len(t) == 1:
-                    out.append(ID["letter"])
-                else:
-                    out.append(ID["new"])
-                at += 1
-            start = False
-            if len(t) > 5 and t[:4].lower() == "www.":
-                out[-1] = ID["link"]
-            elif "://" in t:
-                out[-1] = ID["link"]
-        elif c.isdigit():
-            out.append(ID["number"] if t[-1].isdigit() or t[-1] == "%" else ID["code"])
-            start = False
-        elif c == "#" and len(t) > 1:
-            out.append(ID["tag"])
-        elif c == "\n":
-            out.append(ID["line"])
-            start = True
-        else:
-            k = MARK_ID.get(c)
-            out.append(ID["mark"] if k is None else k)
-            start = start or c in ".!?:"
-    seq = np.array(out, dtype=np.int8)
-    seq[bare(seq)] = ID["bare"]
-    return seq
+def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Class ids of all texts one after another, and how many each has. Each distinct token is looked at once."""
+    found, lengths = tokens(texts)
+    words = found.dictionary.to_pylist()
+    alone = [single(t) for t in words]
+    ids: dict[str, int] = {}
+    at = found.indices.to_numpy()
+    seq = np.array([k for k, _ in alone], np.int8)[at]
+    low = np.array([ids.setdefault(w, len(ids)) if w else -1 for _, w in alone], np.int64)[at]
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    # a sentence starts at the start, behind a line end and behind . ! ? : if no word or number came since
+    opens = np.array([t[:1] in (".", "!", "?", ":", "\n") for t in words], bool)[at]
+    closes = np.array([t[:1].isalpha() or t[:1].isdigit() for t in words], bool)[at]
+    place = np.arange(len(seq))
+    last = np.r_[-1, np.maximum.accumulate(np.where(opens | closes, place, -1))[:-1]] if len(seq) else place
+    begin = (np.cumsum(lengths) - lengths)[of]
+    start = (last < begin) | (opens[last] if len(seq) else opens)
+    content = np.flatnonzero(low >= 0)
+    w, d = low[content], of[content]
+    before = np.where(np.r_[True, d[1:] != d[:-1]], len(ids), np.r_[0, w[:-1]]) if len(w) else w
+    many = len(ids) + 1
+    alike = since_last(d * many + w)
+    _, pair = np.unique(before * many + w, return_inverse=True)
+    again = since_last(d * (len(w) + 1) + pair)
+    digits = np.array([any(c.isdigit() for c in t) for t in words], bool)[at][content]
+    short = np.array([len(t) == 1 for t in words], bool)[at][content]
+    k = seq[content]
+    k = np.where((k == ID["name"]) & start[content] & ~digits, np.where(short, ID["letter"], ID["new"]), k)
+    k = np.where(alike <= NEAR, ID["near"], np.where(alike < 1 << 40, ID["again"], k))
+    seq[content] = np.where(again <= LOOP, ID["loop"], k)
+    seq[bare(seq, of)] = ID["bare"]
+    return seq, lengths
