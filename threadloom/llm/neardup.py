@@ -44,7 +44,7 @@ HELD = 500_000
 #: Runs of more texts are compared as matrices.
 TILE = 48
 #: A pair is frequent if both its words have more than this part of all word places (and more than BLOCK).
-FREQUENT = 1 / 8192
+FREQUENT = 1 / 400
 #: Up to so many words two near texts may have one pair in common only (T = 1).
 ONE_PAIR = 5
 POSTING = "token long, s1 long, s2 long"
