@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,11 +96,28 @@ def test_poisson_inversion():
     u = np.array([0.01, 0.3, 0.5, 0.9, 0.999])
     g = mixing.first_rates(u, 3, table)
     for at in (0, 500, 2000, 9000, mixing.GRID):
-        rate = np.linspace(0, mixing.TOP, mixing.GRID + 1)[at]
+        rate = np.linspace(0, 3, mixing.GRID + 1)[at]
         cdf = [np.exp(-rate) * sum(rate**j / np.prod(range(1, j + 1)) for j in range(k + 1)) for k in range(3)]
         assert ((g <= at).sum(0) == [sum(x > c for c in cdf) for x in u]).all()
 
 
+def test_scarce_sources_are_drawn_too_and_long_texts_matter(spark):
+    """The scarcest source is used at its highest finite rate, not wholly; any max_repeat works; a size is taken that fits a source of few long texts."""
+    rng = random.Random(9)
+    sizes = [(i, "scarce", 10) for i in range(500)] + [(1000 + i, "plenty", 10) for i in range(9000)]
+    df = spark.createDataFrame(sizes, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("scarce", 0.5, 20), ("plenty", 0.5, 1)], "source string, target_share double, max_repeat int")
+    mixture, report = mixing.mix(df, targets, "doc_id")
+    got = {r["source"]: r for r in report.collect()}
+    uses = Counter(r["doc_id"] for r in mixture.collect() if r["source"] == "scarce")
+    assert got["scarce"]["actual_share"] == pytest.approx(0.5, abs=0.001) and len(set(uses.values())) > 5 and max(uses.values()) <= 20
+    at_rate = {"a": np.cumsum(np.r_[0, np.full(mixing.GRID, 1)]).astype(float), "b": np.repeat([0.0, 700.0, 1400.0], [1, mixing.GRID // 2, mixing.GRID // 2])}
+    place = mixing.rates(at_rate, {"a": 0.9, "b": 0.1})
+    used = {s: at_rate[s][g] for s, g in place.items()}
+    assert used["b"] / sum(used.values()) == pytest.approx(0.1, abs=0.001)
+    assert mixing.rates({}, {}) == {}
+
+
 def test_mixture_meets_targets(spark):
     rng = random.Random(6)
     sizes = [(i, rng.choice(["review", "Reviews ", "web page", "WEB-PAGE", None, "odd"]), rng.randrange(0, 40), 0.5) for i in range(6000)]
@@ -118,23 +136,54 @@ def test_mixture_meets_targets(spark):
     assert mixing.mix(df.limit(0), targets, "doc_id")[0].count() == 0
 
 
-def test_classes():
-    c = encode("The model of Foobar-12 costs 4.5 EUR.\nSee https://a.b/c #Tag model")
+def classes(*texts):
+    seq, lengths = encode(pa.array(texts, pa.string()))
     names = {v: k for k, v in ID.items()}
-    assert [names[x] for x in c][1:] == ["det", "new", "prep", "name", "new", "number", "name", "stop", "line", "new", "link", "tag", "near"]
-    assert len(encode("")) == 1
+    return [[names[x] for x in part] for part in np.split(seq, np.cumsum(lengths)[:-1])]
+
+
+def test_classes():
+    got = classes("The model of Foobar-12 costs 4.5 EUR.\nSee https://a.b/c #Tag model", "", None, " ", "model Xy xy. Xy z", "a_b")
+    assert got[0] == ["det", "new", "prep", "name", "new", "number", "name", "stop", "line", "new", "link", "tag", "near"]
+    assert got[1:4] == [[], [], []]
+    assert got[4] == ["new", "name", "near", "stop", "loop", "letter"] and len(got[5]) >= 1
+
+
+def test_texts_are_encoded_alike_alone_and_together():
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["the", "Model", "model", "of", "gain", "7", "\n", "A.", "http://x.y/z", "#tag", "x", "loan", "best", "(", "?"]) for _ in range(rng.randrange(0, 90))) for _ in range(150)]
+    assert classes(*texts) == [classes(t)[0] for t in texts]
 
 
-PROSE = "The {a} of the {b} is given in the {c}, and we show that it holds for every {d} in our data. {e} on the {f} are not reported, because the authors did not run them."
 NOUNS = [f"{x}{y}" for x in ("gra", "bol", "tre", "mul", "cor", "fen", "wip") for y in ("dient", "tune", "mark", "lation", "form", "der", "ping", "sal")]
+PHRASES = ["the {} of the {}", "in {} {}", "which is {}", "and we {} it", "for Mr {}", "because {} has not {}", "on 12 {}", "({})", "with the {}", "{}, {}", "not only {} but {}", "of the {}", "of the {}", "of the {}"]
+
+
+def sentence(rng):
+    parts = [rng.choice(PHRASES) for _ in range(rng.randrange(3, 7))]
+    return "The {} ".format(rng.choice(NOUNS)) + " ".join(x.format(*rng.sample(NOUNS, 2)) for x in parts) + "."
+
+
+def page(rng):
+    """Prose, now and then with a keyword line, a table, a link or few words only."""
+    text = " ".join(sentence(rng) for _ in range(rng.randrange(1, 7)))
+    kind = rng.randrange(12)
+    if kind == 0:
+        return text + "\n\nKeywords: " + ", ".join(rng.sample(NOUNS, 5))
+    if kind == 1 and len(text) > 400:
+        return text + "\n\nMethod | recall | accuracy\n" + "\n".join(f"{n.capitalize()} | {i}.5 | {i}.25" for i, n in enumerate(rng.sample(NOUNS, rng.randrange(2, 5))))
+    return text + "\nSee https://a.example/b" if kind == 2 else " ".join(text.split()[:4]) + "." if kind == 3 else text
+
+
 SPAM = ["cheap loan best cheap loan top cheap loan " * 8, "\n".join(f"http://a{i}.example/x{i}" for i in range(20)), " ".join(f"#Tag{i}" for i in range(20)), "Need cheap loan? Get cheap loan, then cheap loan. Our cheap loan offers cheap loan for your cheap loan. " * 5, "\n".join(f"Brand item{i} - {i}.99 EUR - SKU B{i}" for i in range(15))]
 
 
 def test_spam_stands_out(spark):
     rng = random.Random(7)
-    prose = [" ".join(PROSE.format(**{k: rng.choice(NOUNS) for k in "abcdef"}).capitalize() for _ in range(rng.randrange(2, 6))) for _ in range(400)]
+    prose = [page(rng) for _ in range(600)]
     extra = [None, "", " ", "N/A", "spam", prose[0] + "\n\nKeywords: " + ", ".join(NOUNS[:4]), prose[1] + "\n\nSee https://a.example/b", prose[2] * 300]
     rows = [(i, t, "x") for i, t in enumerate(prose + extra + SPAM)] + [(len(prose) + len(extra), SPAM[0], "x"), (None, SPAM[0], "x")]
+    rows += [(9000 + i, prose[5], "x") for i in range(300)]  # a text that a third of all rows repeat narrows nothing
     got = spam.flagged(spark.createDataFrame(rows, "doc_id long, text string, seq string"))
     first = len(prose) + len(extra)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted([first, *range(first, first + len(SPAM))])
@@ -142,11 +191,24 @@ def test_spam_stands_out(spark):
     assert spam.flagged(spark.createDataFrame([(1, SPAM[0])], "doc_id long, text string")).count() == 0
 
 
+def test_both_tails_and_held_out_scores(spark):
+    """One frame said over and over is abnormally predictable, keywords are abnormally surprising; a fold of spam alone can't teach its own model."""
+    rng = random.Random(12)
+    prose = [page(rng) for _ in range(600)]
+    words = [a + b for a in NOUNS for b in ("", "al", "ic", "ous", "ing", "ed", "or", "um")]
+    frame = "The " + " of the ".join(words) + "."
+    rows = list(enumerate([*prose, frame, " ".join(words)]))
+    got = {r["doc_id"]: r for r in spam.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, r in got.items() if r["spam"]] == [601]
+    assert min(got, key=lambda i: got[i]["spreads"]) == 600 and got[600]["spreads"] < -3
+    low = spam.flagged(spark.createDataFrame(rows, "doc_id long, text string"), far=3.0).where("doc_id = 600")
+    assert low.count() == 1
+
+
 def test_keywords_at_any_cycle(spark):
     rng = random.Random(8)
-    some = lambda: " ".join(rng.sample(NOUNS, rng.randrange(1, 7)))
-    prose = [" ".join(f"The {some()} of the {some()}, which is not in the {some()}, has been shown with {some()} for all of our {some()}." for _ in range(4)) for _ in range(300)]
-    table = prose[0] + "\n\nMethod | recall | accuracy\n" + "\n".join(f"{n.capitalize()} | {i}.5 | {i}.25" for i, n in enumerate(NOUNS[:20]))
+    prose = [page(rng) for _ in range(600)]
+    table = prose[0] + "\n\nMethod | recall | accuracy\n" + "\n".join(f"{n.capitalize()} | {i}.5 | {i}.25" for i, n in enumerate(NOUNS[:4]))
     words = [a + b for a in NOUNS for b in ("", "al", "ic", "ous", "ing", "ed", "or", "um")]
     pages = []
     for cycle in (5, 24, 30, 60, 400):

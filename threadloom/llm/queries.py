@@ -67,11 +67,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_oversize(tables.snippets(spark, d), table(spark, d, "chunk_limits"), ["weakness_id", "snippet_no"], "list_name")
+    return pieces.split_oversize(tables.oversize_snippets(spark, d), table(spark, d, "chunk_limits"), ["weakness_id", "snippet_no"], "list_name")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pieces(spark, d).where(F.size("pieces") > 1).select("weakness_id", "list_name", "snippet_no", "cut_kind")
+    cuts = _pieces(spark, d).select("weakness_id", "list_name", "snippet_no", "cut_kind", F.explode("pieces.piece_no").alias("piece_no"))
+    return cuts.where("piece_no = 2").drop("piece_no")  # whoever was cut has a second piece
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +80,31 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("weakness_id", "list_name", "snippet_no", F.explode("pieces").alias("p")).select("weakness_id", "list_name", "snippet_no", "p.piece_no", "p.start", "p.text")
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per list: texts cut and their characters, pieces above the limit, and texts that their pieces don't give back (both should be 0)."""
+    items, limits = tables.oversize_snippets(spark, d), table(spark, d, "chunk_limits")
+    cuts = pieces.split_oversize(items.withColumn("whole", F.struct("weakness_id", "snippet_no", "text")), limits, ["whole"], "list_name")
+    p = F.col("pieces")
+    end = lambda x: x["start"] + F.length(x["text"])
+    fresh = F.transform(p, lambda x, i: F.substring(x["text"], F.when(i > 0, end(F.get(p, i - 1)) - x["start"]).otherwise(0) + 1, F.length(x["text"])))
+    return cuts.groupBy("list_name").agg(
+        F.count("*").alias("n_texts"), F.sum(F.length("whole.text")).alias("n_chars"),
+        F.sum(F.size(F.filter(p, lambda x: F.length(x["text"]) > F.col("max_chars")))).alias("n_over"),
+        F.count_if(F.array_join(fresh, "") != F.col("whole.text")).alias("n_wrong"),
+    )
+
+
+def p6_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect that a rule found, in the order of the rules."""
+    keys = ["table_name", "record_key", "pair_no"]
+    return answers.judge(cut(tables.answer_pairs(spark, d), "pairs"), keys).select(*keys, F.posexplode("defects").alias("place", "defect"))
+
+
+def p6_empty(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs without an answer."""
+    return p6_found(spark, d).where("defect = 'empty'").drop("defect")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["table_name", "record_key", "pair_no"]
     return answers.judge(cut(tables.answer_pairs(spark, d), "pairs"), keys).select(*keys, "defect")
@@ -87,13 +113,27 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    """(record_id, split, root): the valid records with the root of their group."""
+def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(record_id, split, root) of the valid records with the root of their group; papers with their roots; the forest between papers."""
     records = cut(tables.records(spark, d).select("record_id", "paper", "split"), "records")
     papers = records.select(F.col("paper").alias("node")).distinct()
     links = tables.paper_authors(spark, d).join(papers, "node", "left_semi")
-    labels, _ = together.spanning_forest(papers, together.star_edges(links))
-    return cut(records.join(labels.withColumnRenamed("node", "paper"), "paper", "left").select("record_id", "split", F.coalesce("root", F.concat(F.lit("record "), "record_id")).alias("root")), "grouped")
+    labels, forest = together.spanning_forest(papers, together.star_edges(links))
+    grouped = records.join(labels.withColumnRenamed("node", "paper"), "paper", "left")
+    return cut(grouped.select("record_id", "split", F.coalesce("root", F.concat(F.lit("record "), "record_id")).alias("root")), "grouped"), labels, forest
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return _trees(spark, d)[0]
+
+
+def p7_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Papers and forest edges of every group: one edge less than papers, or it isn't a tree."""
+    grouped, labels, forest = _trees(spark, d)
+    ids = grouped.groupBy("root").agg(F.min("record_id").alias("group_id"))
+    papers = labels.groupBy("root").agg(F.count("*").alias("n_papers"))
+    edges = forest.join(labels.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.count("*").alias("n_edges"))
+    return ids.join(papers, "root").join(edges, "root", "left").select("group_id", "n_papers", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +151,15 @@ def p7_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("record_id", "root").join(ids, "root").select("record_id", "group_id", "split")
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """One row: records, groups, groups in more than one split (0), and whether val and test miss their share by no more than a hundredth and the largest group."""
+    dealt = p7_split(spark, d)
+    of = dealt.groupBy("group_id").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"), F.min("split").alias("split"))
+    share = lambda x: F.abs(F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)) / F.sum("n") - SHARES[x])
+    slack = F.lit(0.01) + F.max("n") / F.sum("n")
+    return of.agg(F.sum("n").alias("n_records"), F.count("*").alias("n_groups"), F.count_if(F.col("splits") > 1).alias("n_divided"), ((share("val") <= slack) & (share("test") <= slack)).alias("shares_met"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return cut(tokens.with_tokens(table(spark, d, "documents"), "text", ["doc_id", "source"]), "sizes")
 
@@ -130,6 +179,26 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return by.select("container_kind", "capacity_tokens", "containers", "tokens", "fullest", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share"))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: documents placed, containers above the capacity, divided documents that would fit, documents that lost or gained tokens (the last three 0)."""
+    caps = table(spark, d, "container_sizes")
+    filled = cut(p8_containers(spark, d).join(F.broadcast(caps), "container_kind"), "filled")
+    over = filled.groupBy("container_kind", "container_no", "capacity_tokens").agg(F.sum("tokens").alias("t")).groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"))
+    docs = filled.groupBy("container_kind", "doc_id", "capacity_tokens").agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces")).join(_sizes(spark, d).select("doc_id", "tokens"), "doc_id")
+    per = docs.groupBy("container_kind").agg(F.count("*").alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("n_divided"), F.count_if(F.col("t") != F.col("tokens")).alias("n_wrong"))
+    return per.join(over, "container_kind").select("container_kind", "n_documents", "n_over", "n_divided", "n_wrong")
+
+
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents there, documents used more often than allowed, and uses under another source (both 0)."""
+    targets = F.broadcast(table(spark, d, "mix_targets").select("source", "max_repeat"))
+    docs = table(spark, d, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("own"), (F.length("text") > 0).alias("some"))
+    uses = p9_mixture(spark, d).groupBy("doc_id", "source").agg(F.count("*").alias("uses"))
+    used = uses.join(docs, "doc_id").join(targets, "source").groupBy("source").agg(F.count_if(F.col("uses") > F.col("max_repeat")).alias("n_over"), F.count_if(F.col("own") != F.col("source")).alias("n_foreign"))
+    there = docs.where("some").groupBy(F.col("own").alias("source")).agg(F.count("*").alias("n_documents"))
+    return targets.join(there, "source", "left").join(used, "source", "left").select("source", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("n_over", F.lit(0)).alias("n_over"), F.coalesce("n_foreign", F.lit(0)).alias("n_foreign"))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture: each use of each document, in its shuffled order."""
     return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"), "doc_id")[0]
@@ -145,12 +214,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Bits a token of every document with a text."""
-    return spam.scores(table(spark, d, "documents"))
+    """Bits a token of every document with a text, and how far that is from the usual."""
+    return spam.judged(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_spans": p1_spans, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_split": p7_split, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
+    found = [
+        p1_found, p1_report, p1_spans, p2_found, p2_links, p3_found, p5_found, p5_pieces, p5_check, p6_found, p6_defects, p6_empty, p7_found, p7_split, p7_forest, p7_check,
+        p8_containers, p8_report, p8_check, p9_mixture, p9_shares, p9_check, p10_found, p10_scores,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
