@@ -129,10 +129,12 @@ def test_topk_through_index_equals_all_pairs(spark):
 
 
 def test_neighbourhood_and_merge(spark):
-    ranked = spark.createDataFrame([("w", "d", 5, 0.9, False, 1), ("w", "d", 9, 0.85, False, 2), ("w", "d", 2, 0.1, True, 3), ("w", "d", 0, 0.1, False, 4)], "weakness_id string, doc string, n int, score double, anchor_match boolean, rank int")
-    there = spark.createDataFrame([("d", i) for i in range(10)], "doc string, n int")
-    got = sorted(r["n"] for r in retrieval.neighbourhood(ranked, there, "weakness_id", "n", 3, 1).collect())
-    assert got == [1, 2, 3, 4, 5, 6, 8, 9]
+    scored = [("w", "d", n, 0.0, False) for n in range(10)] + [("w", "other", 5, 0.0, True)]
+    best = {5: (0.9, False), 9: (0.85, False), 2: (0.1, True), 0: (0.1, False)}
+    scored = [(w, d, n, *(best.get(n, (s, a)) if d == "d" else (s, False))) for w, d, n, s, a in scored]
+    df = spark.createDataFrame(scored, "weakness_id string, doc string, n int, score double, anchor boolean")
+    got = sorted((r["doc"], r["n"]) for r in retrieval.neighbourhood(df, "weakness_id", "doc", "n", "score", "anchor", 4, 1).collect())
+    assert got == [("d", n) for n in (0, 1, 2, 3, 4, 5, 6, 8, 9)]
     kind = "q string, rank int, id string, score double, prefix string"
     a = spark.createDataFrame([("q", i + 1, f"a{i}", 0.9 - i / 10, f"pa{i}") for i in range(5)], kind)
     b = spark.createDataFrame([("q", 1, "b0", 0.5, "pa0"), ("q", 2, "b1", 0.4, "pb1"), ("q", 3, "b2", 0.95, "pb2")], kind)
@@ -194,12 +196,13 @@ CLAIMS = "Claim 1: The method lacks a baseline on large data.\nClaim 2: The proo
 
 def test_reward_parts(spark):
     text = lambda c, v: one(spark, c, v)
+    gate = lambda c: C.gate_of_claims(c, C.claim_bodies(X.strip(c)))
     assert text(C.claim_count, CLAIMS) == 3
-    assert text(C.hard_gate_claims, CLAIMS) is True
-    assert text(C.hard_gate_claims, "\n".join(f"Claim {i}: the same words again" for i in range(1, 5))) is False
-    assert text(C.hard_gate_claims, "None") is True
-    assert text(C.hard_gate_claims, "Claim 1: as the rebuttal says") is False
-    assert text(C.hard_gate_claims, "no claims here") is False
+    assert text(gate, CLAIMS) is True
+    assert text(gate, "\n".join(f"Claim {i}: the same words again" for i in range(1, 5))) is False
+    assert text(gate, "None") is True
+    assert text(gate, "Claim 1: as the rebuttal says") is False
+    assert text(gate, "no claims here") is False
     assert text(C.base_score, " none ") == 0.10 and text(C.base_score, "x") == 0.0 and text(C.base_score, CLAIMS) is None
     assert text(lambda c: C.repetition_penalty(c, 2), "a\na\na\nb") == pytest.approx(0.0)
     assert text(lambda c: C.repetition_penalty(c, 2), "a\na\nb\nc") == 1.0
@@ -208,14 +211,11 @@ def test_reward_parts(spark):
     assert text(C.cut_claims, "Sure. " + CLAIMS) == CLAIMS
     assert text(C.without_thinking, "<think>a\nb</think> x ") == "x"
     assert text(C.parsed_score, "score: 4 of 5") == 4 and text(C.parsed_score, "none 17") is None
-    assert text(C.format_claims, CLAIMS) == pytest.approx(0.85)
+    assert text(lambda c: C.form_of_claims(C.claim_bodies(c)), CLAIMS) == pytest.approx(0.85)
     whole = "## Claim\nc\n## Evidence\ne\n### Suggestion 1\n- **What**: a\n- **Where**: b\n- **How**: c\n- **Expected Outcome**: d\n- **Priority**: high\n## Severity\nmajor"
     assert text(C.cut_analysis, "intro\n" + whole + "\nassistant\n## Claim again") == whole
     assert text(C.hard_gate_analysis, whole) is True and text(C.hard_gate_analysis, "## Claim\nc\n### Suggestion 1\n- **What**: a") is False
     assert text(C.format_analysis, whole) == 1.0 and text(C.format_analysis, "x") == pytest.approx(0.9 * 0.9 * 0.85)
-    rows = spark.createDataFrame([(0.5, 1.0), (None, 0.4), (0.6, None), (None, None)], "s double, g double")
-    got = [r[0] for r in rows.select(C.combine_claims(F.col("s"), F.col("g"), F.lit(1.0), F.lit(1.0), F.lit(0.5))).collect()]
-    assert got == pytest.approx([0.3, 0.2, 0.3, 0.0])
 
 
 def test_lexical_markers(spark):

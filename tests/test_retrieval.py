@@ -15,7 +15,7 @@ def record(id_, sections=(), **fields):
 def scores(spark, records, chunks, mode):
     r = R.prepare_records(spark.createDataFrame(records, RECORD))
     c = R.prepare_chunks(spark.createDataFrame(chunks, CHUNK))
-    return {(x["weakness_id"], x["doc"]): x for x in R.score_mode(r, c, mode).collect()}
+    return {(x["weakness_id"], x["doc"]): {"score": x[f"score_{mode}"], "anchor_match": x[f"anchor_{mode}"]} for x in R.score_pairs(r, c, [mode]).collect()}
 
 
 CHUNKS = [("g", 1, 0, 1, "Alpha beta delta and nothing else."), ("g", 2, 0, 4, "Lemma 3 and its proof follow from the equation above."), ("other", 3, 0, 1, "alpha beta gamma"), ("g", 4, 0, 9, "")]
@@ -28,11 +28,17 @@ def test_scores_by_hand(spark):
     assert got["plain", 1]["score"] == pytest.approx(0.38 * 2 / 3, abs=1e-6)
     # overlap, theory bias by type and by words, clarity by type and by words, anchor, two hint words
     assert got["formal", 2]["score"] == pytest.approx(0.38 * 2 / 3 + 0.12 + 0.14 + 0.08 + 0.12 + 0.20 + 0.06, abs=1e-6)
-    assert got["formal", 2]["anchor_match"] and got["formal", 2]["kind"] == "method" and not got["plain", 1]["anchor_match"]
+    assert got["formal", 2]["anchor_match"] and not got["plain", 1]["anchor_match"]
     first = scores(spark, rows, CHUNKS, "task1")
     assert first["plain", 1]["score"] == pytest.approx(0.48 * 2 / 3, abs=1e-6)
     support = scores(spark, [record("s", what="alpha beta", how="gamma")], CHUNKS, "task2_support")
     assert support["s", 1]["score"] == pytest.approx(0.20 + 0.05, abs=1e-6)  # the phrase counts as well
+    # a method chunk gains where the suggestion speaks of methods; evidence makes an anchor match but no anchor score
+    support = scores(spark, [record("m", how="another theorem"), record("n", how="another thing"), record("a", evidence="lemma 3")], CHUNKS, "task2_support")
+    assert support["m", 2]["score"] - support["n", 2]["score"] == pytest.approx(0.07, abs=1e-6)
+    assert support["a", 2]["anchor_match"] and support["a", 2]["score"] == pytest.approx(0.14 + 0.03, abs=1e-6)  # overlap and a hint word
+    first = scores(spark, [record("f", followups="see lemma 3")], CHUNKS, "task1")
+    assert first["f", 2]["anchor_match"] and first["f", 2]["score"] > 0.20
 
 
 def test_places_count(spark):
@@ -54,3 +60,14 @@ def test_aligned_lists(spark):
     block = R.prompt_block(spark.createDataFrame([("q", 1, "x", 0.5), ("q", 2, "y", 0.25)], "q string, rank int, c string, score double"), spark.createDataFrame([("x", 7, "text x"), ("y", 8, "text y")], "c string, page int, text string"), "q", "c")
     assert block.first()["block"] == "(p.7, score=0.5000) text x\n(p.8, score=0.2500) text y"
     assert R.align(R.prepare_records(spark.createDataFrame([], RECORD)), R.prepare_chunks(spark.createDataFrame([], CHUNK))).count() == 0
+
+
+def test_task1_and_status(spark):
+    chunks = [("g", 0, n, n + 1, f"alpha chunk {n}") for n in range(9)] + [("other", 1, 0, 1, "beta")]
+    rows = [record("a", claim="alpha chunk 4"), record("b", claim="zzz")]
+    r, c = R.prepare_records(spark.createDataFrame(rows, RECORD)), R.prepare_chunks(spark.createDataFrame(chunks, CHUNK))
+    found = R.align_task1(r, c)
+    assert [x["id"] for x in found.where("weakness_id = 'a'").orderBy("rank").collect()] == ["0:4", "0:0", "0:1"]
+    asked = spark.createDataFrame([("a", "g", "u"), ("b", "g", None), ("c", "g", " x"), ("d", "none", "u"), ("e", None, "u")], "weakness_id string, group string, pdf_url string")
+    got = {x["weakness_id"]: x["status"] for x in R.status(asked, c, found.where("weakness_id = 'a'")).collect()}
+    assert got == {"a": "ok", "b": "no_pdf_url", "c": "no_snippet_found", "d": "no_text_extracted", "e": "no_text_extracted"}

@@ -1,13 +1,17 @@
 """Classifiers, validators and folds, a case for every branch."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules as U
 from threadloom.functions import validate as V
-from threadloom.operators import folds, provider
+from threadloom.functions import claims as K
+from threadloom.operators import answers as A
+from threadloom.operators import provider
 
 FOLLOW_UPS = [
     ("No baseline.", "I would raise my rating after this.", "score_update"),
@@ -65,7 +69,6 @@ def test_reply_types(spark, invitation, signature, kinds, role):
 def test_noisy_titles(spark, title, noisy):
     df = spark.createDataFrame([(title,)], "t string")
     assert df.select(U.noisy_title(F.col("t"))).first()[0] is noisy
-    assert folds.noisy_title(title) is noisy
 
 
 def test_tie_break_and_specificity(spark):
@@ -74,7 +77,7 @@ def test_tie_break_and_specificity(spark):
     assert got == ["L2.3.1", "L2.3.2", "L2.3.3", "L1.1.1", "L2.3.3"]
     texts = ["Table 3 lacks a baseline because of the metric", "vague", "1", ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(U.specificity(F.lower(F.btrim("t")))).collect()]
-    assert got == [folds.specificity(t) for t in texts]
+    assert got == [2 + 2 + 3 + 1, 0, 2, 0]
 
 
 REVIEW = "claim string, evidence string, actionable_suggestions array<struct<what:string,where:string,how:string,expected_outcome:string,priority:string>>, citations array<string>, severity string"
@@ -123,27 +126,63 @@ def test_rubrics_and_candidates(spark):
 
 
 def test_mapping_is_cleaned_in_order(spark):
-    assert folds.points("Point 1: a\nb Point 2: c") == [("W1", "a\nb"), ("W2", "c")]
-    weak = {f"W{i}": t for i, t in enumerate(["the baseline comparison is missing entirely", "proofs are wrong", "typos", "figures", "tables"], 1)}
+    weak = [(f"W{i}", t) for i, t in enumerate(["the baseline comparison is missing entirely", "proofs are wrong", "typos", "figures", "tables"], 1)]
     text = (
         'W1 -> "The baseline comparison is missing entirely" (Confidence: 0.9)\nW2 -> We fixed the derivation. (Confidence: 0.8)\nW3 -> Same segment as W2 (Confidence: 0.7)\n'
         "W4 -> We fixed the derivation. (Confidence: 0.6)\nW5 -> No Response (Confidence: 0.5)\nW9 -> odd (Confidence: 0.1)\nW2 -> again (Confidence: 0.2)"
     )
-    got = {k: v for k, v, _ in folds.mapped_rebuttals(text, weak)}
-    assert got == {"W1": "No Response", "W2": "We fixed the derivation.", "W3": "We fixed the derivation.", "W4": "No Response", "W5": "No Response"}
-    assert folds.mapped_rebuttals("W1 -> Same text as W2 (Confidence: 1)", weak)[0][1] == "No Response"
-    assert folds.mapped_rebuttals(None, weak) == []
-    row = spark.createDataFrame([(text, "Point 1: x Point 2: y")], "t string, s string").select(folds.map_rebuttals("t", "s")).first()[0]
-    assert [r["weakness"] for r in row] == ["W1", "W2"]
-    assert folds.routed("F1 -> W1, unrelated (Confidence: 0.9) F2 -> W7 (Confidence: 0.5) F9 -> W1 (Confidence: 1)", 2, ["W1", "W2"]) == [(0, "W1"), (0, "UNRELATED"), (1, "UNRELATED")]
-    assert folds.routed("", 2, ["W1"]) == [(0, "W1"), (1, "W1")]
-
-
-def test_claims_are_refined():
-    claims = ["- Claim 3: The baseline on ImageNet is missing. More words.", "The ImageNet baseline is missing from Table 2.", "Notation is unclear.", "Runtime is not reported on any dataset.", ""]
-    got = folds.refined(claims)
+    df = spark.createDataFrame([(text, weak), ("W1 -> Same text as W2 (Confidence: 1)", weak), (None, weak), (text, [])], "t string, w array<struct<key:string,text:string>>")
+    got = [[(m["key"], m["rebuttal"]) for m in r[0]] if r[0] is not None else [] for r in df.select(K.mapped(F.col("t"), F.col("w"))).collect()]
+    assert dict(got[0]) == {"W1": "No Response", "W2": "We fixed the derivation.", "W3": "We fixed the derivation.", "W4": "No Response", "W5": "No Response"}
+    assert got[1:] == [[("W1", "No Response")], [], []]
+    row = spark.createDataFrame([("Point 1: a\nb Point 2: c",)], "t string").select(K.points(F.col("t"))).first()[0]
+    assert [tuple(r) for r in row] == [("W1", "a\nb"), ("W2", "c")]
+
+
+@pytest.mark.parametrize("text, n, weak, want", [
+    ("F1 -> W1, unrelated (Confidence: 0.9) F2 -> W7 (Confidence: 0.5) F9 -> W1 (Confidence: 1)", 2, ["W1", "W2"], [(0, "W1"), (0, "UNRELATED"), (1, "UNRELATED")]),
+    ("", 2, ["W1"], [(0, "W1"), (1, "W1")]), ("F1 -> W2 (Confidence: 1)", 2, ["W1"], [(0, "W1"), (1, "W1")]), ("failed", 2, ["W1", "W2"], [(0, "W1"), (0, "W2"), (1, "W1"), (1, "W2")]), (None, 1, ["W1", "W2"], [(0, "W1"), (0, "W2")]), ("x", 0, ["W1", "W2"], []),
+])
+def test_routes(spark, text, n, weak, want):
+    row = spark.createDataFrame([(text, n, weak)], "t string, n int, w array<string>").select(K.routed(F.col("t"), F.col("n"), F.col("w"))).first()[0]
+    assert [tuple(r) for r in row] == want
+
+
+def refined(spark, *lists):
+    df = spark.createDataFrame([(x,) for x in lists], "c array<string>")
+    return [r["out"] for r in A.with_refined(df, F.col("c"), "out").select("out").collect()]
+
+
+def test_claims_are_refined(spark):
+    claims = ["- Claim 3: The baseline on ImageNet is missing. More words.", "The ImageNet baseline is missing from Table 2.", "Notation is unclear.", "Runtime is not reported on any dataset.", "", None]
+    got, none, null, one = refined(spark, claims, [], None, ["a b"])
     assert len(got) == 2 and got[0].startswith("Claim 1: The ImageNet baseline")
-    assert folds.refined([]) == [] and folds.merged(["a"], 2) == ["a"]
+    assert none == [] and null == [] and one == ["Claim 1: a b"]
+
+
+def plain_refined(claims):
+    """The rules said once more, one claim after another."""
+    words = lambda c: {w for w in re.sub(r"[^a-z0-9\s]+", " ", c.lower()).split() if len(w) >= 4 and w not in K.CLAIM_STOPWORDS}
+    points = lambda c: 2 * bool(re.search(r"\d", c)) + 2 * bool(re.search(r"\b(section|table|figure|appendix)\b", c)) + sum(bool(re.search(rf"\b{w}\b", c)) for w in U.SPECIFIC) + min(len(c.split()) // 10, 3)
+    share = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else 0
+    heads = []
+    for c in sorted(claims, key=lambda c: -points(c)):
+        if all(share(words(c), words(h)) < 0.5 for h in heads):
+            heads.append(c)
+    left = list(range(len(heads)))
+    while len(left) > 2:
+        pairs = [(-share(words(heads[i]), words(heads[j])), i, j) for i in left for j in left if i < j and words(heads[i]) and words(heads[j])]
+        if not pairs:
+            break
+        left.remove(min(pairs)[2])
+    return [f"Claim {i}: {heads[k]}" for i, k in enumerate(left[:2], 1)]
+
+
+def test_refined_claims_as_said_plainly(spark):
+    rng = random.Random(3)
+    vocabulary = ["table", "baseline", "gain", "data", "proof", "metric", "noise", "speed", "model", "clear", "weak", "seed", "runtime", "loss", "42", "x1"]
+    lists = [[" ".join(rng.choices(vocabulary, k=rng.randrange(1, 14))) for _ in range(rng.randrange(0, 9))] for _ in range(40)]
+    assert refined(spark, *lists) == [plain_refined(x) for x in lists]
 
 
 @pytest.mark.parametrize("text, state", [
@@ -151,17 +190,18 @@ def test_claims_are_refined():
     ("Claim 1: a\nmore", "Contains non-claim trailing content"), ("Claim 2: a", "Claim numbering not sequential at Claim 2"), ("Claim 1:", "Malformed claim line"), ("Claim 1: Same  text\nClaim 2: same text", "Duplicate claim detected at Claim 2"),
     ("Claim 1: missing strong baseline\nClaim 2: strong baseline missing today", "Near-duplicate claim detected at Claim 2"), ("Claim 1: missing baselines\nClaim 2: unclear notation", "Complete"),
 ])
-def test_completeness(text, state):
-    assert folds.complete_claims(text) == state
+def test_completeness(spark, text, state):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert A.with_claims_state(df, F.col("t"), "state").first()["state"] == state
 
 
-def test_places_in_general_words(spark):
-    assert folds.plain_places("See Section 3.1 and Table 2, App. B2, Fig. 4a", False) == "See the relevant section and the results table, the appendix, the figure"
-    assert folds.plain_places("See Section 3.1", True) == "See Section 3.1"
-    assert folds.plain_places("in the Section 'we show that' (p. 9)", True) == "in the relevant section (p. 9)"
-    assert folds.plain_places("in Section 'Related Work' (p. 9)", True) == "in Section 'Related Work' (p. 9)"
-    rows = spark.createDataFrame([("Table 1", False), (None, True)], "t string, s boolean").select(folds.general_places("t", "s")).collect()
-    assert [r[0] for r in rows] == ["the results table", None]
+@pytest.mark.parametrize("text, sections, want", [
+    ("See Section 3.1 and Table 2, App. B2, Fig. 4a", False, "See the relevant section and the results table, the appendix, the figure"), ("See Section 3.1", True, "See Section 3.1"), ("Table 1", False, "the results table"), (None, True, None), ("", False, ""),
+    ("in the Section 'we show that' (p. 9)", True, "in the relevant section (p. 9)"), ("in Section 'Related Work' (p. 9)", True, "in Section 'Related Work' (p. 9)"), ("as in sec. \"of the\", and Section 'Related Work'", True, "as in the relevant section, and Section 'Related Work'"),
+])
+def test_places_in_general_words(spark, text, sections, want):
+    df = spark.createDataFrame([(text, sections)], "t string, s boolean")
+    assert df.select(K.general_places(F.col("t"), F.col("s"))).first()[0] == want
 
 
 def test_provider_asks_once_and_uses_the_cache(spark):
@@ -187,11 +227,40 @@ def test_states_of_analyses(spark, text, state):
     assert spark.createDataFrame([(text,)], "t string").select(V.analysis_state(F.col("t"))).first()[0] == state
 
 
-def test_answers_are_cut_out():
-    assert folds.answer_of("x\n" + WHOLE + "\nmore", "analysis").endswith("major")
-    assert folds.answer_of("words\nassistant\nmore", "analysis") == "words"
-    assert folds.answer_of("Sure:\nClaim 1: The proof is missing.\nClaim 2: No runtime on any dataset.\ntail\nClaim 3: x", "claims") == "Claim 1: No runtime on any dataset.\nClaim 2: The proof is missing."
-    assert folds.answer_of("none", "claims") == "None" and folds.answer_of("plain", "claims") == "plain" and folds.answer_of(None, "claims") is None
+def test_answers_are_cut_out(spark):
+    rows = [("x\n" + WHOLE + "\nmore",), ("words\nassistant\nmore",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(K.analysis_answer(F.col("t"))).collect()]
+    assert got[0].endswith("major") and got[1:] == ["words", None]
+    rows = [("Sure:\nClaim 1: The proof is missing.\nClaim 2: No runtime on any dataset.\ntail\nClaim 3: x",), ("none",), ("plain",), (None,), ("Claim 1: a\nuser\nClaim 2: b",)]
+    got = [r["a"] for r in A.with_claims_answer(spark.createDataFrame(rows, "t string"), F.col("t"), "a").collect()]
+    assert got == ["Claim 1: No runtime on any dataset.\nClaim 2: The proof is missing.", "None", "plain", None, "Claim 1: a"]
+
+
+def test_rewards_of_claims(spark):
+    """A row for every branch: thinking, gate, base score, failed judges, missing truth, weights of 0, penalties."""
+    two = "Claim 1: The baseline is missing.\nClaim 2: No runtime is given."
+    rows = {
+        "all": (two, two), "think": ("<think>\nx</think>" + two, two), "leak": (two + " In their response they agree.", two), "gate": ("no claims here", two), "none": ("none", two), "soft fails": (two, two), "cover fails": (two, two),
+        "both fail": (two, two), "no truth": (two, "None"), "zero weights": (two, two), "long": ("Claim 1: One. Two. Three.", two), "null": (None, None),
+    }
+    soft = {k: [(2.0, 5), (1.0, 2)] for k in rows} | {"soft fails": [(2.0, 5), (1.0, None)], "both fail": [(1.0, None)], "zero weights": [(0.0, 5)]}
+    cover = {k: [3, 5] for k in rows} | {"cover fails": [3, None], "both fail": [None]}
+    got = A.reward_claims(
+        spark.createDataFrame([(k, *v) for k, v in rows.items()], "id string, solution string, truth string"),
+        spark.createDataFrame([(k, w, s) for k, v in soft.items() for w, s in v], "id string, weight double, score int"),
+        spark.createDataFrame([(k, s) for k, v in cover.items() for s in v], "id string, score int"),
+    ).collect()
+    got = {r["id"]: r["reward"] for r in got}
+    full = (0.8 * 0.75 + 0.2 * 0.75) * 0.9
+    want = {"all": full, "think": full, "leak": 0, "gate": 0, "none": 0.1, "soft fails": 0.75 * 0.9, "cover fails": 0.75 * 0.9, "both fail": 0, "no truth": 0.75 * 0.9, "zero weights": (0.8 * 0.5 + 0.2 * 0.75) * 0.9, "long": 0.75 * 0.88, "null": 0}
+    assert got == pytest.approx(want)
+
+
+def test_rewards_of_analyses(spark):
+    rows = [("a", WHOLE), ("b", WHOLE.replace("## Evidence\ne", "")), ("c", WHOLE), ("d", "<think>" + WHOLE + "</think>"), ("e", WHOLE.replace("## Claim\nc\n", ""))]
+    soft = spark.createDataFrame([("a", 1.0, 5), ("a", 1.0, None), ("b", 1.0, 5), ("c", 1.0, None), ("d", 1.0, 5), ("e", 1.0, 3)], "id string, weight double, score int")
+    got = {r["id"]: r["reward"] for r in A.reward_analyses(spark.createDataFrame(rows, "id string, solution string"), soft).collect()}
+    assert got == pytest.approx({"a": 1.0, "b": 0, "c": 0, "d": 0, "e": 0.45})
 
 
 @pytest.mark.parametrize("review, ok", [(GOOD, True), (None, False), (changed(claim=""), False), (changed(actionable_suggestions=[]), False), (suggestion(what=None), False), (changed(evidence="As the authors say"), False)])

@@ -81,13 +81,17 @@ FOLLOW_UP = [
     ("same_issue/high/0.88", ("any", *REFINES)),
     ("new_issue/high/0.85", ("all", ("any", *SHIFTS), ("not", SAME_TOPIC))),
 ]
-LABEL_STOPWORDS = (
-    "the a an in on at to for of and or but is are was were be this that with from by as it thank you your please would could have has not do does did can will may also very more"
-).split()
-QUOTE_STOPWORDS = (
-    "the a an in on at to for of and or but is are was were be this that with from by as it i we our my your their not no do does can will may have has had been would could should if so than then also more most very "
-    "about which who what when where how why all any such these those its they them their there"
-).split()
+#: Words that don't count as keywords of follow-ups, and of rebuttals. Fixed values.
+LABEL_STOPWORDS = [
+    "the", "a", "an", "in", "on", "at", "to", "for", "of", "and", "or", "but", "is", "are", "was", "were", "be", "this", "that", "with", "from", "by", "as", "it", "thank",
+    "you", "your", "please", "would", "could", "have", "has", "not", "do", "does", "did", "can", "will", "may", "also", "very", "more",
+]
+QUOTE_STOPWORDS = [
+    "the", "a", "an", "in", "on", "at", "to", "for", "of", "and", "or", "but", "is", "are", "was", "were", "be", "this", "that", "with", "from", "by", "as", "it", "i", "we",
+    "our", "my", "your", "their", "not", "no", "do", "does", "can", "will", "may", "have", "has", "had", "been", "would", "could", "should", "if", "so", "than", "then",
+    "also", "more", "most", "very", "about", "which", "who", "what", "when", "where", "how", "why", "all", "any", "such", "these", "those", "its", "they", "them", "their",
+    "there",
+]
 #: Type of a reply by its invitation (and signature): by venue rules. Fixed values.
 REPLY_TYPES = {
     "first": [("decision", r"decision$"), ("review", r"official_review$"), ("meta_review", r"meta_?review"), ("rebuttal", r"/authors/-/official_comment|/authors/-/rebuttal|author_response|authors_official_comment|/authors.*(comment|rebuttal)|(comment|rebuttal).*/authors")],
@@ -95,12 +99,15 @@ REPLY_TYPES = {
     "meta_first": [("decision", r"decision"), ("meta_review", r"meta_?review"), ("review", r"official_review|/review$"), ("rebuttal", r"author.*(response|rebuttal|comment)|(response|rebuttal|comment).*author")],
 }
 #: Words at the end of a cut title. Fixed values.
-TRAILING = "the a an of in is to for and or that with on by from as are was be".split()
+TRAILING = [
+    "the", "a", "an", "of", "in", "is", "to", "for", "and", "or", "that", "with", "on", "by", "from", "as", "are", "was", "be",
+]
 #: Words that make a claim specific. Fixed values.
-SPECIFIC = (
-    "ablation baseline table figure fig section appendix dataset benchmark metric error failure case counterexample latency throughput runtime complexity memory robustness ood hyperparameter seed variance "
-    "significance confidence calibration leakage prompt instruction retrieval evidence citation hallucination equation formula algorithm procedure definition"
-).split()
+SPECIFIC = [
+    "ablation", "baseline", "table", "figure", "fig", "section", "appendix", "dataset", "benchmark", "metric", "error", "failure", "case", "counterexample", "latency",
+    "throughput", "runtime", "complexity", "memory", "robustness", "ood", "hyperparameter", "seed", "variance", "significance", "confidence", "calibration", "leakage",
+    "prompt", "instruction", "retrieval", "evidence", "citation", "hallucination", "equation", "formula", "algorithm", "procedure", "definition",
+]
 #: Phrases of the three theory categories. Fixed values.
 TIE_PHRASES = {
     "L2.3.1": ["incorrect proof", "theorem wrong", "theorem is wrong", "proof is wrong", "proof is incorrect", "derivation invalid", "invalid derivation", "not shown", "missing proof", "does not follow", "not proven", "proof missing", "proof is missing", "no proof", "without proof", "lack of proof", "unproven", "proof error", "proof flawed"],

@@ -54,19 +54,25 @@ def claim_bodies(c: Column) -> Column:
 
 def near_pairs(bodies: Column, threshold: float) -> Column:
     """Pairs of claims whose word sets are at least so similar."""
-    sets = F.transform(bodies, lambda b: F.array_distinct(F.regexp_extract_all(F.lower(b), F.lit("[a-z]+"), F.lit(0))))
-    alike = lambda a, b: X.jaccard(a, b) >= threshold
-    per = F.transform(sets, lambda a, i: F.size(F.filter(F.slice(sets, i + 2, F.greatest(F.size(sets) - i - 1, F.lit(0))), lambda b: (F.size(a) > 0) & (F.size(b) > 0) & alike(a, b))))
-    return F.aggregate(per, F.lit(0), lambda acc, n: acc + n)
+    words = lambda b: F.array_distinct(F.regexp_extract_all(F.lower(b), F.lit("[a-z]+"), F.lit(0)))
+    none = F.struct(F.array().cast("array<array<string>>").alias("seen"), F.lit(0).alias("n"))
 
+    def step(acc: Column, b: Column) -> Column:
+        # a struct of its own, so that the words are worked out once
+        own = F.transform(F.array(words(b)), lambda w: F.struct(F.array_append(acc["seen"], w).alias("seen"), (acc["n"] + F.size(F.filter(acc["seen"], lambda s: (F.size(w) > 0) & (F.size(s) > 0) & (X.jaccard(s, w) >= threshold)))).alias("n")))
+        return own[0]
 
-def hard_gate_claims(c: Column) -> Column:
-    """True where an answer of claims passes: no rebuttal talk, no loops, numbered claims or none, not mostly the same claim."""
-    t = X.strip(c)
-    bodies = claim_bodies(t)
+    return F.aggregate(bodies, none, step, lambda acc: acc["n"])
+
+
+def gate_of_claims(c: Column, bodies: Column) -> Column:
+    """True where an answer of claims passes: no rebuttal talk, no loops, numbered claims or none, not mostly the same claim.
+
+    bodies: its claim_bodies. Give them a column of their own: every claim is held against the others.
+    """
     n = F.size(bodies)
-    doubles = (n >= 3) & (near_pairs(bodies, 0.7) / (n * (n - 1) / 2) > 0.5)
-    return ~rules.leaks(c, "reward") & repetition_gate(c) & ((F.lower(t) == "none") | (t.rlike(CLAIM) & ~doubles))
+    doubles = (n >= 3) & (near_pairs(bodies, 0.7) / F.greatest(n * (n - 1) / 2, F.lit(1.0)) > 0.5)
+    return ~rules.leaks(c, "reward") & repetition_gate(c) & ((F.lower(X.strip(c)) == "none") | (c.rlike(CLAIM) & ~doubles))
 
 
 SUGGESTION = r"(?is)###\s*Suggestion\s*\d+.*?(?=\n\s*###\s*Suggestion\s*\d+|\n\s*##\s*Severity|\z)"
@@ -113,9 +119,8 @@ def count_prior(n: Column) -> Column:
     return F.when(n <= 1, 1.0).when(n == 2, 0.90).otherwise(F.greatest(F.lit(0.60), 0.90 - 0.15 * (n - 2)))
 
 
-def format_claims(c: Column) -> Column:
-    """Discount for claims of several sentences and for claims said twice."""
-    bodies = claim_bodies(c)
+def form_of_claims(bodies: Column) -> Column:
+    """Discount for claims of several sentences and for claims said twice; bodies in a column of their own."""
     many = F.size(F.filter(bodies, lambda b: F.regexp_count(b, F.lit(r"[.!?](?=\s|$)")) > 1))
     twice = near_pairs(bodies, 0.65)
     return F.when(F.size(bodies) == 0, 1.0).otherwise(F.when(many > 0, F.greatest(F.lit(0.75), 1 - 0.12 * many)).otherwise(1.0) * F.when(twice > 0, F.greatest(F.lit(0.70), 1 - 0.15 * twice)).otherwise(1.0))
@@ -139,15 +144,5 @@ def unit(mean: Column) -> Column:
     return (mean - 1) / 4
 
 
-def combine_claims(soft: Column, coverage: Column, prior: Column, penalty: Column, form: Column, alpha: float = 0.8) -> Column:
-    """(a S + (1 - a) G) Q P F; a missing part leaves all weight to the other, both missing give 0."""
-    mixed = F.when(soft.isNull() & coverage.isNull(), 0.0).when(soft.isNull(), coverage).when(coverage.isNull(), soft).otherwise(alpha * soft + (1 - alpha) * coverage)
-    return clamp(mixed * prior * penalty * form)
-
-
-def combine_analysis(soft: Column, penalty: Column, form: Column) -> Column:
-    return clamp(F.coalesce(soft, F.lit(0.5)) * penalty * form)
-
-
 def clamp(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))

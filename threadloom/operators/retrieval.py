@@ -34,7 +34,14 @@ TERMS = {
     "empirical_keep": ["clip", "vit-b", "vit-l", "table", "fine-tune", "implementation", "standard deviation", "p-value", "t-test"],
     "theory_keep": ["related work", "sir", "air", "proposition", "lemma", "theory", "decomposition", "proof"],
     "limits_keep": ["appendix", "table", "implementation", "protocol"],
+    "limits": ["limitations"],
 }
+#: In support mode: what a suggestion speaks of, the chunk types that then gain, and by how much. Fixed values.
+SUPPORT_TYPES = [
+    (["implementation", "training", "protocol", "hyperparameter", "fine-tuning", "finetuning"], ["implementation", "protocol"], 0.08),
+    (["table", "results", "comparison", "benchmark", "appendix", "ablation", "variants"], ["table_result", "analysis"], 0.08),
+    (["methodology", "equation", "algorithm", "proposition", "theorem", "lemma"], ["method"], 0.07),
+]
 #: Section words that hint at a place. Fixed values.
 HINT_WORDS = [
     "abstract", "introduction", "background", "method", "methods", "methodology", "approach", "model", "algorithm", "training", "experiment", "experiments", "evaluation", "results", "discussion", "conclusion", "appendix",
@@ -56,7 +63,7 @@ DISCOURAGED_SECTIONS = ["acknowledgements", "references", "possible negative soc
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, on: str, query_id: str, chunk_id: str, k: int = 3) -> DataFrame:
-    """queries (on, query_id, q_tokens) and chunks (on, chunk_id, c_tokens, prefix): the k best chunks of each query's own group.
+    """queries (on, query_id, q_tokens) and chunks (on, chunk_id, c_tokens, prefix, e.g. its digest): the k best chunks of each query's own group.
 
     Score: share of the query's tokens in the chunk, to six digits; ties by chunk_id; of equal prefixes the best counts.
     """
@@ -76,13 +83,16 @@ def open_topk(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", chunk_id, "score")
 
 
-def neighbourhood(ranked: DataFrame, chunks: DataFrame, query_id: str, chunk_no: str, seeds: int, width: int, near: float = 0.10) -> DataFrame:
-    """Chunks within `width` of the best `seeds`, as far as those match an anchor or score within `near` of the best: (query_id, chunk_no)."""
-    top = F.max("score").over(Window.partitionBy(query_id))
-    start = ranked.where(F.col("rank") <= seeds).withColumn("__top", top)
-    wide = F.when(F.col("anchor_match") | (F.col("score") >= F.col("__top") - near), width).otherwise(0)
-    spread = start.select(query_id, "doc", F.explode(F.sequence(F.col(chunk_no) - wide, F.col(chunk_no) + wide)).alias(chunk_no)).distinct()
-    return spread.join(chunks, ["doc", chunk_no], "left_semi")
+def neighbourhood(scored: DataFrame, query_id: str, doc: str, chunk_no: str, score: str, anchor: str, seeds: int, width: int, near: float = 0.10) -> DataFrame:
+    """The rows whose chunk is one of the best `seeds` of its query, or lies within `width` places of such a one that matches an anchor or scores within `near` of the best.
+
+    One shuffle by query serves all windows. Ties of the score by document and place.
+    """
+    mine = Window.partitionBy(query_id)
+    around = Window.partitionBy(query_id, doc).orderBy(chunk_no).rangeBetween(-width, width)
+    seed = F.row_number().over(mine.orderBy(F.desc(score), doc, chunk_no)) <= seeds
+    rows = scored.withColumn("__seed", seed).withColumn("__wide", F.col("__seed") & (F.col(anchor) | (F.col(score) >= F.max(score).over(mine) - near)))
+    return rows.withColumn("__near", F.max("__wide").over(around)).where("__seed or __near").drop("__seed", "__wide", "__near")
 
 
 def merge_ranked(first: DataFrame, second: DataFrame, query_id: str, id_: str, take_first: int = 3, take_second: int = 2, k: int = 5) -> DataFrame:
@@ -99,28 +109,37 @@ def case_flags(blob: Column, with_suggestions: Column) -> dict[str, Column]:
     return {name: L.has_any(with_suggestions if name == "ablation" else blob, markers) for name, markers in L.CASES.items()}
 
 
-def term_scores(mode: str, case: dict[str, Column], text: Column, kind: Column, page: Column) -> Column:
-    """Sum of the biases and penalties of a mode; text is the normalised chunk."""
-    any_ = lambda name: L.has_any(text, TERMS[name])
+def markers(text: Column) -> Column:
+    """Which of the TERMS a normalised chunk has, as a struct of flags; once per chunk, not per pair."""
+    return F.struct(*[L.has_any(text, words).alias(name) for name, words in TERMS.items()])
+
+
+def support_gains(blob: Column) -> Column:
+    """Which of the SUPPORT_TYPES a normalised suggestion speaks of."""
+    return F.array(*[L.has_any(blob, words) for words, _, _ in SUPPORT_TYPES])
+
+
+def term_scores(mode: str, case: dict[str, Column], has: Column, gains: Column, kind: Column, page: Column) -> Column:
+    """Sum of the biases and penalties of a mode; has: the chunk's markers, gains: the record's support_gains."""
     add = lambda cond, points: F.when(cond, F.lit(points)).otherwise(F.lit(0.0))
     evidence, support = mode == "task2_evidence", mode == "task2_support"
     formal_case = case["novelty"] | case["theory"]
-    terms = [add(any_("irrelevant"), -0.35)]
+    terms = [add(has["irrelevant"], -0.35)]
     if not support:
-        terms += [add(case["method_clarity"] & (kind == "method"), 0.08), add(case["method_clarity"] & any_("method"), 0.12)]
-        terms += [add(case["empirical"] & kind.isin("table_result", "protocol", "implementation"), 0.06), add(case["empirical"] & any_("statistics"), 0.10), add(case["empirical"] & any_("models"), 0.08)]
+        terms += [add(case["method_clarity"] & (kind == "method"), 0.08), add(case["method_clarity"] & has["method"], 0.12)]
+        terms += [add(case["empirical"] & kind.isin("table_result", "protocol", "implementation"), 0.06), add(case["empirical"] & has["statistics"], 0.10), add(case["empirical"] & has["models"], 0.08)]
     if evidence or support:
-        terms += [add(case["ablation"] & any_("ablation"), 0.14), add(case["ablation"] & kind.isin("analysis", "implementation", "table_result"), 0.06)]
+        terms += [add(case["ablation"] & has["ablation"], 0.14), add(case["ablation"] & kind.isin("analysis", "implementation", "table_result"), 0.06)]
     if evidence:
-        terms += [add(formal_case & (kind == "method"), 0.12), add(formal_case & any_("formal"), 0.14), add(formal_case & any_("prior"), 0.12), add(formal_case & any_("proofs"), 0.08)]
-        terms += [add(case["mechanism"] & any_("style"), 0.08), add(case["mechanism"] & kind.isin("method", "analysis"), 0.05)]
+        terms += [add(formal_case & (kind == "method"), 0.12), add(formal_case & has["formal"], 0.14), add(formal_case & has["prior"], 0.12), add(formal_case & has["proofs"], 0.08)]
+        terms += [add(case["mechanism"] & has["style"], 0.08), add(case["mechanism"] & kind.isin("method", "analysis"), 0.05)]
         early = page <= 2
         any_case = formal_case | case["mechanism"] | case["ablation"]
-        terms += [add(any_case & early & kind.isin("generic", "analysis") & any_("generic") & ~any_("structural"), -0.18), add(case["novelty"] & early & (kind == "generic") & ~any_("novel_prior"), -0.10)]
-        terms += [add(case["method_clarity"] & kind.isin("table_result", "protocol") & ~any_("clarity_keep"), -0.12), add(case["empirical"] & (kind == "method") & ~any_("empirical_keep"), -0.10), add(formal_case & kind.isin("protocol", "table_result") & ~any_("theory_keep"), -0.12)]
+        terms += [add(any_case & early & kind.isin("generic", "analysis") & has["generic"] & ~has["structural"], -0.18), add(case["novelty"] & early & (kind == "generic") & ~has["novel_prior"], -0.10)]
+        terms += [add(case["method_clarity"] & kind.isin("table_result", "protocol") & ~has["clarity_keep"], -0.12), add(case["empirical"] & (kind == "method") & ~has["empirical_keep"], -0.10), add(formal_case & kind.isin("protocol", "table_result") & ~has["theory_keep"], -0.12)]
     if support:
-        terms += [add(F.contains(text, F.lit("limitations")) & ~any_("limits_keep"), -0.10)]
-        terms += [add(kind == "implementation", 0.08), add(kind == "protocol", 0.08), add(kind == "analysis", 0.07)]
+        terms += [add(has["limits"] & ~has["limits_keep"], -0.10)]
+        terms += [add(gains[i] & kind.isin(*kinds), points) for i, (_, kinds, points) in enumerate(SUPPORT_TYPES)]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
@@ -175,75 +194,91 @@ def anchor_score(found: Column, text: Column, mode: str) -> Column:
     return F.least(F.lit(0.45), F.size(F.filter(found, lambda a: F.contains(text, a))) * F.lit(each))
 
 
-#: Fields whose text decides over anchors, by mode. Fixed values.
-ANCHOR_FIELDS = {"task1": ["claim", "evidence", "weakness"], "task2_evidence": ["claim", "evidence", "weakness", "followups", "rebuttals"], "task2_support": ["claim", "what", "where", "how"]}
+#: Fields whose anchors score, and those whose anchors make a match, by mode. Fixed values.
+ANCHOR_FIELDS = {"task1": ["claim", "evidence", "weakness", "followups"], "task2_evidence": ["claim", "evidence", "weakness", "followups", "rebuttals"], "task2_support": ["claim", "what", "where", "how"]}
+MATCH_FIELDS = ANCHOR_FIELDS | {"task2_support": ["claim", "evidence", "what", "where", "how"]}
 #: Fields whose phrases count, by mode. Fixed values.
-PHRASE_FIELDS = {"task1": ["claim", "evidence", "weakness", "followups"], "task2_evidence": ["claim", "evidence", "weakness", "followups", "rebuttals"], "task2_support": ["what", "where", "how", "outcome"]}
+PHRASE_FIELDS = {"task1": ["claim", "evidence", "weakness", "followups"], "task2_evidence": ["claim", "evidence", "weakness", "followups", "rebuttals"], "task2_support": ["claim", "what", "where", "how"]}
 FIELDS = ["claim", "evidence", "weakness", "followups", "rebuttals", "meta", "what", "where", "how", "outcome"]
+#: Seeds and width of the neighbourhood, and how many snippets remain, by mode. Fixed values.
+SEEDS, WIDTH, KEPT = {"task1": 10, "task2_evidence": 12, "task2_support": 12}, {"task1": 2, "task2_evidence": 2, "task2_support": 3}, {"task1": 3, "task2_evidence": 4, "task2_support": 4}
 
 
 def prepare_records(records: DataFrame) -> DataFrame:
-    """records (weakness_id, group, the FIELDS, sections): token arrays, cases and hints, once per record."""
+    """records (weakness_id, group, the FIELDS, sections): token arrays, cases, hints and anchors, once per record."""
     text = lambda names: F.concat_ws(" ", *[F.col(n) for n in names])
     blob = L.norm(text(["meta", "weakness", "claim", "evidence", "followups", "rebuttals"]))
-    out = records.withColumn("blob", blob).withColumn("blob_all", L.norm(F.concat_ws(" ", "blob", "what", "where", "how")))
-    out = out.withColumns({f"src_{m}": L.norm(F.concat_ws("\n", *fields)) for m, fields in ANCHOR_FIELDS.items()})
+    out = records.withColumns({"blob": blob, "blob_how": L.norm(text(["where", "how", "what"]))}).withColumn("blob_all", L.norm(F.concat_ws(" ", "blob", "what", "where", "how")))
+    out = out.withColumns({f"src_{m}": L.norm(F.concat_ws("\n", *fields)) for m, fields in ANCHOR_FIELDS.items()} | {"src_match": L.norm(F.concat_ws("\n", *MATCH_FIELDS["task2_support"]))})
     out = out.withColumns({f"t_{f}": L.tokens(F.col(f)) for f in FIELDS} | {f"p_{f}": L.phrases(F.col(f)) for f in FIELDS})
-    return out.withColumns(
-        {f"case_{n}": c for n, c in case_flags(F.col("blob"), F.col("blob_all")).items()}
+    out = out.withColumns(
+        {"t_all": F.array_distinct(F.concat(*[F.col(f"t_{f}") for f in FIELDS])), "gains": support_gains(F.col("blob_how"))}
+        | {f"case_{n}": c for n, c in case_flags(F.col("blob"), F.col("blob_all")).items()}
         | {"hints": section_hints(F.col("blob")), "hints_all": section_hints(F.col("blob_all"))}
         | {"pages": hinted_pages(text(["claim", "evidence", "weakness", "followups"]), F.col("blob"), F.col("sections")), "pages_all": hinted_pages(text(["claim", "evidence", "weakness", "followups", "where"]), F.col("blob_all"), F.col("sections"))}
-        | {f"anchors_{m}": L.anchors(F.col(f"src_{m}")) for m in ANCHOR_FIELDS}
-    )
+        | {f"anchors_{m}": L.anchors(F.col(f"src_{m}")) for m in ANCHOR_FIELDS} | {"anchors_match": L.anchors(F.col("src_match"))}
+    )
+    return out.drop(*FIELDS, "blob", "blob_all", "blob_how", "src_match", *[f"src_{m}" for m in ANCHOR_FIELDS])
 
 
 def prepare_chunks(chunks: DataFrame) -> DataFrame:
-    """chunks (group, doc, chunk_no, page, text): normalised text, tokens and type, once per chunk."""
-    chunks = chunks.withColumn("norm", L.norm(F.col("text")))
-    return chunks.withColumns({"c_tokens": L.tokens(F.col("norm")), "kind": L.chunk_type(F.col("norm")), "prefix": L.prefix_key(F.col("norm"))})
+    """chunks (group, doc, chunk_no, page, text): normalised text, tokens, type, markers and the digest of the prefix, once per chunk."""
+    chunks = chunks.withColumn("norm", L.norm(F.col("text"))).drop("text")
+    return chunks.withColumns({"c_tokens": L.tokens(F.col("norm")), "kind": L.chunk_type(F.col("norm")), "has": markers(F.col("norm")), "prefix": F.md5(L.prefix_key(F.col("norm")))})
 
 
-def score_mode(records: DataFrame, chunks: DataFrame, mode: str) -> DataFrame:
-    """Prepared records and chunks of one group each: (weakness_id, doc, chunk_no, score, anchor_match, kind, prefix)."""
-    support = mode == "task2_support"
+def score_pairs(records: DataFrame, chunks: DataFrame, modes: list[str]) -> DataFrame:
+    """Prepared records and chunks of one group each: (weakness_id, doc, chunk_no, prefix, and score_ and anchor_ of each mode)."""
     both = records.join(chunks, "group")
+    # words of the record that the chunk has; every field is then held against these few
+    both = both.withColumn("met", F.array_intersect("t_all", "c_tokens"))
     case = {n: F.col(f"case_{n}") for n in L.CASES}
     text, kind, page, sections = F.col("norm"), F.col("kind"), F.col("page"), F.col("sections")
-    terms = [F.lit(w) * L.overlap(F.col(f"t_{f}"), F.col("c_tokens")) for f, w in WEIGHTS[mode].items()]
-    terms += [L.phrase_overlap(F.col(f"p_{f}"), text) for f in PHRASE_FIELDS[mode]]
-    pages = F.col("pages_all" if support else "pages")
-    terms += [hint_score(F.col("hints_all" if support else "hints"), text), page_hint(page_distance(page, pages)), anchor_score(F.col(f"anchors_{mode}"), text, mode)]
-    terms += [section_bias(mode, case, page, sections), term_scores(mode, case, text, kind, page)]
-    score = terms[0]
-    for t in terms[1:]:
-        score = score + t
-    anchor = F.exists(F.col(f"anchors_{mode}"), lambda a: F.contains(text, a))
-    return both.select("weakness_id", "doc", "chunk_no", F.round(score, 6).alias("score"), anchor.alias("anchor_match"), "kind", "prefix")
-
+    out = []
+    for mode in modes:
+        support = mode == "task2_support"
+        terms = [F.lit(w) * L.overlap(F.col(f"t_{f}"), F.col("met")) for f, w in WEIGHTS[mode].items()]
+        terms += [L.phrase_overlap(F.col(f"p_{f}"), text) for f in PHRASE_FIELDS[mode]]
+        pages = F.col("pages_all" if support else "pages")
+        terms += [hint_score(F.col("hints_all" if support else "hints"), text), page_hint(page_distance(page, pages)), anchor_score(F.col(f"anchors_{mode}"), text, mode)]
+        terms += [section_bias(mode, case, page, sections), term_scores(mode, case, F.col("has"), F.col("gains"), kind, page)]
+        score = terms[0]
+        for t in terms[1:]:
+            score = score + t
+        anchors = F.col("anchors_match" if support else f"anchors_{mode}")
+        out += [F.round(score, 6).alias(f"score_{mode}"), F.exists(anchors, lambda a: F.contains(text, a)).alias(f"anchor_{mode}")]
+    return both.select("weakness_id", "doc", "chunk_no", "prefix", *out)
+
+
+def best_of(pairs: DataFrame, mode: str) -> DataFrame:
+    """(weakness_id, rank, id, doc, chunk_no, score, prefix): the best chunks of each record among seeds and neighbourhood, each prefix once."""
+    scored = pairs.select("weakness_id", "doc", "chunk_no", "prefix", F.col(f"score_{mode}").alias("score"), F.col(f"anchor_{mode}").alias("anchor"))
+    pool = neighbourhood(scored, "weakness_id", "doc", "chunk_no", "score", "anchor", SEEDS[mode], WIDTH[mode])
+    best = [F.desc("score"), F.asc("doc"), F.asc("chunk_no")]
+    once = pool.withColumn("__r", F.row_number().over(Window.partitionBy("weakness_id", "prefix").orderBy(*best))).where("__r = 1")
+    top = once.withColumn("rank", F.row_number().over(Window.partitionBy("weakness_id").orderBy(*best))).where(F.col("rank") <= KEPT[mode])
+    return top.select("weakness_id", "rank", F.concat_ws(":", "doc", "chunk_no").alias("id"), "doc", "chunk_no", "score", "prefix")
 
-def ranked(scored: DataFrame) -> DataFrame:
-    order = Window.partitionBy("weakness_id").orderBy(F.desc("score"), "doc", "chunk_no")
-    return scored.withColumn("rank", F.row_number().over(order))
 
+def align(records: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """Both second-task channels scored in one join, widened, freed of doubles and merged: (weakness_id, place, id, channel, score)."""
+    pairs = cut(score_pairs(records, chunks, ["task2_evidence", "task2_support"]).repartition("weakness_id"), "pairs")
+    channel = lambda mode: best_of(pairs, mode).select("weakness_id", "rank", "id", "score", "prefix")
+    return merge_ranked(channel("task2_evidence"), channel("task2_support"), "weakness_id", "id", k=k)
 
-def best_of(scored: DataFrame, k: int, seeds: int = 10, width: int = 2) -> DataFrame:
-    """The k best chunks of each record among the seeds and their neighbourhood, each prefix once."""
-    first = ranked(scored).where(F.col("rank") <= seeds)
-    wide = neighbourhood(first, scored.select("doc", "chunk_no").distinct(), "weakness_id", "chunk_no", seeds, width)
-    pool = scored.join(wide, ["weakness_id", "doc", "chunk_no"], "left_semi")
-    best = [F.desc("score"), F.asc("doc"), F.asc("chunk_no")]
-    once = pool.withColumn("__r", F.row_number().over(Window.partitionBy("weakness_id", "prefix").orderBy(*best))).where("__r = 1").drop("__r")
-    return ranked(once).where(F.col("rank") <= k)
 
+def align_task1(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(weakness_id, rank, id, doc, chunk_no, score): the first task's snippets."""
+    return best_of(score_pairs(records, chunks, ["task1"]), "task1").drop("prefix")
 
-def align(records: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Both second-task channels scored, widened, freed of doubles and merged.
 
-    Prepared records and chunks and the scores of each mode are written down, as each is read several times.
-    """
-    records, chunks = cut(records, "records"), cut(chunks, "chunks")
-    channel = lambda mode, take, seeds, width: best_of(cut(score_mode(records, chunks, mode), mode), take, seeds, width).withColumn("id", F.concat_ws(":", "doc", "chunk_no")).select("weakness_id", "rank", "id", "score", "prefix")
-    return merge_ranked(channel("task2_evidence", 4, 12, 3), channel("task2_support", 4, 12, 3), "weakness_id", "id", k=k)
+def status(records: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """records (weakness_id, group, pdf_url): what became of each: no_pdf_url, no_text_extracted, no_snippet_found or ok."""
+    some = chunks.select("group").distinct().withColumn("__text", F.lit(True))
+    hit = found.select("weakness_id").distinct().withColumn("__hit", F.lit(True))
+    rows = records.select("weakness_id", "group", "pdf_url").join(some, "group", "left").join(hit, "weakness_id", "left")
+    name = F.when(F.coalesce(F.col("pdf_url"), F.lit("")) == "", "no_pdf_url").when(F.col("__text").isNull(), "no_text_extracted").when(F.col("__hit").isNull(), "no_snippet_found").otherwise("ok")
+    return rows.select("weakness_id", name.alias("status"))
 
 
 def prompt_block(best: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str, top: int = 3, chars: int = 1200) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import matching, nested, relational, retrieval, rules, sources, threads
+from threadloom.plans import alignment, matching, nested, relational, retrieval, rules, sources, threads
 
-MODULES = [retrieval, threads, relational, rules, sources, matching, nested]
+MODULES = [retrieval, alignment, threads, relational, rules, sources, matching, nested]
 
 
 def queries() -> dict:

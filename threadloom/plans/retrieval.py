@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import lexical as L
-from threadloom.functions import text as X
-from threadloom.operators import chunks as C
 from threadloom.operators import retrieval as R
 from threadloom.plans import sql as S
 from threadloom.runtime import latest, table
@@ -25,7 +23,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three documents of its paper that best cover each claim."""
     q = claims(spark, d).select("weakness_id", "submission_id", L.tokens(F.col("claim")).alias("q_tokens"))
-    c = texts(spark, d).withColumn("t", L.norm(F.col("text"))).select("doc_id", "submission_id", L.tokens(F.col("t")).alias("c_tokens"), L.prefix_key(F.col("t")).alias("prefix"))
+    c = texts(spark, d).withColumn("t", L.norm(F.col("text"))).select("doc_id", "submission_id", L.tokens(F.col("t")).alias("c_tokens"), F.md5(L.prefix_key(F.col("t"))).alias("prefix"))
     return R.lexical_topk(q, c, "submission_id", "weakness_id", "doc_id")
 
 
@@ -58,19 +56,6 @@ def _chunk_type_sql() -> str:
     return f"SELECT doc_id, CASE {whens} ELSE 'generic' END AS kind FROM (SELECT doc_id, {t} AS t FROM documents)"
 
 
-def case_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "classified_weakness_pairs").select("weakness_id", "classified_at", "original_weakness")
-    v = latest(rows, ["weakness_id"], "classified_at", ["weakness_id", "original_weakness"])
-    v = v.withColumn("blob", L.norm(F.col("original_weakness")))
-    return v.select("weakness_id", *[c.alias(n) for n, c in R.case_flags(F.col("blob"), F.col("blob")).items()])
-
-
-def _case_flags_sql() -> str:
-    v = S.latest("classified_weakness_pairs", "weakness_id", "classified_at", {"w": "original_weakness"})
-    cols = ", ".join(f"{S.has_any('b', m)} AS {n}" for n, m in L.CASES.items())
-    return f"SELECT weakness_id, {cols} FROM (SELECT weakness_id, {S.norm('w')} AS b FROM {v})"
-
-
 def phrase_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Points for the phrases of a weakness that documents of its paper repeat."""
     rows = table(spark, d, "classified_weakness_pairs").select("weakness_id", "submission_id", "classified_at", "original_weakness")
@@ -88,59 +73,20 @@ _PHRASE_SQL = f"""
     FROM q JOIN c USING (submission_id) WHERE length(list_filter(p, lambda x: contains(t, x))) > 0"""
 
 
-def snippet_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks around the best three of each claim, within one place in the same document."""
-    q = claims(spark, d).select("weakness_id", "submission_id", L.tokens(F.col("claim")).alias("q_tokens"))
-    c = packed(spark, d)
-    scored = q.join(c.withColumn("c_tokens", L.tokens(F.col("text"))), "submission_id").select("weakness_id", F.col("doc_id").alias("doc"), "chunk_no", F.round(L.overlap(F.col("q_tokens"), F.col("c_tokens")), 6).alias("score"), F.lit(False).alias("anchor_match"))
-    return R.neighbourhood(R.ranked(scored), c.select(F.col("doc_id").alias("doc"), "chunk_no"), "weakness_id", "chunk_no", 3, 1)
-
-
-def packed(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).select("doc_id", "submission_id", F.posexplode(C.pack(F.col("text"))).alias("chunk_no", "text"))
-
-
-def pack_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of at most 1,400 characters of every document."""
-    return packed(spark, d).select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
-
-
 def dedup_prefix350(spark: SparkSession, d: str) -> DataFrame:
     """The first document of each 350-character prefix."""
     keyed = texts(spark, d).select(L.prefix_key(L.norm(F.col("text"))).alias("k"), "doc_id")
     return keyed.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "enhanced_reviews")
-    r, c = F.col("enhanced_review"), F.col("weakness_category")
-    join = lambda a, f=None: F.array_join(F.filter(F.transform(a, lambda x: x[f] if f else x), lambda x: ~X.blank(x)), "\n")
-    s = r["actionable_suggestions"]
-    sections = F.transform(F.filter(F.coalesce(F.col("paper_context.sections_index"), F.array().cast(rows.schema["paper_context"].dataType["sections_index"].dataType)), lambda x: x.isNotNull()), lambda x: F.struct(F.coalesce(x["name"], F.lit("")).alias("name"), x["page"].cast("int").alias("page")))
-    fields = {
-        "claim": r["claim"], "evidence": r["evidence"], "weakness": F.col("original_weakness"), "followups": join(F.col("follow_ups"), "text"), "rebuttals": join(F.col("rebuttals")), "meta": F.concat_ws(" ", c["l1_name"], c["l2_name"]),
-        "what": join(s, "what"), "where": join(s, "where"), "how": join(s, "how"), "outcome": join(s, "expected_outcome"),
-    }
-    flat = rows.select("weakness_id", "enhanced_at", F.col("submission_id").alias("group"), *[F.coalesce(v, F.lit("")).alias(k) for k, v in fields.items()], sections.alias("sections"))
-    return latest(flat, ["weakness_id"], "enhanced_at", ["weakness_id", "group", *fields, "sections"])
-
-
-def align_snippets(spark: SparkSession, d: str) -> DataFrame:
-    """The full second-task retrieval: evidence and support channels over the chunks of each record's paper, merged."""
-    chunks = R.prepare_chunks(packed(spark, d).select(F.col("submission_id").alias("group"), F.col("doc_id").alias("doc"), "chunk_no", (F.col("chunk_no") + 1).alias("page"), "text"))
-    return R.align(R.prepare_records(records(spark, d)), chunks)
-
-
 QUERIES = {
-    "lexical_topk": lexical_topk, "tokens_distinct": tokens_distinct, "norm_text": norm_text, "chunk_type": chunk_type, "case_flags": case_flags, "phrase_overlap": phrase_overlap,
-    "snippet_neighbourhood": snippet_neighbourhood, "pack_chunks": pack_chunks, "dedup_prefix350": dedup_prefix350, "align_snippets": align_snippets,
+    "lexical_topk": lexical_topk, "tokens_distinct": tokens_distinct, "norm_text": norm_text, "chunk_type": chunk_type, "phrase_overlap": phrase_overlap, "dedup_prefix350": dedup_prefix350,
 }
 SQL = {
     "lexical_topk": _TOPK,
     "tokens_distinct": f"SELECT doc_id, CAST(length(t) AS INTEGER) AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)",
     "norm_text": f"SELECT doc_id, md5({S.norm('text')}) AS digest FROM documents",
     "chunk_type": _chunk_type_sql(),
-    "case_flags": _case_flags_sql(),
     "phrase_overlap": _PHRASE_SQL,
     "dedup_prefix350": f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY substring({S.norm('text')}, 1, 350)",
 }

@@ -9,7 +9,8 @@ from threadloom.functions import rules as U
 from threadloom.functions import scoring as C
 from threadloom.functions import text as X
 from threadloom.functions import validate as V
-from threadloom.operators import folds, provider
+from threadloom.functions import claims as K
+from threadloom.operators import answers as A
 from threadloom.plans import sql as S
 from threadloom.runtime import latest, table
 
@@ -160,16 +161,27 @@ def claim_answers(spark: SparkSession, d: str) -> DataFrame:
     return all_.select("submission_id", "claims", F.array_join(lines, "\n").alias("answer"))
 
 
+#: Requirements of a rubric, by weight; the replayed judge gives each a score from the hash of id and requirement, or none.
+WEIGHTS = [30, 25, 20, 15, 10]
+
+
+def replayed(ids: DataFrame, kind: str, numbers: F.Column) -> DataFrame:
+    """(id, no, score) of a judge whose answers lie in a table: 1 to 5, null where it failed."""
+    each = ids.select("id", F.explode(numbers).alias("no"))
+    digit = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(kind), "id", F.col("no").cast("string"))), 1, 4), 16, 10).cast("int"), F.lit(16))
+    return each.select("id", "no", F.when(digit > 0, F.pmod(digit, F.lit(5)) + 1).alias("score"))
+
+
+def _soft(ids: DataFrame) -> DataFrame:
+    weight = F.element_at(F.lit(WEIGHTS), F.col("no"))
+    return replayed(ids, "soft", F.sequence(F.lit(1), F.lit(len(WEIGHTS)))).select("id", weight.alias("weight"), "score")
+
+
 def reward_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Gate, prior, penalties and combined score of each paper's answer of claims; soft scores come from a stub judge."""
-    a = claim_answers(spark, d)
-    t = F.col("answer")
-    soft, _ = provider.complete(a.select(F.col("submission_id").alias("id"), F.lit("claims").alias("kind"), t.alias("prompt")), None, "stub", provider.stub)
-    scored = a.join(soft.select(F.col("id").alias("submission_id"), C.unit(C.parsed_score(F.col("text"))).alias("soft")), "submission_id")
-    n = C.claim_count(t)
-    parts = scored.select("submission_id", n.alias("n"), "soft", C.hard_gate_claims(t).alias("gate"), C.count_prior(n).alias("prior"), C.repetition_penalty(t, 2).alias("p"), C.format_claims(t).alias("f"))
-    total = F.when(F.col("gate"), C.combine_claims(F.col("soft"), F.lit(None).cast("double"), F.col("prior"), F.col("p"), F.col("f"))).otherwise(0.0)
-    return parts.select("submission_id", "n", "gate", F.round("prior", 6).alias("prior"), F.round("p", 6).alias("p"), F.round("f", 6).alias("f"), F.round(total, 6).alias("reward"))
+    """Each paper's answer of claims, with thinking before it, rewarded from replayed scores of a rubric and of the coverage of its first three weaknesses."""
+    a = claim_answers(spark, d).select(F.col("submission_id").alias("id"), F.concat(F.lit("<think>Claim 1: not this\n</think>\n"), "answer").alias("solution"), F.col("answer").alias("truth"), F.least(F.size("claims"), F.lit(3)).alias("n_truth"))
+    got = A.reward_claims(a, _soft(a), replayed(a, "cover", F.sequence(F.lit(1), F.col("n_truth"))).select("id", "score"))
+    return got.select(F.col("id").alias("submission_id"), "gate", "n", "alpha", *[F.round(c, 6).alias(c) for c in ("soft", "cover", "prior", "penalty", "form", "reward")])
 
 
 def claim_prior(spark: SparkSession, d: str) -> DataFrame:
@@ -188,26 +200,59 @@ def analysis_text(review: str = "enhanced_review") -> F.Column:
 
 
 def reward_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Gate, penalties and combined score of each review as an analysis."""
-    t = F.col("t")
-    a = _reviews(spark, d).where("enhanced_review is not null").select("weakness_id", analysis_text().alias("t"))
-    cut = C.cut_analysis(t)
-    form = C.format_analysis(cut)
-    score = F.when(C.hard_gate_analysis(t), C.combine_analysis(F.lit(0.75), C.repetition_penalty(cut, 1), form)).otherwise(0.0)
-    return a.select("weakness_id", F.length(cut).alias("n_chars"), F.round(form, 6).alias("f"), F.round(score, 6).alias("reward"))
+    """Each review as an analysis, with thinking before it, rewarded from replayed scores of a rubric."""
+    a = _reviews(spark, d).where("enhanced_review is not null").select(F.col("weakness_id").alias("id"), F.concat(F.lit("<think>...</think>"), analysis_text()).alias("solution"))
+    got = A.reward_analyses(a, _soft(a))
+    return got.select(F.col("id").alias("weakness_id"), "gate", *[F.round(c, 6).alias(c) for c in ("soft", "form", "reward")])
 
 
 def refined_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Each paper's claims cut to sentences, grouped, merged and numbered, with the state of the whole answer."""
-    a = claim_answers(spark, d).withColumn("refined", folds.refine_claims("claims"))
-    return a.select("submission_id", F.array_join("refined", "\n").alias("answer"), folds.claims_complete("answer").alias("state"))
+    """Each paper's claims cut to sentences, alike ones represented by one, merged and numbered."""
+    a = A.with_refined(claim_answers(spark, d), F.col("claims"), "refined")
+    return a.select("submission_id", F.array_join("refined", "\n").alias("answer"))
+
+
+def claims_state(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each paper's whole answer of claims is complete, or what is wrong with it first."""
+    return A.with_claims_state(claim_answers(spark, d), F.col("answer"), "state").select("submission_id", "state")
+
+
+def claims_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The claims cut out of each paper's answer with talk around it."""
+    a = claim_answers(spark, d).select("submission_id", F.concat(F.lit("Here they are:\n"), "answer", F.lit("\nThat is all.\nuser\nmore")).alias("text"))
+    return A.with_claims_answer(a, F.col("text"), "answer").select("submission_id", "answer")
+
+
+def analysis_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Each review cut out of an answer that goes on after it."""
+    a = _reviews(spark, d).where("enhanced_review is not null").select("weakness_id", F.concat(analysis_text(), F.lit("\n[TASK 2] and so on")).alias("t"))
+    return a.select("weakness_id", F.md5(K.analysis_answer(F.col("t"))).alias("digest"))
 
 
 def sanitize_refs(spark: SparkSession, d: str) -> DataFrame:
     """Evidence with places that can't be trusted in general words."""
     r = _reviews(spark, d).where("enhanced_review.evidence is not null")
     has = F.coalesce(F.size("sections") > 0, F.lit(False))
-    return r.select("weakness_id", folds.general_places(F.col("enhanced_review.evidence"), has).alias("evidence"))
+    return r.select("weakness_id", K.general_places(F.col("enhanced_review.evidence"), has).alias("evidence"))
+
+
+def mapped_rebuttals(spark: SparkSession, d: str) -> DataFrame:
+    """Each weakness with its rebuttals as the text of a mapping, where the second rebuttal points to the first, cleaned in order."""
+    p = _pairs(spark, d).where("size(rebuttals) > 0 and original_weakness is not null")
+    said = F.filter("rebuttals", lambda x: x.isNotNull())
+    lines = F.transform(said, lambda x, i: F.concat(F.lit("W"), (i + 1).cast("string"), F.lit(" -> "), F.regexp_replace(x, r"\s+", " "), F.lit(" (Confidence: 0.9)")))
+    text = F.concat(F.array_join(lines, "\n"), F.lit("\nW"), (F.size(said) + 1).cast("string"), F.lit(" -> Same segment as W1 (Confidence: 0.5)"))
+    points = F.array_join(F.transform(F.sequence(F.lit(1), F.size(said) + 1), lambda i: F.concat(F.lit("Point "), i.cast("string"), F.lit(": "), F.when(i == 1, F.regexp_replace("original_weakness", r"\s+", " ")).otherwise("another point"))), "\n")
+    m = p.select("weakness_id", text.alias("text"), K.points(points).alias("w")).select("weakness_id", F.explode(K.mapped(F.col("text"), F.col("w"))).alias("m"))
+    return m.select("weakness_id", "m.key", F.md5("m.rebuttal").alias("digest"), "m.confidence")
+
+
+def routed_followups(spark: SparkSession, d: str) -> DataFrame:
+    """Follow-ups of each weakness routed by a text that knows two weaknesses, one that doesn't exist, or none."""
+    p = _pairs(spark, d).select("weakness_id", F.greatest(F.size("follow_ups"), F.lit(0)).alias("n"))
+    text = F.when(F.col("n") % 3 == 0, F.lit("no routes")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.concat(F.lit("F"), i.cast("string"), F.lit(" -> "), F.when(i % 2 == 1, "W1, w2").otherwise("W9"), F.lit(" (Confidence: 0.8)"))), "\n"))
+    r = p.select("weakness_id", F.explode(K.routed(text, F.col("n"), F.lit(["W1", "W2"]))).alias("r"))
+    return r.select("weakness_id", "r.follow_up", "r.weakness")
 
 
 def analysis_states(spark: SparkSession, d: str) -> DataFrame:
@@ -217,9 +262,50 @@ def analysis_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [
-    classify_followup, quote_only, reply_type, l13_tiebreak, noisy_title, leak_flags, specificity, review_validation, record_validation, repetition_penalty, claim_prior, reward_claims, reward_analysis, analysis_states, refined_claims, sanitize_refs,
+    classify_followup, quote_only, reply_type, l13_tiebreak, noisy_title, leak_flags, specificity, review_validation, record_validation, repetition_penalty, claim_prior, reward_claims, reward_analysis, analysis_states,
+    refined_claims, claims_state, claims_answer, analysis_answer, sanitize_refs, mapped_rebuttals, routed_followups,
 ]}
+_CLAIMS = f"""
+    c AS (SELECT submission_id, weakness_id, regexp_replace({S.strip('claim')}, '\\s*\\n\\s*', ' ', 'g') AS claim FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"submission_id": "submission_id", "claim": "enhanced_review.claim"})} WHERE NOT {S.blank('claim')}),
+    b AS (SELECT submission_id, claim, row_number() OVER (PARTITION BY submission_id ORDER BY weakness_id) AS i FROM c),
+    a AS (SELECT submission_id, count(*) AS n, string_agg('Claim ' || i || ': ' || claim, chr(10) ORDER BY i) AS answer FROM b GROUP BY 1)"""
+_SCORE = lambda kind: f"CAST('0x' || substring(md5('{kind}:' || submission_id || ':' || no), 1, 4) AS INTEGER) % 16"
+_MEAN = "least(1.0, greatest(0.0, (sum(s * w) / sum(w) FILTER (s IS NOT NULL) - 1) / 4))"
+_AZ = "list_distinct(regexp_extract_all(lower({0}), '[a-z]+'))"
+_REWARD_CLAIMS = f"""
+    WITH {_CLAIMS},
+    w AS (SELECT submission_id, i, {_AZ.format("claim")} AS w, length(regexp_extract_all(claim || ' ', '[.!?]\\s')) > 1 AS long FROM b),
+    p AS (SELECT x.submission_id, length(list_intersect(x.w, y.w)) / (length(x.w) + length(y.w) - length(list_intersect(x.w, y.w))) AS j FROM w x JOIN w y ON x.submission_id = y.submission_id AND x.i < y.i WHERE length(x.w) > 0 AND length(y.w) > 0),
+    q AS (SELECT submission_id, count(*) FILTER (j >= 0.7) AS p7, count(*) FILTER (j >= 0.65) AS p65 FROM p GROUP BY 1),
+    m AS (SELECT submission_id, count(*) FILTER (long) AS many FROM w GROUP BY 1),
+    s AS (SELECT submission_id, {_MEAN} AS soft, count(s) > 0 AS some, count(s) = 5 AS ok FROM (SELECT submission_id, no, w, CASE WHEN {_SCORE('soft')} > 0 THEN {_SCORE('soft')} % 5 + 1 END AS s FROM a, (SELECT unnest([1, 2, 3, 4, 5]) AS no, unnest({WEIGHTS}) AS w)) GROUP BY 1),
+    g AS (SELECT submission_id, {_MEAN} AS cover, count(s) > 0 AS some, count(s) = count(*) AS ok FROM (SELECT submission_id, no, 1 AS w, CASE WHEN {_SCORE('cover')} > 0 THEN {_SCORE('cover')} % 5 + 1 END AS s FROM a, (SELECT unnest([1, 2, 3]) AS no) WHERE no <= n) GROUP BY 1),
+    f AS (SELECT submission_id, n, NOT {U.sql(("any", *U.LEAKS["reward"]), "answer")} AND NOT (n >= 3 AND coalesce(p7, 0) / (n * (n - 1) / 2) > 0.5) AS gate, CASE WHEN s.some THEN soft ELSE 0 END AS soft, CASE WHEN g.some THEN cover ELSE 0 END AS cover,
+        CASE WHEN NOT s.ok AND NOT g.ok THEN NULL WHEN NOT s.ok THEN 0.0 WHEN NOT g.ok THEN 1.0 ELSE 0.8 END AS alpha, CASE WHEN n <= 1 THEN 1.0 WHEN n = 2 THEN 0.9 ELSE greatest(0.6, 0.9 - 0.15 * (n - 2)) END AS prior,
+        CASE WHEN many > 0 THEN greatest(0.75, 1 - 0.12 * many) ELSE 1.0 END * CASE WHEN coalesce(p65, 0) > 0 THEN greatest(0.70, 1 - 0.15 * p65) ELSE 1.0 END AS form
+        FROM a LEFT JOIN q USING (submission_id) JOIN m USING (submission_id) JOIN s USING (submission_id) JOIN g USING (submission_id))
+    SELECT submission_id, gate, CAST(n AS INTEGER) AS n, CAST(alpha AS DOUBLE) AS alpha, round(CAST(soft AS DOUBLE), 6) AS soft, round(CAST(cover AS DOUBLE), 6) AS cover, round(CAST(prior AS DOUBLE), 6) AS prior, 1.0::DOUBLE AS penalty, round(CAST(form AS DOUBLE), 6) AS form,
+        round(CAST(CASE WHEN NOT gate OR alpha IS NULL THEN 0 ELSE (alpha * soft + (1 - alpha) * cover) * prior * form END AS DOUBLE), 6) AS reward FROM f"""
+_CONCEPTS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+'), lambda x: length(x) >= 4 AND NOT list_contains([" + ", ".join(map(S.quote, K.CLAIM_STOPWORDS)) + "], x)))"
+_STATE = f"""
+    WITH {_CLAIMS},
+    w AS (SELECT submission_id, i, {S.norm("claim")} AS t, {_CONCEPTS.format("claim")} AS w FROM b),
+    p AS (SELECT y.submission_id, y.i, min(CASE WHEN x.t = y.t THEN 0 WHEN length(x.w) > 0 AND length(y.w) > 0 AND length(list_intersect(x.w, y.w)) / least(length(x.w), length(y.w)) >= 0.60 THEN 1 END) AS k FROM w x JOIN w y ON x.submission_id = y.submission_id AND x.i < y.i GROUP BY 1, 2),
+    f AS (SELECT submission_id, arg_min(CASE WHEN k = 0 THEN 'Duplicate' ELSE 'Near-duplicate' END || ' claim detected at Claim ' || i, i) AS state FROM p WHERE k IS NOT NULL GROUP BY 1)
+    SELECT submission_id, coalesce(state, 'Complete') AS state FROM a LEFT JOIN f USING (submission_id)"""
+_ROUTED = f"""
+    WITH p AS (SELECT weakness_id, coalesce(length(follow_ups), 0) AS n FROM {_P}), f AS (SELECT weakness_id, n, unnest(range(0, n)) AS follow_up FROM p)
+    SELECT weakness_id, CAST(follow_up AS INTEGER) AS follow_up, unnest(CASE WHEN n % 3 = 0 OR follow_up % 2 = 0 THEN ['W1', 'W2'] ELSE ['UNRELATED'] END) AS weakness FROM f"""
+_MAPPED = f"""
+    WITH p AS (SELECT weakness_id, original_weakness AS w, list_filter(rebuttals, lambda x: x IS NOT NULL) AS said FROM {_P} WHERE length(rebuttals) > 0 AND original_weakness IS NOT NULL),
+    r AS (SELECT weakness_id, w, i, {S.strip("regexp_replace(t, '\\s+', ' ', 'g')")} AS t FROM (SELECT weakness_id, w, unnest(said) AS t, generate_subscripts(said, 1) AS i FROM p)),
+    k AS (SELECT weakness_id, i, t, CASE WHEN i = 1 THEN {_kw("regexp_replace(w, '\\s+', ' ', 'g')", U.QUOTE_STOPWORDS)} ELSE {_kw("'another point'", U.QUOTE_STOPWORDS)} END AS a, {_kw("t", U.QUOTE_STOPWORDS)} AS b FROM r),
+    q AS (SELECT weakness_id, i, CASE WHEN lower(t) = 'no response' OR (length(a) > 0 AND length(b) > 0 AND length(list_intersect(a, b)) > 0.55 * length(a) AND length(list_intersect(a, b)) > 0.45 * length(b)) THEN 'No Response' ELSE t END AS t FROM k),
+    u AS (SELECT weakness_id, i, CASE WHEN t <> 'No Response' AND row_number() OVER (PARTITION BY weakness_id, t ORDER BY i) > 1 THEN 'No Response' ELSE t END AS t FROM q),
+    z AS (SELECT weakness_id, length(said) + 1 AS i, coalesce((SELECT t FROM u WHERE u.weakness_id = p.weakness_id AND u.i = 1), 'No Response') AS t FROM p)
+    SELECT weakness_id, 'W' || i AS key, md5(t) AS digest, 0.9::DOUBLE AS confidence FROM u UNION ALL SELECT weakness_id, 'W' || i, md5(t), 0.5 FROM z"""
 SQL = {
+    "reward_claims": _REWARD_CLAIMS, "claims_state": _STATE, "routed_followups": _ROUTED, "mapped_rebuttals": _MAPPED,
     "classify_followup": _FOLLOW, "quote_only": _QUOTE, "reply_type": _reply_type_sql(), "l13_tiebreak": _tie_sql(), "noisy_title": _NOISY, "specificity": _SPECIFIC, "repetition_penalty": _REPEAT,
     "leak_flags": "SELECT doc_id, " + ", ".join(f"{U.sql(('any', *p), 'text')} AS {k}" for k, p in U.LEAKS.items()) + " FROM documents WHERE text IS NOT NULL",
     "claim_prior": f"""WITH n AS (SELECT submission_id, count(*) AS n FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"submission_id": "submission_id", "claim": "enhanced_review.claim"})} WHERE NOT {S.blank('claim')} GROUP BY 1)
