@@ -284,6 +284,6 @@ def status(records: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame
 def prompt_block(best: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str, top: int = 3, chars: int = 1200) -> DataFrame:
     """One text per query: its best chunks with page and score."""
     shown = best.where(F.col("rank") <= top).join(chunks, chunk_id)
-    line = F.concat(F.lit("(p."), F.col("page").cast("string"), F.lit(", score="), F.format_string("%.4f", "score"), F.lit(") "), F.substring("text", 1, chars))
+    line = F.concat(F.lit("(p."), F.col("page").cast("string"), F.lit(", score="), F.format_string("%.4f", F.round("score", 4)), F.lit(") "), F.substring("text", 1, chars))
     lines = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
     return shown.groupBy(query_id).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))

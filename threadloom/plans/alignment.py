@@ -217,12 +217,12 @@ SQL = {
     "snippet_neighbourhood": f"WITH RECURSIVE {_PAIRS}, {_near('task1', 3, 1, 'q')} SELECT weakness_id, doc_id, chunk_no FROM q",
     "align_task1": f"WITH RECURSIVE {_PAIRS}, {_best('task1', 'q')} SELECT weakness_id, CAST(rank AS INTEGER) AS rank, id, score FROM q",
     "align_snippets": f"""WITH RECURSIVE {_PAIRS}, {_best('task2_evidence', 'q')}, {_best('task2_support', 'u')},
-        a AS (SELECT *, 'evidence' AS channel, CASE WHEN rank <= 3 THEN 0 ELSE 2 END AS tier FROM q UNION ALL SELECT *, 'support', CASE WHEN rank <= 2 THEN 1 ELSE 2 END FROM u),
-        o AS (SELECT *, CASE WHEN tier < 2 THEN rank ELSE 0 END AS k, row_number() OVER (PARTITION BY weakness_id, prefix ORDER BY tier, CASE WHEN tier < 2 THEN rank ELSE 0 END, score DESC, channel, id) AS d FROM a),
-        m AS (SELECT *, row_number() OVER (PARTITION BY weakness_id ORDER BY tier, k, score DESC, channel, id) AS place FROM o WHERE d = 1)
-        SELECT weakness_id, CAST(place AS INTEGER) AS place, id, channel, score FROM m WHERE place <= 5""",
+        am AS (SELECT *, 'evidence' AS channel, CASE WHEN rank <= 3 THEN 0 ELSE 2 END AS tier FROM q UNION ALL SELECT *, 'support', CASE WHEN rank <= 2 THEN 1 ELSE 2 END FROM u),
+        ao AS (SELECT *, CASE WHEN tier < 2 THEN rank ELSE 0 END AS k, row_number() OVER (PARTITION BY weakness_id, prefix ORDER BY tier, CASE WHEN tier < 2 THEN rank ELSE 0 END, score DESC, channel, id) AS d FROM am),
+        ap AS (SELECT *, row_number() OVER (PARTITION BY weakness_id ORDER BY tier, k, score DESC, channel, id) AS place FROM ao WHERE d = 1)
+        SELECT weakness_id, CAST(place AS INTEGER) AS place, id, channel, score FROM ap WHERE place <= 5""",
     "alignment_status": f"""WITH RECURSIVE {_PACKED}, {_RECORDS}, g AS (SELECT DISTINCT submission_id AS grp FROM ch JOIN documents USING (doc_id))
         SELECT weakness_id, CASE WHEN coalesce(pdf_url, '') = '' THEN 'no_pdf_url' WHEN grp IS NULL OR grp NOT IN (SELECT grp FROM g WHERE grp IS NOT NULL) THEN 'no_text_extracted' ELSE 'ok' END AS status FROM r0""",
     "snippet_block": f"""WITH RECURSIVE {_PAIRS}, {_best('task1', 'q')}, x AS (SELECT doc_id || ':' || chunk_no AS id, text FROM ch)
-        SELECT weakness_id, md5(string_agg('(p.' || page || ', score=' || printf('%.4f', score) || ') ' || substring(x.text, 1, 1200), chr(10) ORDER BY rank)) AS digest FROM q JOIN x USING (id) GROUP BY 1""",
+        SELECT weakness_id, md5(string_agg('(p.' || page || ', score=' || printf('%.4f', round(score, 4)) || ') ' || substring(x.text, 1, 1200), chr(10) ORDER BY rank)) AS digest FROM q JOIN x USING (id) GROUP BY 1""",
 }

@@ -155,7 +155,7 @@ _REPEAT = f"""
 
 def claim_answers(spark: SparkSession, d: str) -> DataFrame:
     """The claims of each paper as one numbered answer."""
-    c = _reviews(spark, d).where(~X.blank(F.col("enhanced_review.claim"))).select("submission_id", "weakness_id", F.regexp_replace(X.strip(F.col("enhanced_review.claim")), r"\s*\n\s*", " ").alias("claim"))
+    c = _reviews(spark, d).where(~X.blank(F.col("enhanced_review.claim")) & F.col("submission_id").isNotNull()).select("submission_id", "weakness_id", F.regexp_replace(X.strip(F.col("enhanced_review.claim")), r"\s*\n\s*", " ").alias("claim"))
     all_ = c.groupBy("submission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("weakness_id", "claim"))), lambda x: x["claim"]).alias("claims"))
     lines = F.transform("claims", lambda x, i: F.concat(F.lit("Claim "), (i + 1).cast("string"), F.lit(": "), x))
     return all_.select("submission_id", "claims", F.array_join(lines, "\n").alias("answer"))
@@ -266,7 +266,7 @@ QUERIES = {f.__name__: f for f in [
     refined_claims, claims_state, claims_answer, analysis_answer, sanitize_refs, mapped_rebuttals, routed_followups,
 ]}
 _CLAIMS = f"""
-    c AS (SELECT submission_id, weakness_id, regexp_replace({S.strip('claim')}, '\\s*\\n\\s*', ' ', 'g') AS claim FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"submission_id": "submission_id", "claim": "enhanced_review.claim"})} WHERE NOT {S.blank('claim')}),
+    c AS (SELECT submission_id, weakness_id, regexp_replace({S.strip('claim')}, '\\s*\\n\\s*', ' ', 'g') AS claim FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"submission_id": "submission_id", "claim": "enhanced_review.claim"})} WHERE NOT {S.blank('claim')} AND submission_id IS NOT NULL),
     b AS (SELECT submission_id, claim, row_number() OVER (PARTITION BY submission_id ORDER BY weakness_id) AS i FROM c),
     a AS (SELECT submission_id, count(*) AS n, string_agg('Claim ' || i || ': ' || claim, chr(10) ORDER BY i) AS answer FROM b GROUP BY 1)"""
 _SCORE = lambda kind: f"CAST('0x' || substring(md5('{kind}:' || submission_id || ':' || no), 1, 4) AS INTEGER) % 16"
@@ -308,6 +308,6 @@ SQL = {
     "reward_claims": _REWARD_CLAIMS, "claims_state": _STATE, "routed_followups": _ROUTED, "mapped_rebuttals": _MAPPED,
     "classify_followup": _FOLLOW, "quote_only": _QUOTE, "reply_type": _reply_type_sql(), "l13_tiebreak": _tie_sql(), "noisy_title": _NOISY, "specificity": _SPECIFIC, "repetition_penalty": _REPEAT,
     "leak_flags": "SELECT doc_id, " + ", ".join(f"{U.sql(('any', *p), 'text')} AS {k}" for k, p in U.LEAKS.items()) + " FROM documents WHERE text IS NOT NULL",
-    "claim_prior": f"""WITH n AS (SELECT submission_id, count(*) AS n FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"submission_id": "submission_id", "claim": "enhanced_review.claim"})} WHERE NOT {S.blank('claim')} GROUP BY 1)
+    "claim_prior": f"""WITH n AS (SELECT submission_id, count(*) AS n FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"submission_id": "submission_id", "claim": "enhanced_review.claim"})} WHERE NOT {S.blank('claim')} AND submission_id IS NOT NULL GROUP BY 1)
         SELECT submission_id, CAST(n AS INTEGER) AS n, round(CASE WHEN n <= 1 THEN 1.0 WHEN n = 2 THEN 0.9 ELSE greatest(0.6, 0.9 - 0.15 * (n - 2)) END, 6)::DOUBLE AS prior FROM n""",
 }
