@@ -35,12 +35,13 @@ def test_latest_takes_the_newest_row_and_no_null_key(spark):
     assert latest(spark.createDataFrame([], "k string, ts int, v string"), ["k"], "ts", ["k", "v"]).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 100, 0])
 @pytest.mark.parametrize("groups", [[("hot", 900), ("b", 3), (None, 5)], [], [("a", 1)]])
-def test_numbers_run_through_groups_that_span_partitions(spark, groups):
+def test_numbers_run_through_groups_that_span_partitions(spark, groups, most):
     rng = random.Random(1)
     rows = [(k, rng.randrange(300), i) for k, n in groups for i in range(n)]
     df = spark.createDataFrame(rows, "k string, o int, id int").repartition(7)
-    got = {r["id"] if r["k"] == "hot" else (r["k"], r["id"]): r["no"] for r in number_in_order(df, ["k"], ["o", "id"], "no").collect()}
+    got = {r["id"] if r["k"] == "hot" else (r["k"], r["id"]): r["no"] for r in number_in_order(df, ["k"], ["o", "id"], "no", most).collect()}
     want = {}
     for k, _ in groups:
         for i, (_, id_) in enumerate(sorted((o, id_) for kk, o, id_ in rows if kk == k), 1):
@@ -142,7 +143,8 @@ def test_neighbourhood_and_merge(spark):
     assert merged == ["a0", "a1", "a2", "b1", "b2"]
 
 
-def test_turns_and_phases_follow_the_rule(spark):
+@pytest.mark.parametrize("most", [None, 6, 0])
+def test_turns_and_phases_follow_the_rule(spark, most):
     rng = random.Random(9)
     rows = []
     for s in range(12):
@@ -150,7 +152,7 @@ def test_turns_and_phases_follow_the_rule(spark):
             kind = rng.choice(["review", "rebuttal", "comment", "meta_review", "decision", "rating_update", "rating_update"])
             rows.append((f"s{s}", f"e{s}-{i:02d}", None if i == 0 else f"2024-01-01T00:{i:02d}:00Z", rng.choice(["reviewer", "author", "area_chair"]), "x", kind, None, None, 1))
     df = spark.createDataFrame(rows, "submission_id string, event_id string, timestamp string, role string, actor_id string, event_type string, rating double, confidence double, fetched_at int")
-    got = {r["event_id"]: (r["turn"], r["phase"]) for r in turns(df).collect()}
+    got = {r["event_id"]: (r["turn"], r["phase"]) for r in turns(df, most).collect()}
     phases = {"review": "initial_review", "rebuttal": "rebuttal", "comment": "discussion", "meta_review": "meta_review", "decision": "decision", "rating_update": "post_rebuttal"}
     for s in {r[0] for r in rows}:
         turn, before, rebutted = 0, None, False

@@ -3,26 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.runtime import cut
 
 
-def number_in_order(df: DataFrame, keys: list[str], order: list[str], name: str = "row_no") -> DataFrame:
+#: Rows of one group that one task may sort.
+GROUP = 200_000
+
+
+def by_size(df: DataFrame, keys: list[str], most: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of groups of at most so many rows, and those of larger groups; None where there are none. df is read several times."""
+    if df.count() <= most:
+        return df, None
+    large = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]), "large")
+    if large.isEmpty():
+        return df, None
+    return df.join(large, _same(keys), "left_anti"), df.join(large, _same(keys), "left_semi")
+
+
+def number_in_order(df: DataFrame, keys: list[str], order: list[str], name: str = "row_no", most: int | None = None) -> DataFrame:
     """Adds `name`: 1, 2, ... within each group of equal keys, by rising `order` (nulls first).
 
+    Groups of up to `most` rows are numbered by a window; only larger ones are spread over tasks (see number_large). Rows
+    equal in keys and order get numbers in no defined order.
+    """
+    df = cut(df.drop(name), "to-number")
+    small, large = by_size(df, keys, GROUP if most is None else most)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    parts = [small.withColumn(name, place)] if small is not None else []
+    if large is not None:
+        parts.append(number_large(large, keys, order, name))
+    return reduce(DataFrame.union, parts)
+
+
+def number_large(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """The same for groups of any size, without bringing one into one task.
+
     Rows are range-partitioned and sorted by keys and order, so a large group lies in several neighbouring partitions.
     Each task counts within its partition; the driver learns two keys and a count per partition and works out by how
-    much the first group of each partition is shifted. Rows equal in keys and order get numbers in no defined order.
+    much the first group of each partition is shifted.
     """
     spark = df.sparkSession
-    df = cut(df.drop(name, "__pid", "__no", "__p", "__shift"), "to-number")
+    df = df.drop("__pid", "__no", "__p", "__shift")
     by = [*keys, *order]
     parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__pid", F.spark_partition_id())
     schema = T.StructType([*parts.schema.fields, T.StructField("__no", T.LongType())])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.functions import times
-from threadloom.operators.numbering import number_in_order
+from threadloom.operators.numbering import GROUP, by_size, number_in_order, number_large
 from threadloom.operators.running import previous, running_sum
 from threadloom.runtime import cut, latest
 
@@ -27,25 +29,45 @@ def indexed(events: DataFrame) -> DataFrame:
     return numbered.withColumn("event_index", F.col("event_index") - 1)
 
 
-def turns(events: DataFrame) -> DataFrame:
+def _bump(kind: Column, role: Column, before: Column) -> Column:
+    """Whether an event begins a turn by itself."""
+    other = lambda who: ~before.eqNullSafe(who)
+    bump = ((kind == "review") & other(F.lit("reviewer"))) | ((kind == "rebuttal") & other(F.lit("author"))) | ((kind == "comment") & other(role)) | kind.isin("meta_review", "decision")
+    return F.coalesce(bump, F.lit(False)).cast("int")
+
+
+def turns(events: DataFrame, most: int | None = None) -> DataFrame:
     """Indexed events with turn and phase.
 
     A turn begins with a review not after a reviewer, a rebuttal not after an author, a comment of another role than before,
     with every meta review and decision, and with the first event that is no rating update. A reviewer's comment after a
-    rebuttal is post_rebuttal.
+    rebuttal is post_rebuttal. Threads of up to `most` events go through windows in one shuffle, larger ones through blocks.
     """
-    at = previous(cut(indexed(events), "indexed"), "submission_id", "event_index", {"before": "role"})
-    kind, role, before = F.col("event_type"), F.col("role"), F.col("before")
-    other = lambda who: ~before.eqNullSafe(who)
-    bump = ((kind == "review") & other(F.lit("reviewer"))) | ((kind == "rebuttal") & other(F.lit("author"))) | ((kind == "comment") & other(role)) | kind.isin("meta_review", "decision")
-    plain = (~kind.eqNullSafe("rating_update")).cast("int")
-    sums = running_sum(at, "submission_id", "event_index", {"bumps": F.coalesce(bump, F.lit(False)).cast("int"), "plain": plain, "rebuttals": (kind == "rebuttal").cast("int"), "first_bump": F.lit(0)})
-    # the first plain event counts as a bump whether it is one or not
-    first = sums.where("plain = 1 and event_type != 'rating_update'").select("submission_id", F.col("event_index").alias("first_index"), F.col("bumps").alias("bumps_there"))
-    sums = sums.join(first, "submission_id", "left")
+    valid = cut(valid_events(events).where("submission_id is not null"), "valid")
+    kind, role = F.col("event_type"), F.col("role")
+    small, large = by_size(valid, ["submission_id"], GROUP if most is None else most)
+    columns = ["submission_id", "event_id", "event_index", "event_type", "role", "actor_id", "bumps", "first_index", "bumps_there", "rebuttals"]
+    parts = []
+    if small is not None:
+        thread = Window.partitionBy("submission_id")
+        order = thread.orderBy("t", "event_id")
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        at = small.withColumns({"event_index": F.row_number().over(order).cast("long") - 1, "bump": _bump(kind, role, F.lag("role").over(order))})
+        plain = kind != "rating_update"
+        at = at.withColumns({"bumps": F.sum("bump").over(so_far), "rebuttals": F.sum((kind == "rebuttal").cast("int")).over(so_far)})
+        first = F.min(F.when(plain, F.struct("event_index", "bumps"))).over(thread)
+        parts.append(at.withColumn("first", first).withColumns({"first_index": F.col("first.event_index"), "bumps_there": F.col("first.bumps")}).select(*columns))
+    if large is not None:
+        numbered = number_large(large, ["submission_id"], ["t", "event_id"], "event_index").withColumn("event_index", F.col("event_index") - 1)
+        at = previous(cut(numbered, "indexed"), "submission_id", "event_index", {"before": "role"})
+        sums = running_sum(at, "submission_id", "event_index", {"bumps": _bump(kind, role, F.col("before")), "rebuttals": F.coalesce(kind == "rebuttal", F.lit(False)).cast("int")})
+        first = sums.where("event_type != 'rating_update'").groupBy("submission_id").agg(F.min(F.struct("event_index", "bumps")).alias("first"))
+        parts.append(sums.join(first, "submission_id", "left").withColumns({"first_index": F.col("first.event_index"), "bumps_there": F.col("first.bumps")}).select(*columns))
+    sums = reduce(DataFrame.union, parts)
+    # the first plain event counts as a bump whether it is one or not; if it is none, none came before it
     extra = F.when((F.col("event_index") >= F.col("first_index")) & (F.col("bumps_there") == 0), 1).otherwise(0)
     phase = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in PHASES.items() for x in p]), kind), F.lit("discussion"))
-    after = (kind == "comment") & (role == "reviewer") & (F.col("rebuttals") > 0)
+    after = (kind == "comment") & (role == "reviewer") & (F.coalesce("rebuttals", F.lit(0)) > 0)
     return sums.select("submission_id", "event_id", "event_index", "event_type", "role", "actor_id", (F.col("bumps") + extra).alias("turn"), F.when(after, "post_rebuttal").otherwise(phase).alias("phase"))
 
 
