@@ -1,8 +1,8 @@
 """Problem 5: oversized texts cut at natural boundaries by one regex with bounded quantifiers.
 
 Beside the text stands a row of marks, one for each character: at the last character of a run of white space the kind of
-boundary it is, whatever the run's length (blank line, line end, end of a sentence, of a clause, mere space), likewise at
-a full stop that needs no space behind it, and x elsewhere. The alternatives of the pattern run over the marks in the
+boundary it is, whatever the run's length (blank line, line end, end of a sentence, of a clause, mere space), likewise in
+place of a full stop that needs no space behind it, and x elsewhere. The alternatives of the pattern run over the marks in the
 order of boundary strength: the rest of the text if it fits, then for each kind as much as fits up to one, and at last any
 character. Each consumes up to the limit less the overlap, the strong ones at least a part of it, so that pieces don't get
 tiny. The consumed parts' lengths summed up are the offsets in the text, and each piece but the first looks back by the
@@ -20,35 +20,31 @@ from pyspark.sql import functions as F
 
 #: Characters of white space, as a regex class body.
 SPACE = r"\s\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Boundaries by falling strength: mark, and the least share of the room a piece that ends there must use.
-BOUNDARIES = [("P", 2), ("L", 2), ("S", 4), ("C", 4), ("W", 8)]
-#: What the run before a space ends with at the end of a sentence, and of a clause.
-SENTENCE, CLAUSE = r"[.!?][\"')\]]*$", r"[;,:]$"
+#: Boundaries by falling strength (blank line, line, sentence, clause, space): mark, and the least share of the room a piece that ends there must use.
+BOUNDARIES = [("\x01", 2), ("\x02", 2), ("\x03", 4), ("\x04", 4), ("\x05", 8)]
 #: A run of more characters than the limit without these has no natural boundary.
 NATURAL = SPACE + ".!?;,。"
 
 
 def marks(text: Column) -> Column:
-    """One mark for each character."""
-
-    def of(run: Column) -> Column:
-        """Of other characters and the white space behind them."""
-        word = F.regexp_extract(run, f"^[^{SPACE}]*", 0)
-        space = F.substring(run, F.length(word) + 1, F.length(run))
-        kind = F.when(space.rlike(r"\n[^\n]*\n"), "P").when(F.contains(space, F.lit("\n")), "L").when(word.rlike(SENTENCE), "S").when(word.rlike(CLAUSE), "C").otherwise("W")
-        own = F.regexp_replace(F.regexp_replace(word, "[^。]", "x"), "。", "S")
-        return F.when(space == "", own).otherwise(F.concat(own, F.repeat(F.lit("x"), F.length(space) - 1), kind))
-
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*|[{SPACE}]+"), F.lit(0)), of), "")
+    """One mark for each character: every step puts the mark of one kind in the place of the last character of a run of white space that has none yet."""
+    w, inner, end = f"[{SPACE}]", f"[{SPACE}&&[^\\n]]*+", f"(?![{SPACE}\\x01-\\x05])"
+    out = F.regexp_replace(text, r"[\x01-\x05]", "x")
+    out = F.regexp_replace(out, f"(?<!{w})(?={inner}\\n{inner}\\n)({w}*){w}{end}", "$1\x01")
+    out = F.regexp_replace(out, f"(?<!{w})(?={inner}\\n)({w}*){w}{end}", "$1\x02")
+    out = F.regexp_replace(F.regexp_replace(out, f"([.!?][\"')\\]]*+{w}*){w}{end}", "$1\x03"), "。", "\x03")
+    out = F.regexp_replace(out, f"([;,:]{w}*){w}{end}", "$1\x04")
+    out = F.regexp_replace(out, f"(?<!{w})({w}*){w}{end}", "$1\x05")
+    return F.regexp_replace(out, r"[^\x01-\x05]", "x")
 
 
 def pattern(room: Column) -> Column:
     """The pattern that consumes pieces of at most `room` marks."""
-    parts = [F.concat(F.lit(r"[A-Zx]{1,"), room.cast("string"), F.lit(r"}\z"))]
+    parts = [F.concat(F.lit(r"[\x01-\x05x]{1,"), room.cast("string"), F.lit(r"}\z"))]
     for mark, share in BOUNDARIES:
         least = F.least(F.greatest(F.floor(room / share), F.lit(1)), room) - 1
-        parts.append(F.concat(F.lit("[A-Zx]{"), least.cast("string"), F.lit(","), (room - 1).cast("string"), F.lit("}" + mark)))
-    parts.append(F.concat(F.lit("[A-Zx]{1,"), room.cast("string"), F.lit("}")))
+        parts.append(F.concat(F.lit("[\x01-\x05x]{"), least.cast("string"), F.lit(","), (room - 1).cast("string"), F.lit("}" + mark)))
+    parts.append(F.concat(F.lit("[\x01-\x05x]{1,"), room.cast("string"), F.lit("}")))
     return F.concat_ws("|", *parts)
 
 
