@@ -48,7 +48,7 @@ def tokens(c: Column) -> Column:
     """Distinct content tokens in order of first use."""
     kept = F.regexp_replace(norm(c), r"[^a-z0-9\s\-.()/%λ]", " ")
     cut = F.transform(F.split(kept, r"\s+"), lambda t: F.btrim(t, F.lit(PUNCTUATION)))
-    return F.array_except(F.filter(cut, lambda t: F.length(t) >= 2), F.lit(STOPWORDS))
+    return F.array_except(F.filter(cut, lambda t: F.length(t) >= 2), listed(STOPWORDS))
 
 
 def overlap(query: Column, chunk: Column) -> Column:
@@ -69,11 +69,13 @@ def phrase_overlap(phrase: Column, chunk: Column) -> Column:
     return F.least(F.lit(0.30), hits * F.lit(0.05))
 
 
+def listed(texts: list[str]) -> Column:
+    """A constant array; one expression however long the list is."""
+    return F.split(F.lit("\x01".join(texts)), "\x01")
+
+
 def has_any(c: Column, markers: list[str]) -> Column:
-    out = F.lit(False)
-    for m in markers:
-        out = out | F.contains(c, F.lit(m))
-    return out
+    return F.exists(listed(markers), lambda m: F.contains(c, m))
 
 
 def chunk_type(t: Column) -> Column:
@@ -86,7 +88,7 @@ def chunk_type(t: Column) -> Column:
 
 def anchors(t: Column) -> Column:
     """Distinct structural anchors of a normalised text, pattern by pattern. Give it a column of its own."""
-    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in ANCHORS])
+    found = F.flatten(F.transform(listed(ANCHORS), lambda p: F.regexp_extract_all(t, p, F.lit(0))))
     return F.array_distinct(F.transform(found, lambda a: X.strip(a)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,9 +152,9 @@ def page_hint(distance: Column) -> Column:
 
 
 def hinted_pages(named_in: Column, blob: Column, sections: Column) -> Column:
-    """Pages named in a text, and those of sections whose name has a content token of the blob; distinct, rising."""
+    """Pages named in a text, and those of named sections that share a content token with the blob; distinct, rising."""
     named = F.transform(F.regexp_extract_all(named_in, F.lit(r"(?i)\bp(?:age)?\.?\s*(\d{1,6})\b"), F.lit(1)), lambda p: p.cast("int"))
-    hit = F.filter(sections, lambda s: s["page"].isNotNull() & (s["page"] != 0) & F.exists(L.tokens(s["name"]), lambda w: F.contains(blob, w)))
+    hit = F.filter(sections, lambda s: s["page"].isNotNull() & (s["page"] != 0) & F.exists(s["words"], lambda w: F.contains(blob, w)))
     return F.array_sort(F.array_union(named, F.transform(hit, lambda s: s["page"])))
 
 
@@ -164,29 +164,36 @@ def page_distance(page: Column, pages: Column) -> Column:
 
 def section_hints(blob: Column) -> Column:
     """The hint words that the blob has as words."""
-    return F.array_compact(F.array(*[F.when(blob.rlike(rf"\b{re.escape(w)}\b"), w) for w in HINT_WORDS]))
+    return F.filter(L.listed(HINT_WORDS), lambda w: F.regexp_like(blob, F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
 
 
 def hint_score(hints: Column, text: Column) -> Column:
     return F.least(F.lit(0.20), F.size(F.filter(hints, lambda h: F.contains(text, h))) * F.lit(0.03))
 
 
-def section_bias(mode: str, case: dict[str, Column], page: Column, sections: Column) -> Column:
-    """Sum over the sections near the chunk's page: preferred names add, discouraged ones take away and win."""
+def named_sections(sections: Column) -> Column:
+    """Sections with their normalised name and its content tokens."""
+    return F.transform(sections, lambda s: F.struct(L.norm(s["name"]).alias("name"), L.tokens(s["name"]).alias("words"), s["page"].alias("page")))
+
+
+def section_leanings(mode: str, case: dict[str, Column], sections: Column) -> Column:
+    """Of each named section with a page whether its name is preferred or discouraged; once per record."""
     if mode == "task2_support":
-        wanted = F.lit(SUPPORT_SECTIONS)
+        wanted = lambda name: L.has_any(name, SUPPORT_SECTIONS)
     else:
-        wanted = F.lit([]).cast("array<string>")
-        for name, names in PREFERRED_SECTIONS.items():
-            wanted = F.array_union(wanted, F.when(case[name], F.lit(names)).otherwise(F.lit([]).cast("array<string>")))
+        wanted = lambda name: reduce(lambda a, b: a | b, [case[c] & L.has_any(name, names) for c, names in PREFERRED_SECTIONS.items()])
+    named = F.filter(sections, lambda s: s["page"].isNotNull() & (s["name"] != ""))
+    return F.transform(named, lambda s: F.struct(s["page"].alias("page"), wanted(s["name"]).alias("good"), L.has_any(s["name"], DISCOURAGED_SECTIONS).alias("bad")))
 
+
+def section_bias(leanings: Column, page: Column) -> Column:
+    """Sum over the sections near the chunk's page: preferred names add, discouraged ones take away and win."""
     def points(s: Column) -> Column:
-        name, apart = L.norm(s["name"]), F.abs(page - s["page"])
-        good = F.when(F.exists(wanted, lambda p: F.contains(name, p)), F.when(apart == 0, 0.18).when(apart == 1, 0.10).otherwise(0.0)).otherwise(0.0)
-        bad = F.when(L.has_any(name, DISCOURAGED_SECTIONS), F.when(apart == 0, -0.18).when(apart == 1, -0.08).otherwise(0.0)).otherwise(0.0)
-        return F.when(s["page"].isNull() | (name == ""), 0.0).when(bad < 0, bad).otherwise(good)
+        apart = F.abs(page - s["page"])
+        good = F.when(s["good"], F.when(apart == 0, 0.18).when(apart == 1, 0.10).otherwise(0.0)).otherwise(0.0)
+        return F.when(s["bad"] & (apart <= 1), F.when(apart == 0, -0.18).otherwise(-0.08)).otherwise(good)
 
-    return F.aggregate(sections, F.lit(0.0), lambda acc, s: acc + points(s))
+    return F.aggregate(leanings, F.lit(0.0), lambda acc, s: acc + points(s))
 
 
 def anchor_score(found: Column, text: Column, mode: str) -> Column:
@@ -208,7 +215,7 @@ def prepare_records(records: DataFrame) -> DataFrame:
     """records (weakness_id, group, the FIELDS, sections): token arrays, cases, hints and anchors, once per record."""
     text = lambda names: F.concat_ws(" ", *[F.col(n) for n in names])
     blob = L.norm(text(["meta", "weakness", "claim", "evidence", "followups", "rebuttals"]))
-    out = records.withColumns({"blob": blob, "blob_how": L.norm(text(["where", "how", "what"]))}).withColumn("blob_all", L.norm(F.concat_ws(" ", "blob", "what", "where", "how")))
+    out = records.withColumns({"sections": named_sections(F.col("sections")), "blob": blob, "blob_how": L.norm(text(["where", "how", "what"]))}).withColumn("blob_all", L.norm(F.concat_ws(" ", "blob", "what", "where", "how")))
     out = out.withColumns({f"src_{m}": L.norm(F.concat_ws("\n", *fields)) for m, fields in ANCHOR_FIELDS.items()} | {"src_match": L.norm(F.concat_ws("\n", *MATCH_FIELDS["task2_support"]))})
     out = out.withColumns({f"t_{f}": L.tokens(F.col(f)) for f in FIELDS} | {f"p_{f}": L.phrases(F.col(f)) for f in FIELDS})
     out = out.withColumns(
@@ -218,7 +225,9 @@ def prepare_records(records: DataFrame) -> DataFrame:
         | {"pages": hinted_pages(text(["claim", "evidence", "weakness", "followups"]), F.col("blob"), F.col("sections")), "pages_all": hinted_pages(text(["claim", "evidence", "weakness", "followups", "where"]), F.col("blob_all"), F.col("sections"))}
         | {f"anchors_{m}": L.anchors(F.col(f"src_{m}")) for m in ANCHOR_FIELDS} | {"anchors_match": L.anchors(F.col("src_match"))}
     )
-    return out.drop(*FIELDS, "blob", "blob_all", "blob_how", "src_match", *[f"src_{m}" for m in ANCHOR_FIELDS])
+    case = {n: F.col(f"case_{n}") for n in L.CASES}
+    out = out.withColumns({f"leanings_{m}": section_leanings(m, case, F.col("sections")) for m in WEIGHTS})
+    return out.drop(*FIELDS, "sections", "blob", "blob_all", "blob_how", "src_match", *[f"src_{m}" for m in ANCHOR_FIELDS])
 
 
 def prepare_chunks(chunks: DataFrame) -> DataFrame:
@@ -233,7 +242,7 @@ def score_pairs(records: DataFrame, chunks: DataFrame, modes: list[str]) -> Data
     # words of the record that the chunk has; every field is then held against these few
     both = both.withColumn("met", F.array_intersect("t_all", "c_tokens"))
     case = {n: F.col(f"case_{n}") for n in L.CASES}
-    text, kind, page, sections = F.col("norm"), F.col("kind"), F.col("page"), F.col("sections")
+    text, kind, page = F.col("norm"), F.col("kind"), F.col("page")
     out = []
     for mode in modes:
         support = mode == "task2_support"
@@ -241,7 +250,7 @@ def score_pairs(records: DataFrame, chunks: DataFrame, modes: list[str]) -> Data
         terms += [L.phrase_overlap(F.col(f"p_{f}"), text) for f in PHRASE_FIELDS[mode]]
         pages = F.col("pages_all" if support else "pages")
         terms += [hint_score(F.col("hints_all" if support else "hints"), text), page_hint(page_distance(page, pages)), anchor_score(F.col(f"anchors_{mode}"), text, mode)]
-        terms += [section_bias(mode, case, page, sections), term_scores(mode, case, F.col("has"), F.col("gains"), kind, page)]
+        terms += [section_bias(F.col(f"leanings_{mode}"), page), term_scores(mode, case, F.col("has"), F.col("gains"), kind, page)]
         score = terms[0]
         for t in terms[1:]:
             score = score + t

@@ -13,7 +13,7 @@ from threadloom.functions import text as X
 from threadloom.operators import chunks as C
 from threadloom.operators import retrieval as R
 from threadloom.plans import sql as S
-from threadloom.runtime import cut, latest, table
+from threadloom.runtime import cut, latest, spread, table
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return R.prepare_records(records(spark, d)), R.prepare_chunks(chunks(spark, d))
+    return R.prepare_records(spread(cut(records(spark, d), "records"))), R.prepare_chunks(chunks(spark, d))
 
 
 def case_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -224,5 +224,5 @@ SQL = {
     "alignment_status": f"""WITH RECURSIVE {_PACKED}, {_RECORDS}, g AS (SELECT DISTINCT submission_id AS grp FROM ch JOIN documents USING (doc_id))
         SELECT weakness_id, CASE WHEN coalesce(pdf_url, '') = '' THEN 'no_pdf_url' WHEN grp IS NULL OR grp NOT IN (SELECT grp FROM g WHERE grp IS NOT NULL) THEN 'no_text_extracted' ELSE 'ok' END AS status FROM r0""",
     "snippet_block": f"""WITH RECURSIVE {_PAIRS}, {_best('task1', 'q')}, x AS (SELECT doc_id || ':' || chunk_no AS id, text FROM ch)
-        SELECT weakness_id, md5(string_agg('(p.' || page || ', score=' || printf('%.4f', round(score, 4)) || ') ' || substring(x.text, 1, 1200), chr(10) ORDER BY rank)) AS digest FROM q JOIN x USING (id) GROUP BY 1""",
+        SELECT weakness_id, md5(string_agg('(p.' || page || ', score=' || printf('%.4f', CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE)) || ') ' || substring(x.text, 1, 1200), chr(10) ORDER BY rank)) AS digest FROM q JOIN x USING (id) GROUP BY 1""",
 }

@@ -69,9 +69,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Smaller tables stay as they are.
+SPREAD_BYTES = 2 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a file scan over all cores, where the files give less than half as many partitions as there are cores; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or 2 * df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
