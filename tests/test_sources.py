@@ -83,9 +83,9 @@ def test_fields_of_notes(spark):
 
 
 def test_section_index(spark):
-    spans = [("p", i, 10.0, "body text " * 5, 1) for i in range(4)] + [("p", 5, 14.2, "Introduction", 1), ("p", 6, 14.2, "introduction", 2), ("p", 7, 12.0, "Main Results", 3), ("p", 8, 12.0, "Xy", 3), ("p", 9, 18.0, "Colours", 3)]
+    spans = [("p", i, 10.0, "body text " * 5, 1) for i in range(4)] + [("p", 5, 14.2, "Introduction", 1), ("p", 6, 14.2, "introduction", 2), ("p", 7, 12.0, "Main Results", 3), ("p", 8, 12.0, "3.1 Results of all", 3), ("p", 9, 18.0, "Colours", 3), ("p", 10, 9.0, "long text in small type " * 40, 4), ("p", 11, 14.2, " ", 4)]
     got = forum.section_index(spark.createDataFrame(spans, "paper string, no int, size double, text string, page int")).orderBy("section_id").collect()
-    assert [tuple(r) for r in got] == [("p", "s1", "Introduction", 1), ("p", "s2", "Main Results", 3)]
+    assert [tuple(r) for r in got] == [("p", "s1", "Introduction", 1), ("p", "s2", "3.1 Results of all", 3)]
 
 
 def test_stream_skips_what_is_done(spark, tmp_path):

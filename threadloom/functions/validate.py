@@ -42,6 +42,16 @@ def review_issues(review: Column, sections: Column) -> Column:
     return F.when(review.isNull(), F.array(F.lit("enhanced_review"))).otherwise(F.array_compact(F.concat(own, F.flatten(F.transform(s, of_suggestion)))))
 
 
+#: Keys of a review and of its suggestions. Fixed values.
+REVIEW_KEYS = ["claim", "evidence", "actionable_suggestions", "citations", "severity"]
+
+
+def key_issues(keys: Column, allowed: list[str]) -> Column:
+    """Keys that shouldn't be there and keys that should, each sorted; null keys mean none."""
+    have, want = F.coalesce(keys, F.array().cast("array<string>")), F.lit(allowed)
+    return F.struct(F.array_sort(F.array_except(have, want)).alias("extra"), F.array_sort(F.array_except(want, have)).alias("missing"))
+
+
 def record_failure(review: Column, weakness: Column, category: Column, least: float) -> Column:
     """The first reason against a record, or null."""
     s = F.coalesce(review["actionable_suggestions"], F.array())

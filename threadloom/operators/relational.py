@@ -83,6 +83,16 @@ def shards(rows: DataFrame, id_: str, n: int) -> DataFrame:
     return out.withColumn("shard", F.when(k < big, F.floor(k / (base + 1))).otherwise(rest + F.floor((k - big) / max(base, 1))).cast("int"))
 
 
+def upsert(cache: DataFrame | None, new: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """The cache with new rows merged in: of every key the row with the latest ts, of equals the new one. Without a cache the new rows alone."""
+    rows = new.withColumn("__new", F.lit(1))
+    if cache is not None:
+        rows = cache.select(new.columns).withColumn("__new", F.lit(0)).unionByName(rows)
+    rest = [c for c in new.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, "__new", *[c for c in rest if c != ts])).alias("v"))
+    return best.select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest])
+
+
 def weighted_mean(rows: DataFrame, keys: list[str], score: Column, weight: Column) -> DataFrame:
     """Mean of the known scores, weights renormalised over them; null where none is known or the weights are 0."""
     known = F.when(score.isNotNull(), weight)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import lexical as L
+from threadloom.functions import rules as U
 from threadloom.functions import text as X
 from threadloom.functions import validate as V
 from threadloom.operators import relational as R
@@ -69,5 +70,9 @@ SQL = {
         p AS (SELECT a.weakness_id, b.weakness_id AS other, round(length(list_intersect(a.w, b.w)) / (length(a.w) + length(b.w) - length(list_intersect(a.w, b.w))), 6) AS jaccard,
             round(CASE WHEN least(length(a.t), length(b.t)) > 0 THEN length(list_intersect(a.t, b.t)) / least(length(a.t), length(b.t)) ELSE 0 END, 6)::DOUBLE AS containment FROM c a JOIN c b ON a.submission_id = b.submission_id AND a.weakness_id < b.weakness_id WHERE length(a.w) > 0 AND length(b.w) > 0)
         SELECT * FROM p WHERE jaccard >= 0.65 OR containment >= 0.6""",
+    "valid_groups": f"""WITH v AS (SELECT submission_id, weakness_id, l2_id, r, concat_ws(chr(10), r.claim, r.evidence, r.severity, array_to_string(r.citations, chr(10)), array_to_string(list_transform(r.actionable_suggestions, lambda x: concat_ws(chr(10), x.what, x."where", x.how, x.expected_outcome, x.priority)), chr(10))) AS told
+            FROM {_REV} WHERE NOT {S.blank('abstract')} AND NOT {S.blank('l2_id')} AND NOT {S.blank('submission_id')})
+        SELECT submission_id, l2_id, count(*) AS n_items, min(weakness_id) AS first_item FROM v WHERE NOT {S.blank('r.claim')} AND length(r.actionable_suggestions) > 0 AND NOT {U.sql(("any", *U.LEAKS["chat"]), 'told')}
+            AND length(list_filter(r.actionable_suggestions, lambda x: {" OR ".join(S.blank(f'x.{f}') for f in _FIELDS)})) = 0 GROUP BY 1, 2""",
     "id_set_digest": "SELECT source, CAST(floor(doc_id / 1000) AS BIGINT) AS block, sha256('[' || string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id) || ']') AS digest FROM (SELECT DISTINCT source, doc_id FROM documents) GROUP BY 1, 2",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import shred
+from threadloom.plans import sql as S
 from threadloom.runtime import cut, table
 from threadloom.sources import enhanced as E
 
@@ -45,17 +46,8 @@ QUERIES = {"p4_found": p4_found, "p4_suggestions": p4_suggestions, "p4_sections"
 
 #: Blank in DuckDB's regex dialect.
 _BLANK = r"^[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]*$"
-def _opened(x: str) -> str:
-    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x}->>'$', '^\\s*[\\[{{]') AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
-
-
-def _object(x: str) -> str:
-    o = f"({_opened(x)})"
-    return f"CASE json_type({o}) WHEN 'OBJECT' THEN {o} WHEN 'ARRAY' THEN CASE WHEN json_array_length({o}) = 1 THEN json_extract({o}, '$[0]') END END"
-
-
 def _list(x: str) -> str:
-    o = f"({_opened(x)})"
+    o = f"({S.json_opened(x)})"
     return f"CASE json_type({o}) WHEN 'ARRAY' THEN json_extract({o}, '$[*]') WHEN 'NULL' THEN [] ELSE CASE WHEN {x} IS NULL THEN [] ELSE [{o}] END END"
 
 
@@ -70,7 +62,7 @@ _RECORDS = f"""
     WITH t AS (SELECT weakness_id, arg_max(struct_pack({_PACK}), enhanced_at) AS v FROM enhanced_reviews WHERE weakness_id IS NOT NULL GROUP BY 1),
     j AS (SELECT line_no, CAST(raw AS JSON) AS j FROM enhanced_raw WHERE json_valid(raw)),
     l AS (SELECT j->>'weakness_id' AS weakness_id, arg_max(j, line_no) AS j FROM j WHERE json_type(j) = 'OBJECT' AND j->>'weakness_id' IS NOT NULL GROUP BY 1),
-    a AS (SELECT weakness_id, v.r AS r, v.p AS p, v.c AS c FROM t UNION ALL SELECT weakness_id, {_object("(j->'enhanced_review')")}, {_object("(j->'paper_context')")}, {_object("(j->'weakness_category')")} FROM l),
+    a AS (SELECT weakness_id, v.r AS r, v.p AS p, v.c AS c FROM t UNION ALL SELECT weakness_id, {S.json_object("(j->'enhanced_review')")}, {S.json_object("(j->'paper_context')")}, {S.json_object("(j->'weakness_category')")} FROM l),
     k AS (SELECT weakness_id, CAST(c AS JSON) AS c, {_list("(r->'actionable_suggestions')")} AS suggestion, {_list("(r->'citations')")} AS citation, {_list("(p->'keywords')")} AS keyword, {_list("(p->'sections_index')")} AS section FROM a)"""
 
 
@@ -86,7 +78,7 @@ def _rows_sql(kind: str, fields: list[str], out: dict[str, str]) -> str:
     each = ", ".join(f"o->>'{n}' AS \"{n}\"" if i else f"CASE WHEN o IS NULL THEN e->>'$' ELSE o->>'{n}' END AS \"{n}\"" for i, n in enumerate(fields))
     some = " OR ".join(f"NOT regexp_matches(coalesce(\"{n}\", ''), '{_BLANK}')" for n in fields)
     names = ", ".join(out.get(n, f'"{n}"') + f' AS "{n}"' for n in fields)
-    return f"""{_RECORDS}, e AS (SELECT weakness_id, unnest({kind}) AS e, generate_subscripts({kind}, 1) AS i FROM k), o AS (SELECT weakness_id, i, e, {_object("e")} AS o FROM e WHERE json_type(e) <> 'NULL'),
+    return f"""{_RECORDS}, e AS (SELECT weakness_id, unnest({kind}) AS e, generate_subscripts({kind}, 1) AS i FROM k), o AS (SELECT weakness_id, i, e, {S.json_object("e")} AS o FROM e WHERE json_type(e) <> 'NULL'),
         f AS (SELECT weakness_id, CAST(i AS INTEGER) AS item_no, {each} FROM o) SELECT weakness_id, item_no, {names} FROM f WHERE {some}"""
 
 

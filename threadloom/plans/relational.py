@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.operators import relational as R
 from threadloom.plans import sql as S
-from threadloom.runtime import latest, table
+from threadloom.runtime import cut, latest, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +59,8 @@ def final_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_cap_collect(spark: SparkSession, d: str) -> DataFrame:
-    """The three most confident weaknesses of each paper and category."""
-    rows = _pairs(spark, d).where("l2_id is not null and l2_id != 'UNKNOWN'")
+    """The three most confident weaknesses of each paper and category, from a confidence of 0.5 on; an unknown one counts as 1."""
+    rows = _pairs(spark, d).where("l2_id is not null and l2_id != 'UNKNOWN' and coalesce(confidence, 1.0) >= 0.5")
     got = R.group_cap_collect(rows, ["submission_id", "l2_id"], [F.desc_nulls_last("confidence"), F.asc("weakness_id")], F.col("weakness_id"), 3, F.md5("original_weakness"))
     return got.select("submission_id", "l2_id", F.array_join("items", ",").alias("items"), "context")
 
@@ -84,10 +84,11 @@ def last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """A score cache after an upsert of the second half of the events into the first."""
-    rows = table(spark, d, "events").select(F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("cache_key"), F.col("value").alias("score"), F.col("ts").alias("created_at"), "event_id")
-    best = rows.groupBy("cache_key").agg(F.max_by(F.struct("score", "created_at"), F.struct("created_at", "event_id")).alias("v"))
-    return best.select("cache_key", "v.score", "v.created_at")
+    """A score cache written from the views, then merged with all other events: each key's latest score."""
+    rows = table(spark, d, "events").select(F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("cache_key"), F.col("value").alias("score"), F.col("ts").alias("created_at"), "event_id", "event_type")
+    parts = [rows.where(c).drop("event_type") for c in ("event_type = 'view'", "event_type != 'view' or event_type is null")]
+    cache = cut(R.upsert(None, parts[0], ["cache_key"], "created_at"), "cache")
+    return R.upsert(cache, parts[1], ["cache_key"], "created_at").select("cache_key", "score", "created_at")
 
 
 def id_digest(spark: SparkSession, d: str) -> DataFrame:
@@ -178,13 +179,13 @@ SQL = {
     "reclassify_merge": f"SELECT weakness_id, coalesce(n, l2_id) AS l2_id FROM {_PAIRS} LEFT JOIN {_REVIEW(n='weakness_category.l2_id')} USING (weakness_id)",
     "final_records": f"""SELECT weakness_id, record_id, l2_id, severity, n_snippets FROM {S.latest("sft_train", "record_id", "exported_at", {"weakness_id": "meta.weakness_id"})} JOIN {_PAIRS} USING (weakness_id)
         JOIN {_REVIEW(severity='enhanced_review.severity')} USING (weakness_id) LEFT JOIN {S.latest("enhanced_data_with_snippets_dual", "weakness_id", "aligned_at", {"n_snippets": "CASE WHEN aligned_snippets_task1 IS NOT NULL THEN CAST(length(aligned_snippets_task1) AS INTEGER) END"})} USING (weakness_id)""",
-    "group_cap_collect": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY submission_id, l2_id ORDER BY confidence DESC NULLS LAST, weakness_id) AS r FROM {_PAIRS} WHERE l2_id <> 'UNKNOWN')
+    "group_cap_collect": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY submission_id, l2_id ORDER BY confidence DESC NULLS LAST, weakness_id) AS r FROM {_PAIRS} WHERE l2_id <> 'UNKNOWN' AND coalesce(confidence, 1.0) >= 0.5)
         SELECT submission_id, l2_id, string_agg(weakness_id, ',' ORDER BY r) AS items, arg_min(md5(original_weakness), r) AS context FROM r WHERE r <= 3 GROUP BY 1, 2""",
     "label_distribution": f"SELECT l1_id, l2_id, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, CAST(grouping(l1_id, l2_id) AS INTEGER) AS level FROM {_PAIRS} GROUP BY ROLLUP (l1_id, l2_id)",
     "percent_stats": f"""SELECT year, count(*) AS n, count(*) FILTER (length(s) > 0) AS has_sections, round(count(*) FILTER (length(s) > 0) / count(*), 6) AS share, round(avg(length(k)), 6) AS mean_keywords
         FROM {S.latest("paper_context", "submission_id", "fetched_at", {"year": "year", "k": "keywords", "s": "sections_index"})} GROUP BY 1""",
     "last_wins": "SELECT user_id, event_type, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1, 2",
-    "cache_upsert": """SELECT cache_key, v.s AS score, v.t AS created_at FROM (SELECT sha256(user_id || '|' || event_type) AS cache_key, arg_max(struct_pack(s := value, t := ts), struct_pack(a := ts, b := event_id)) AS v FROM events GROUP BY 1)""",
+    "cache_upsert": """SELECT cache_key, v.s AS score, v.t AS created_at FROM (SELECT sha256(user_id || '|' || event_type) AS cache_key, arg_max(struct_pack(s := value, t := ts), struct_pack(a := ts, s := value, b := event_id)) AS v FROM events GROUP BY 1)""",
     "id_digest": f"SELECT submission_id, count(DISTINCT weakness_id) AS n_ids, CAST(bit_xor(CAST('0x' || substring(md5(weakness_id), 1, 15) AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT submission_id, weakness_id FROM {_PAIRS}) GROUP BY 1",
     "stratified_cap": f"""SELECT weakness_id, l2_id FROM (SELECT *, row_number() OVER (PARTITION BY l2_id ORDER BY confidence DESC NULLS LAST, md5(weakness_id || ':42'), weakness_id) AS r FROM {_PAIRS} WHERE l2_id IS NOT NULL) WHERE r <= 20""",
     "stratified_quota": f"""WITH p AS (SELECT weakness_id, l2_id, md5(weakness_id || ':42') AS k FROM {_PAIRS} WHERE l2_id IS NOT NULL), n AS (SELECT greatest(1, 120 // count(DISTINCT l2_id)) AS q FROM p),

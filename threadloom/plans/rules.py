@@ -304,7 +304,27 @@ _MAPPED = f"""
     u AS (SELECT weakness_id, i, CASE WHEN t <> 'No Response' AND row_number() OVER (PARTITION BY weakness_id, t ORDER BY i) > 1 THEN 'No Response' ELSE t END AS t FROM q),
     z AS (SELECT weakness_id, length(said) + 1 AS i, coalesce((SELECT t FROM u WHERE u.weakness_id = p.weakness_id AND u.i = 1), 'No Response') AS t FROM p)
     SELECT weakness_id, 'W' || i AS key, md5(t) AS digest, 0.9::DOUBLE AS confidence FROM u UNION ALL SELECT weakness_id, 'W' || i, md5(t), 0.5 FROM z"""
+_VALID = f"""v AS (SELECT weakness_id, original_weakness AS w, r, c, coalesce(r.actionable_suggestions, []) AS s, sections FROM {S.latest("enhanced_reviews", "weakness_id", "enhanced_at", {"original_weakness": "original_weakness", "r": "enhanced_review", "c": "weakness_category", "sections": "paper_context.sections_index"})})"""
+_SAID = "list_transform(s, lambda x: concat_ws(chr(10), x.what, x.\"where\", x.how, x.expected_outcome, x.priority))"
+_LEN = lambda c: f"length({S.strip(f'coalesce({c}, {chr(39) * 2})')})"
+_FIELDS = ["what", "where", "how", "expected_outcome", "priority"]
+_LACKS = "CASE " + " ".join(f"""WHEN {S.blank(f'x."{f}"')} THEN '{f}'""" for f in _FIELDS) + " END"
+_RECORD = f"""
+    WITH {_VALID}, m AS (SELECT *, list_filter(list_transform(s, lambda x, i: struct_pack(i := i - 1, f := {_LACKS})), lambda y: y.f IS NOT NULL) AS m, lower(concat_ws(chr(10), r.claim, r.evidence, array_to_string({_SAID}, chr(10)))) AS told FROM v)
+    SELECT weakness_id, CASE WHEN r IS NULL THEN 'missing enhanced_review' WHEN {S.blank('r.claim')} THEN 'empty claim' WHEN length(s) = 0 THEN 'no suggestions' WHEN length(m) > 0 THEN 'suggestion[' || m[1].i || '] missing ' || m[1].f WHEN {S.blank('w')} THEN 'empty original_weakness'
+        WHEN coalesce(c.l2_id, 'UNKNOWN') = 'UNKNOWN' THEN 'unclassified' WHEN coalesce(c.confidence, 0) < 0.5 THEN 'low confidence' WHEN {U.sql(("any", *U.LEAKS["chat"]), "told")} THEN 'rebuttal leakage' ELSE 'valid' END AS reason FROM m"""
+_ISSUES = [
+    ("enhanced_review", "r IS NULL"), ("claim", f"r IS NOT NULL AND {_LEN('r.claim')} < {V.SHORTEST['claim']}"), ("evidence", f"r.evidence IS NOT NULL AND {_LEN('r.evidence')} < {V.SHORTEST['evidence']}"), ("actionable_suggestions", "r IS NOT NULL AND length(s) = 0"),
+    ("evidence_hallucination", f"coalesce(length(sections), 0) = 0 AND regexp_matches(coalesce(r.evidence, ''), {S.quote(V.SECTION_REF)})"), ("rebuttal_leakage", f"r IS NOT NULL AND {U.sql(('any', *U.LEAKS['generation']), 'told')}"),
+    ("severity", f"r IS NOT NULL AND NOT list_contains({V.SEVERITIES}, coalesce(r.severity, ''))"), ("citations", "r IS NOT NULL AND r.citations IS NULL"),
+]
+_EACH = [("missing", "x IS NULL"), *[(f, f"x IS NOT NULL AND {_LEN(f'x.{chr(34)}{f}{chr(34)}')} < {n}") for f, n in V.SHORTEST.items() if f in _FIELDS], ("priority", f"x IS NOT NULL AND NOT list_contains({V.PRIORITIES}, coalesce(x.priority, ''))"), ("where_banned_phrase", f"x IS NOT NULL AND {U.sql(('any', *V.VAGUE_PLACES), 'coalesce(x.' + chr(34) + 'where' + chr(34) + ', ' + chr(39) * 2 + ')')}")]
+_REVIEW_ISSUES = f"""
+    WITH {_VALID}, t AS (SELECT *, concat_ws(chr(10), r.claim, r.evidence, array_to_string({_SAID}, chr(10)), array_to_string(r.citations, chr(10))) AS told FROM v), x AS (SELECT unnest(s) AS x FROM v),
+    i AS ({" UNION ALL ".join([f"SELECT '{n}' AS issue FROM t WHERE {c}" for n, c in _ISSUES] + [f"SELECT 'suggestion.{n}' FROM x WHERE {c}" for n, c in _EACH])}) SELECT issue, count(*) AS n FROM i GROUP BY 1"""
+
 SQL = {
+    "record_validation": _RECORD, "review_validation": _REVIEW_ISSUES,
     "reward_claims": _REWARD_CLAIMS, "claims_state": _STATE, "routed_followups": _ROUTED, "mapped_rebuttals": _MAPPED,
     "classify_followup": _FOLLOW, "quote_only": _QUOTE, "reply_type": _reply_type_sql(), "l13_tiebreak": _tie_sql(), "noisy_title": _NOISY, "specificity": _SPECIFIC, "repetition_penalty": _REPEAT,
     "leak_flags": "SELECT doc_id, " + ", ".join(f"{U.sql(('any', *p), 'text')} AS {k}" for k, p in U.LEAKS.items()) + " FROM documents WHERE text IS NOT NULL",

@@ -46,3 +46,13 @@ def latest(table: str, key: str, ts: str, columns: dict[str, str]) -> str:
     pack = ", ".join(f"{n} := {e}" for n, e in columns.items())
     out = ", ".join(f"v.{n} AS {n}" for n in columns)
     return f"(SELECT {key}, {out} FROM (SELECT {key}, arg_max(struct_pack({pack}), {ts}) AS v FROM {table} WHERE {key} IS NOT NULL GROUP BY {key}))"
+
+
+def json_opened(x: str) -> str:
+    """A JSON value stored as JSON text, read; any other as it is."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x}->>'$', '^\\s*[\\[{{]') AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
+
+
+def json_object(x: str) -> str:
+    o = f"({json_opened(x)})"
+    return f"CASE json_type({o}) WHEN 'OBJECT' THEN {o} WHEN 'ARRAY' THEN CASE WHEN json_array_length({o}) = 1 THEN json_extract({o}, '$[0]') END END"

@@ -29,20 +29,31 @@ def scratch_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed with the others."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 @atexit.register
-def forget() -> None:
-    """Removes the tables that this process has cut, where their folder is a mounted one; others are left to the cluster."""
-    for path in _written:
+def forget(spark: SparkSession | None = None) -> None:
+    """Removes what this process has written to the shared folder: with a session on any file system, at exit where the folder is a mounted one."""
+    for path in list(_written):
         if path.startswith(("file:", "/")):
             shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
-    _written.clear()
+        elif spark is not None:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        else:
+            continue
+        _written.remove(path)
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back; lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

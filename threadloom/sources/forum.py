@@ -14,8 +14,12 @@ RATING_KEYS = ["overall_rating", "rating", "recommendation", "reviewer_rating",
 CONFIDENCE_KEYS = ["confidence", "reviewer_confidence", "confidence_rating"]
 TEXT_KEYS = ["comment", "response", "text", "message", "rebuttal", "discussion"]
 NUMBER = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*[:：]?\s*(.*)"
-#: Headings that a section index keeps. Fixed values.
-HEADINGS = "abstract introduction background related method methodology approach model experiment evaluation result discussion conclusion limitation appendix analysis implementation theory proof ablation".split()
+#: How headings begin that a section index keeps. Fixed values.
+HEADINGS = [
+    "Introduction", r"Related\s+Work", "Background", "Method", "Approach", "Model", "Experiments?", "Results?", "Evaluation", "Discussion", "Conclusion", "Acknowledgements?", "References", "Appendix", "Limitations",
+    "Abstract", "Supplementary", "Analysis", "Setup", "Ablation", "Implementation", "Training", "Dataset",
+]
+HEADING = r"(?i)^(?:\d+(?:\.\d+)*\s+)?(?:" + "|".join(HEADINGS) + ")"
 
 
 def unwrap(value: Column, bare: Column) -> Column:
@@ -110,13 +114,11 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 
 def section_index(spans: DataFrame) -> DataFrame:
-    """spans (paper, no, size, text, page): headings set larger than the most frequent size, each name once: (paper, section_id, name, page)."""
-    rounded = spans.withColumn("__size", F.round("size", 1))
-    counts = rounded.groupBy("paper", "__size").agg(F.sum(F.length("text")).alias("n"))
-    body = counts.groupBy("paper").agg(F.max_by("__size", F.struct("n", -F.col("__size"))).alias("__body"))
-    name = X.collapse(F.col("text"))
-    heads = rounded.join(body, "paper").where(F.col("__size") > F.col("__body")).withColumn("name", name)
-    heads = heads.where(F.length("name").between(3, 80) & F.lower("name").rlike("|".join(HEADINGS)))
+    """spans (paper, no, size, text, page): headings set larger than the size of most spans (of equal ones the first), each name once: (paper, section_id, name, page)."""
+    named = spans.select("paper", "no", F.round("size", 1).alias("__size"), X.strip(F.col("text")).alias("name"), "page").where("name != ''")
+    counts = named.groupBy("paper", "__size").agg(F.count("*").alias("n"), F.min("no").alias("first"))
+    body = counts.groupBy("paper").agg(F.max_by("__size", F.struct("n", -F.col("first"))).alias("__body"))
+    heads = named.join(body, "paper").where(F.col("__size") > F.col("__body")).where(F.length("name").between(3, 80) & F.col("name").rlike(HEADING))
     once = heads.groupBy("paper", F.lower("name").alias("__k")).agg(F.min(F.struct("no", "name", "page")).alias("f")).select("paper", "f.*")
     place = F.row_number().over(Window.partitionBy("paper").orderBy("no"))
     return once.select("paper", F.concat(F.lit("s"), place.cast("string")).alias("section_id"), "name", "page")
