@@ -28,10 +28,11 @@ NATURAL = SPACE + ".!?;,。"
 
 def marks(text: Column) -> Column:
     """One mark for each character: every step puts the mark of one kind in the place of the last character of a run of white space that has none yet."""
-    w, inner, end = f"[{SPACE}]", f"[{SPACE}&&[^\\n]]*+", f"(?![{SPACE}\\x01-\\x05])"
-    out = F.regexp_replace(text, r"[\x01-\x05]", "x")
-    out = F.regexp_replace(out, f"(?<!{w})(?={inner}\\n{inner}\\n)({w}*){w}{end}", "$1\x01")
-    out = F.regexp_replace(out, f"(?<!{w})(?={inner}\\n)({w}*){w}{end}", "$1\x02")
+    out = F.regexp_replace(text, f"[{SPACE}&&[^ \\n]]", " ")
+    out = F.regexp_replace(out, r"[^ \n.!?\"')\];,:。]", "x")
+    w, end = r"[ \n]", r"(?![ \n\x01-\x05])"
+    out = F.regexp_replace(out, f"(?<!{w})(?= *+\\n *+\\n)({w}*){w}{end}", "$1\x01")
+    out = F.regexp_replace(out, f"(?<!{w})(?= *+\\n)({w}*){w}{end}", "$1\x02")
     out = F.regexp_replace(F.regexp_replace(out, f"([.!?][\"')\\]]*+{w}*){w}{end}", "$1\x03"), "。", "\x03")
     out = F.regexp_replace(out, f"([;,:]{w}*){w}{end}", "$1\x04")
     out = F.regexp_replace(out, f"(?<!{w})({w}*){w}{end}", "$1\x05")
