@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import answers, conversations, pieces, together
+from threadloom.llm import answers, conversations, pieces, queries, tables, together
 from threadloom.llm.endings import EndModel
 
 EVENT = "submission_id string, event_id string, timestamp string, role string, actor_id string, text string, reply_to_event_id string, fetched_at int, t string, h string"
@@ -128,6 +128,21 @@ def test_endings_are_counted_over_all_answers(spark, monkeypatch):
         assert not got.truncated(rows[-2][-1]) and got.truncated(rows[-1][-1])
 
 
+def test_every_turn_is_judged(spark, tmp_path):
+    kind = "record_id string, exported_at timestamp, messages array<struct<role:string,content:string>>"
+    turns = lambda *answers_: [m for a in answers_ for m in (("user", LONG), ("assistant", a))]
+    rows = [("r", None, turns(SENTENCE[0], "N/A", SENTENCE[1], "", LONG)), ("s", None, [*turns(SENTENCE[2]), ("user", LONG)]), ("n", None, None)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "sft_train.parquet"))
+    kind = "weakness_id string, enhanced_at timestamp, original_weakness string, enhanced_review struct<claim:string>"
+    spark.createDataFrame([("w", None, LONG, (None,))], kind).write.parquet(str(tmp_path / "enhanced_reviews.parquet"))
+    pairs = tables.answer_pairs(spark, str(tmp_path))
+    assert sorted((r["record_key"], r["pair_no"]) for r in pairs.collect()) == [("r", n) for n in (1, 2, 3, 4, 5)] + [("s", 1), ("s", 2), ("w", 1)]
+    got = {f: sorted((r["record_key"], r["pair_no"], r["defect"]) for r in getattr(queries, f)(spark, str(tmp_path)).collect()) for f in ("p6_defects", "p6_found")}
+    first = [("r", 2, "empty"), ("s", 2, "empty"), ("w", 1, "empty")]
+    assert got["p6_found"] == first  # two turns by definition
+    assert got["p6_defects"] == sorted([*first, ("r", 4, "empty"), ("r", 5, "copied")])
+
+
 def components(nodes, pairs):
     root = {n: n for n in nodes}
 

@@ -66,14 +66,15 @@ def oversize_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(table_name, record_key, pair_no, question, answer) of problem 6, from the valid rows."""
+    """(table_name, record_key, pair_no, question, answer) of problem 6, from the valid rows: every turn of every record."""
     chats = latest(table(spark, d, "sft_train").select("record_id", "exported_at", "messages"), ["record_id"], "exported_at", ["record_id", "messages"])
     role = lambda m: F.lower(X.strip(m["role"]))
     numbered = F.transform("messages", lambda m, i: F.struct(i.alias("i"), role(m).alias("role"), m["content"].alias("content")))
     asked = F.filter(numbered, lambda m: m["role"] == "user")
-    answer = lambda m: F.try_element_at(F.filter(numbered, lambda x: (x["i"] == m["i"] + 1) & (x["role"] == "assistant")), F.lit(1))["content"]
+    after = lambda m: F.get("messages", m["i"] + 1)
+    answer = lambda m: F.when(role(after(m)) == "assistant", after(m)["content"])
     turns = F.transform(asked, lambda m, n: F.struct((n + 1).alias("pair_no"), m["content"].alias("question"), answer(m).alias("answer")))
-    a = chats.select(F.lit("sft_train").alias("table_name"), F.col("record_id").alias("record_key"), F.explode(F.slice(turns, 1, 2)).alias("t")).select("table_name", "record_key", "t.*")
+    a = chats.select(F.lit("sft_train").alias("table_name"), F.col("record_id").alias("record_key"), F.explode(turns).alias("t")).select("table_name", "record_key", "t.*")
     reviews = table(spark, d, "enhanced_reviews").select("weakness_id", "enhanced_at", "original_weakness", F.col("enhanced_review.claim").alias("claim"))
     b = latest(reviews, ["weakness_id"], "enhanced_at", ["weakness_id", "original_weakness", "claim"])
     return a.union(b.select(F.lit("enhanced_reviews"), "weakness_id", F.lit(1), F.col("original_weakness"), F.col("claim")))
