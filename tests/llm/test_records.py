@@ -2,11 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import answers, conversations, pieces, queries, tables, together
+from threadloom.llm import answers, conversations, endings, pieces, queries, tables, together
 from threadloom.llm.endings import EndModel
 
 EVENT = "submission_id string, event_id string, timestamp string, role string, actor_id string, text string, reply_to_event_id string, fetched_at int, t string, h string"
@@ -128,6 +129,46 @@ def test_endings_are_counted_over_all_answers(spark, monkeypatch):
         assert not got.truncated(rows[-2][-1]) and got.truncated(rows[-1][-1])
 
 
+ODD = ["", "a", "A. B", "It is 12.5 of v2. (It) is? Yes! No", "x" * 60 + ".", "İSTANBUL ſo K-1_b ’tis a naïve\x1fΣΑΣ word.", "Über die Form. 7. 8 is it.", *SENTENCE, " ".join(SENTENCE), "... . .", "Model A-b3 of Wang. It", "a\nScore: b.\nHow 2: c."]
+
+
+def test_runs_spell_the_contexts_token_by_token():
+    texts = ODD * 3
+    seen, also, runs, ends = Counter(), Counter(), Counter(), Counter()
+    for text in texts:
+        endings.tally(text, seen, also, runs, ends)
+    assert sum(runs.values()) > 2 * len(runs)  # equal runs are worked on once
+    endings.spell(runs, ends, seen, also)
+    want, ended = Counter(), Counter()
+    for text in texts:
+        t = endings.classes(text) if endings.STOP.search(text.strip()) else []
+        for i in range(len(t) - 1):
+            if t[i][0].isalnum():
+                keys = [endings.SEP.join(c) for c in [*endings.contexts(t, i), endings.shape(t, i)]]
+                want.update(keys)
+                if t[i + 1] in ".!?" and t[i : i + 3 : 2] != ["0", "0"]:
+                    ended.update(keys)
+    contexts = lambda n: {k[1:]: v for k, v in n.items() if k[0] == "c"}
+    assert contexts(seen) == want and contexts(also) == ended and not runs and not ends
+    assert seen["tN"] == sum(endings.classes(x)[:-1].count("N") for x in texts if endings.STOP.search(x.strip()))
+
+
+def test_classes_are_kept_up_to_a_bound(monkeypatch):
+    want = [endings.classes(x) for x in ODD]
+    monkeypatch.setattr(endings, "KEPT", 3)
+    endings.KINDS.clear()
+    assert [endings.classes(x) for x in ODD] == want and len(endings.KINDS) <= 3
+    assert endings.classes("The GPU of v2 is 12. Then x") == ["the", "N", "of", "N", "is", "0", ".", "then", "x"]
+
+
+@pytest.mark.parametrize("text", [*ODD, "I CANNOT HELP.", "as an AI, I am", "Es tut mir leid, ABER nein", "Я не могу помочь", "i can’t assiſt", "Lo siento, no", "we decline", "I must decline", "Ich möchte mich nicht äußern", "N/A", "_na_", "- none -", "[To be added]", "to  be", "None of it", "​ tba​", "No answer. At all"])
+def test_short_ways_agree_with_the_long_ones(text):
+    assert answers.words(text) == answers.WORD.findall(text.lower())
+    assert answers.refuses(text) == bool(re.search("|".join(answers.REFUSALS), text, re.IGNORECASE))
+    core = re.sub(r"^[\W_]+|[\W_]+$", "", answers.BLANK.sub(" ", text).strip()).lower()
+    assert answers.is_empty(text) == (core in answers.PLACEHOLDERS)
+
+
 def test_every_turn_is_judged(spark, tmp_path):
     kind = "record_id string, exported_at timestamp, messages array<struct<role:string,content:string>>"
     turns = lambda *answers_: [m for a in answers_ for m in (("user", LONG), ("assistant", a))]

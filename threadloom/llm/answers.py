@@ -30,6 +30,7 @@ PLACEHOLDERS = {
     "", "na", "n/a", "n.a", "none", "null", "nil", "nan", "tbd", "tba", "todo", "to do", "to be done", "to be added", "no response", "no answer", "no comment", "no reply",
     "empty", "blank", "unknown", "not available", "not applicable", "not provided", "placeholder", "pending", "missing", "answer", "response", "text", "content", "undefined", "xxx", "lorem ipsum", "see above", "claim", "evidence",
 }
+FIRST_WORDS = {m[0] for p in PLACEHOLDERS if (m := WORD.search(p))}
 #: Phrases that decline a task. They say who declines what, so that "the authors cannot exclude" isn't one.
 REFUSALS = [
     r"\bI(?: am|'m|’m)? (?:cannot|can't|can’t|can not|won't|won’t|will not|unable to|not able to|not allowed to|not permitted to|must decline|have to decline|must refuse)(?: to)? ?(?:help|assist|judge|assess|comment|provide|produce|write|review|answer|comply|do|fulfil|fulfill|evaluate|offer|give|discuss|complete|continue|criticise|criticize|say|respond|take part|share|generate|create|carry out|be of)\b",
@@ -41,7 +42,9 @@ REFUSALS = [
     r"\b(?:no puedo|no podemos) (?:ayudar|evaluar|juzgar|responder|comentar|escribir|opinar)", r"\blo siento,? (?:pero )?(?:no|debo|prefiero|tengo que|me)\b", r"\bcomo (?:IA|asistente|modelo de lenguaje)", r"\bprefiero no\b", r"\bdebo (?:rechazar|declinar)",
     r"\bя не (?:могу|в состоянии|буду) (?:помочь|оценить|судить|ответить|комментировать|написать|оценивать)", r"\b(?:извините|простите), но\b", r"\bкак (?:ИИ|языковая модель|автоматический помощник|искусственный)", r"\bвынужден[ао]? отказаться\b",
 ]
-REFUSAL = re.compile("|".join(REFUSALS), re.IGNORECASE)
+REFUSAL = re.compile(r"\b(?:" + "|".join(r.removeprefix(r"\b") for r in REFUSALS) + ")", re.IGNORECASE)
+#: The same for ASCII texts in lower case: without the flag most places are passed over at their first letter.
+PLAIN_REFUSAL = re.compile(REFUSAL.pattern.lower())
 #: Frequent function words. Fixed values.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for on with as are was this be by not or which a an from at but have has we were its because".split(),
@@ -51,7 +54,10 @@ FUNCTION_WORDS = {
 }
 SCRIPTS = [("cyrillic", "Ѐ", "ԯ"), ("greek", "Ͱ", "Ͽ"), ("arabic", "؀", "ۿ"), ("hebrew", "֐", "׿"), ("cjk", "぀", "鿿"), ("hangul", "가", "힯"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿")]
 LETTER_RUNS = {name: re.compile(f"[{a}-{b}]+") for name, a, b in SCRIPTS}
+OTHER_LETTER = re.compile("[" + "".join(f"{a}-{b}" for _, a, b in SCRIPTS) + "]")
 LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+#: ASCII in lower case, with blanks for all but letters and digits.
+PLAIN = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
 ORDER = ["empty", "copied", "refusal", "language", "truncated"]
 #: Share of an answer's runs of three words that the question must hold for a copy.
 COPIED = 0.6
@@ -61,26 +67,36 @@ for _lang, _words in FUNCTION_WORDS.items():
         _OWNERS.setdefault(_w, []).append(_lang)
 
 
+def words(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    return text.translate(PLAIN).split() if text.isascii() else WORD.findall(text.lower())
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if (first := WORD.search(answer)) and first[0].lower() not in FIRST_WORDS:
+        return False
     s = BLANK.sub(" ", answer).strip()
     core = re.sub(r"^[\W_]+|[\W_]+$", "", s).lower()
     return core in PLACEHOLDERS
 
 
-def language(text: str) -> str | None:
-    """Of the script most letters are in, for Latin the language of most function words; None if that is unclear."""
-    latin = sum(map(len, LATIN.findall(text)))
-    by = {name: sum(map(len, run.findall(text))) for name, run in LETTER_RUNS.items()} if not text.isascii() else {}
-    # names stay in Latin letters whatever the language
-    best = max(by, key=by.get, default=None)
-    if best and by[best] * 2 > latin * 0.6 and by[best] >= 12:
-        return best
+def language(text: str, of: list[str]) -> str | None:
+    """Of the script most letters are in, for Latin the language of most function words; None if that is unclear. of: the words of the text."""
+    if not text.isascii() and OTHER_LETTER.search(text):
+        latin = sum(map(len, LATIN.findall(text)))
+        by = {name: sum(map(len, run.findall(text))) for name, run in LETTER_RUNS.items()}
+        # names stay in Latin letters whatever the language
+        best = max(by, key=by.get)
+        if by[best] * 2 > latin * 0.6 and by[best] >= 12:
+            return best
     count = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in WORD.findall(text.lower()):
-        for lang in _OWNERS.get(w, ()):
-            count[lang] += 1 / len(_OWNERS[w])
+    for w in of:
+        if w in _OWNERS:
+            owners = _OWNERS[w]
+            for lang in owners:
+                count[lang] += 1 / len(owners)
     top, second = sorted(count.values(), reverse=True)[:2]
     if top < 3 or top < 1.6 * second:
         return None
@@ -94,35 +110,42 @@ def quoted(question: str) -> str:
     return headed[-1] if headed else question
 
 
-def shingles(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+def shingles(of: list[str]) -> set[tuple[str, str, str]]:
+    return set(zip(of, of[1:], of[2:], strict=False))
 
 
-def copied(question: str, answer: str) -> bool:
-    a, q = WORD.findall(answer.lower()), WORD.findall(question.lower())
+def copied(q: list[str], a: list[str], body: list[str]) -> bool:
+    """By the words of question, answer and what the question quotes."""
     if len(a) < 8:
         return bool(a) and len(a) >= 4 and " ".join(a) in " ".join(q)
     own = shingles(a)
     if len(own & shingles(q)) >= COPIED * len(own):
         return True
     # words dropped or misspelt: nearly all words of one are words of the other, whichever is the whole
-    body = set(WORD.findall(quoted(question).lower()))
-    common = len(set(a) & body)
-    return common >= 0.7 * len(set(a) | body)
+    mine, theirs = set(a), set(body)
+    common = len(mine & theirs)
+    return common >= 0.7 * (len(mine) + len(theirs) - common)
+
+
+def refuses(answer: str) -> bool:
+    return bool(PLAIN_REFUSAL.search(answer.lower()) if answer.isascii() else REFUSAL.search(answer))
 
 
 def defects(question: str | None, answer: str | None, model: endings.EndModel) -> list[str]:
     if is_empty(answer):
         return ["empty"]
-    out = []
-    if question and copied(question, answer):
-        out.append("copied")
-    if REFUSAL.search(answer):
-        out.append("refusal")
+    out, other = [], False
     if question:
-        q, a = language(quoted(question)), language(answer)
-        if q and a and q != a:
-            out.append("language")
+        part = quoted(question)
+        q, a = words(question), words(answer)
+        body = q if part == question else words(part)
+        if copied(q, a, body):
+            out.append("copied")
+        other = (to := language(answer, a)) is not None and (of := language(part, body)) is not None and of != to
+    if refuses(answer):
+        out.append("refusal")
+    if other:
+        out.append("language")
     if model.truncated(answer):
         out.append("truncated")
     return out
@@ -136,9 +159,10 @@ def ending_counts(pairs: DataFrame) -> DataFrame:
     """(key, seen, also): endings.tally over all distinct answers, as far as the model uses it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, also, wanted = Counter(), Counter(), set()
+        seen, also, runs, ends, wanted = Counter(), Counter(), Counter(), Counter(), set()
 
         def rows() -> pa.RecordBatch:
+            endings.spell(runs, ends, seen, also)
             keys = list({*seen, *wanted})
             columns = [pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([also[k] for k in keys], pa.int64()), pa.array([k in wanted for k in keys], pa.bool_())]
             for x in (seen, also, wanted):
@@ -148,8 +172,10 @@ def ending_counts(pairs: DataFrame) -> DataFrame:
         for batch in it:
             for text in batch.column("answer").to_pylist():
                 if len(text) >= 40:
-                    endings.tally(text, seen, also)
+                    endings.tally(text, seen, also, runs, ends)
                 wanted.update(endings.asked(text))
+                if len(runs) > KEYS // 10:
+                    endings.spell(runs, ends, seen, also)
                 if len(seen) + len(wanted) > KEYS:
                     yield rows()
         yield rows()

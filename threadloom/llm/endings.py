@@ -19,23 +19,42 @@ LABEL = re.compile(r"^([A-Z][\w ]{0,24}?)(?: ?\d+)?:")
 STOP = re.compile(r"[.!?。…][\"'”’»)\]]*$")
 #: What a finished text may carry after its last sentence: a reference, a table number, a remark in brackets.
 TRAILER = re.compile(r"\s*(?:\[[^\[\]]{1,60}\]|\([^()]{1,60}\))$")
+NAME = re.compile(r"\b[A-Z][a-z]+(?=\W|$)")
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 
 
+#: Tokens whose classes are kept.
+KEPT = 50_000
+
+
+class Kinds(dict):
+    """By token: its class inside a sentence, its class at the start of one, and whether a sentence starts behind it."""
+
+    def __missing__(self, t: str) -> tuple[str, str, bool]:
+        if not t[0].isalnum():
+            kind = t, t, t in ".!?:"
+        elif t.isdigit() or re.fullmatch(r"[\d.,]+", t):
+            kind = "0", "0", False
+        elif any(c.isdigit() for c in t):
+            kind = "N", "N", False
+        else:
+            kind = "N" if any(c.isupper() for c in t) else t.lower(), t.lower(), False
+        if len(self) >= KEPT:
+            self.clear()
+        if len(t) <= 40:
+            self[t] = kind
+        return kind
+
+
+KINDS = Kinds()
+
+
 def classes(text: str) -> list[str]:
     out, start = [], True
     for t in TOKEN.findall(text):
-        if t[0].isalnum():
-            if t.isdigit() or re.fullmatch(r"[\d.,]+", t):
-                out.append("0")
-            elif any(c.isdigit() for c in t) or (not start and any(c.isupper() for c in t)):
-                out.append("N")
-            else:
-                out.append(t.lower())
-            start = False
-        else:
-            out.append(t)
-            start = t in ".!?:"
+        kind = KINDS[t]
+        out.append(kind[start])
+        start = kind[2]
     return out
 
 
@@ -54,8 +73,8 @@ def shape(tokens: list[str], i: int) -> tuple[str, ...]:
     return ("~", tokens[i - 2] if i >= 2 else "", tokens[i][-1])
 
 
-def tally(text: str, seen: dict[str, int], also: dict[str, int]) -> None:
-    """Adds what a text holds: contexts (c) and how many of them ended a sentence, labels (l) and those that came last, tails of names (t)."""
+def tally(text: str, seen: Counter, also: Counter, runs: Counter, ends: Counter) -> None:
+    """Adds what a text holds: labels (l) and those that came last, tails of names (t); and its runs of four tokens, and those that ended a sentence, for spell."""
     found = [m[1] for line in text.split("\n") if (m := LABEL.match(line))]
     for x in set(found):
         seen[f"l{x}"] += 1
@@ -64,28 +83,34 @@ def tally(text: str, seen: dict[str, int], also: dict[str, int]) -> None:
     if not STOP.search(text.strip()):
         return
     tokens = classes(text)
+    whole = list(zip(["", "", "", *tokens], ["", "", *tokens], ["", *tokens], tokens[:-1], strict=False))
+    runs.update(whole)
     # 12.5 is one number and no end of a sentence
-    for i in range(len(tokens) - 1):
-        t = tokens[i]
-        if t[0].isalnum():
-            c = f"c{t}"
-            keys = [c, f"c~{SEP}{tokens[i - 2] if i >= 2 else ''}{SEP}{t[-1]}"]
-            for before in reversed(tokens[max(0, i - 3) : i]):
-                if before in (".", "!", "?"):
-                    break
-                c = f"c{before}{SEP}{c[1:]}"
-                keys.append(c)
-            for c in keys:
-                seen[c] += 1
-            if tokens[i + 1] in ".!?" and not (i + 2 < len(tokens) and t == "0" and tokens[i + 2] == "0"):
-                for c in keys:
-                    also[c] += 1
-            if t == "N":
-                seen["tN"] += 1
-    for w in re.findall(r"\b[A-Z][a-z]+(?=\W|$)", text):
+    for i, t in enumerate(tokens):
+        if i and t in ".!?" and not (i + 1 < len(tokens) and tokens[i - 1] == "0" and tokens[i + 1] == "0"):
+            ends[whole[i - 1]] += 1
+    if n := tokens[:-1].count("N"):
+        seen["tN"] += n
+    for w in NAME.findall(text):
         seen[f"t{w[-3:]}"] += 1
 
 
+def spell(runs: Counter, ends: Counter, seen: Counter, also: Counter) -> None:
+    """Moves runs to the contexts (c) that end with their last token, and ends to how many of these ended a sentence."""
+    for counts, into in ((runs, seen), (ends, also)):
+        for (*before, t), n in counts.items():
+            if t[0].isalnum():
+                c = f"c{t}"
+                into[c] += n
+                into[f"c~{SEP}{before[1]}{SEP}{t[-1]}"] += n
+                for b in reversed(before):
+                    if b in ("", ".", "!", "?"):
+                        break
+                    c = f"c{b}{SEP}{c[1:]}"
+                    into[c] += n
+        counts.clear()
+
+
 def asked(text: str) -> list[str]:
     """The contexts that the verdict on a text may rest on: none if it ends with a full stop."""
     s = text.rstrip()
@@ -106,8 +131,11 @@ class EndModel:
     def __init__(self, texts: Iterable[str]) -> None:
         seen: Counter = Counter()
         also: Counter = Counter()
+        runs: Counter = Counter()
+        ends: Counter = Counter()
         for text in texts:
-            tally(text, seen, also)
+            tally(text, seen, also, runs, ends)
+        spell(runs, ends, seen, also)
         self._take((k, n, also[k]) for k, n in seen.items())
 
     @classmethod
@@ -135,7 +163,7 @@ class EndModel:
         found = [m[1] for line in s.split("\n") if (m := LABEL.match(line))]
         if any(x in self.inner for x in found) and self.closing:  # fields: complete only if the closing one is there
             return found[-1] not in self.closing or not re.search(r":\s*\S", s.split("\n")[-1])
-        if (m := TRAILER.search(s)) and m.start() > 0:
+        if s[-1] in "])" and (m := TRAILER.search(s)) and m.start() > 0:
             # a bare number in brackets that goes on counting, as in "(1) the data, (2)", closes nothing
             return bool(re.fullmatch(r"\s*\(\d{1,2}\)", m[0]) and re.search(r"\(1\)", s[: m.start()]))
         if STOP.search(s):
