@@ -169,3 +169,64 @@ def test_one_side_only(spark):
     assert overlap.overlapping(df, {}).count() == 0
     assert overlap.overlapping(df.limit(0), {}).count() == 0
     assert overlap.overlapping(df.withColumn("eval", F.lit(True)).withColumn("train", F.lit(False)), {}).count() == 0
+
+
+def test_sketches_are_those_of_the_hashes(spark):
+    texts = ["one two three", "", None, "a", " ".join(f"w{i}" for i in range(254)), " ".join(f"w{i}" for i in range(300))]
+    rows = N.with_sets(spark.createDataFrame([("s", t) for t in texts], "scope string, text string"), "text", ["scope"]).select("__n", "__h", "__s1", "__s2").collect()
+    assert sorted(r["__n"] for r in rows) == sorted(len(words(t)) for t in texts)
+    for n, hashes, s1, s2 in rows:
+        value = min(n, 255) << 120
+        for h in hashes:
+            value ^= 1 << h % N.SKETCH_BITS
+        assert (s1 % 2**64, s2 % 2**64) == (value % 2**64, value >> 64)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_leave_out_sizes_that_rule_a_link_out(monkeypatch, same):
+    rng = np.random.default_rng(3)
+
+    def sketches(n):
+        size = np.r_[rng.integers(8, 256, n - 3), 255, 255, 8].astype(np.uint64)
+        s1 = rng.integers(0, 8, n).astype(np.int64)
+        return s1, (size << np.uint64(56) | rng.integers(0, 8, n).astype(np.uint64)).view(np.int64)
+
+    x = sketches(900)
+    y = x if same else sketches(700)
+    cells, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda a: cells.append(a.size if a.ndim == 2 else 0) or count(a))
+    got = np.concatenate([np.stack(f, 1) for f in neardup.tile(*x, *y, same, 0.7)])
+    looked_at = sum(cells) / 2  # two halves of a sketch
+    monkeypatch.undo()
+    i, j = np.triu_indices(900, 1) if same else (a.ravel() for a in np.meshgrid(np.arange(900), np.arange(700), indexing="ij"))
+    near_ = N.may_be_near(x[0][i], x[1][i], y[0][j], y[1][j], 0.7)
+    want = np.stack(neardup.ordered(x[0][i], x[1][i], y[0][j], y[1][j]), 1)[near_]
+    assert len(got) == len(want) > 0 and (got[np.lexsort(got.T)] == want[np.lexsort(want.T)]).all()
+    assert 0 < looked_at < 0.85 * len(i)
+
+
+def test_tiles_of_no_rows():
+    none = np.zeros(0, np.int64)
+    one = np.array([5]), np.array([9 << 56])
+    for x, y in (((none, none), one), (one, (none, none))):
+        assert sum(len(f[0]) for f in neardup.tile(*x, *y, False, 0.7)) == 0
+
+
+def test_words_of_a_candidate_are_found_once(spark):
+    sets = N.with_sets(spark.createDataFrame([("s", f"a b c d e f g h i j {i}") for i in range(3)], "scope string, text string"), "text", ["scope"])
+    classes = spark.createDataFrame(sets.select("__s1", "__s2", "__cid", "scope", "text").collect(), "__s1 long, __s2 long, __cid long, scope string, text string")
+    a, b, c = sorted((r["__s1"], r["__s2"]) for r in classes.collect())
+    pairs = spark.createDataFrame([(*a, *b, 5), (*a, *c, 5)], "a1 long, a2 long, b1 long, b2 long, n long")
+    found = neardup.check(pairs, classes, np.ones(N.BUCKETS, np.int64), 0.7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 2 and plan.count("split(") == 2
+
+
+def test_ranks_of_rows_of_any_length():
+    rng = np.random.default_rng(4)
+    for lengths in ([], [0], [1], [5, 1, 0, 3], [3000, 2, 1], rng.integers(0, 50, 200)):
+        lengths = np.array(lengths, np.int64)
+        row = np.repeat(np.arange(len(lengths)), np.maximum(lengths - 1, 0))
+        key = rng.integers(0, 20, len(row)).astype(np.uint64)
+        want = [p for r in range(len(lengths)) for p in np.argsort(np.argsort(key[row == r], kind="stable"), kind="stable")]
+        assert N.ranks(key, row, lengths).tolist() == want

@@ -24,11 +24,11 @@ def collapse(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Maximal runs of letters and digits after lower-casing, in order."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def word_set(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(words(c)))
+    return F.sort_array(F.array_distinct(words(c)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

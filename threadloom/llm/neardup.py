@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.functions import text as X
 from threadloom.llm import nearsets as N
@@ -43,6 +42,8 @@ STEP = 1 << 18
 HELD = 500_000
 #: Runs of more texts are compared as matrices.
 TILE = 48
+#: Rows of a matrix at most, and about how many cells it has.
+ROWS, CELLS = 128, 1 << 15
 #: A pair is frequent if both its words have more than this part of all word places (and more than BLOCK).
 FREQUENT = 1 / 400
 #: Up to so many words two near texts may have one pair in common only (T = 1).
@@ -116,25 +117,38 @@ def couples(starts: np.ndarray, sizes: np.ndarray, step: int) -> Iterator[tuple[
 def tile(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, same: bool, threshold: float) -> Iterator[list[np.ndarray]]:
     """Pairs of x and y that may be near, in steps; same: x is y, each pair once.
 
-    The first 64 bits of the sketches and the sizes are compared for whole tiles, in sixteenths of a word; only what
-    passes there is looked at in full.
+    Both sides are put in order of size, so that a row meets only those of a size that allows a link. Whole sketches are
+    compared for tiles, in whole bits with each side's share rounded up; only what passes there is looked at in full.
     """
-    share = (1 - threshold) / (1 + threshold) * 16
+    share = (1 - threshold) / (1 + threshold)
     size = lambda s2: (s2.view(np.uint64) >> np.uint64(56)).astype(np.int64)
-    room = lambda s2: np.where(size(s2) == 255, 16 * 64, np.ceil(size(s2) * share + 1e-9)).astype(np.uint16)
-    rx, ry, u, v = room(x2), room(y2), x1.view(np.uint64), y1.view(np.uint64)
-    rows = max(1, STEP // max(1, len(y1)))
-    for s in range(0, len(x1), rows):
-        from_ = s if same else 0
-        apart = np.bitwise_count(u[s : s + rows, None] ^ v[None, from_:]).astype(np.uint16) << np.uint16(4)
-        i, j = np.nonzero(apart <= rx[s : s + rows, None] + ry[None, from_:])
-        i, j = i + s, j + from_
+    by_size = lambda s1, s2: (lambda at: (s1[at], s2[at]))(np.argsort(size(s2), kind="stable"))
+    room = lambda n: np.where(n == 255, 120, np.ceil(n * share + 1e-9)).astype(np.uint8)
+    x1, x2 = by_size(x1, x2)
+    y1, y2 = (x1, x2) if same else by_size(y1, y2)
+    nx, ny = size(x2), size(y2)
+    rx, ry = room(nx), room(ny)
+    (u1, u2), (v1, v2) = ((s1.view(np.uint64), s2.view(np.uint64) << np.uint64(8)) for s1, s2 in ((x1, x2), (y1, y2)))
+    # 255 stands for any size from there on: those meet all
+    low = np.where(nx == 255, 0, np.searchsorted(ny, threshold * nx - 1e-9))
+    high = np.where(nx == 255, len(ny), np.searchsorted(ny, nx / threshold + 2e-9, side="right"))
+    long_ = int(np.searchsorted(ny, 255))
+    s = 0
+    while s < len(x1):
+        e = min(len(x1), s + max(1, min(ROWS, CELLS // max(1, int(high[s] - low[s])))))
+        from_, to = max(int(low[s:e].min()), s if same else 0), int(high[e - 1])
+        at = np.r_[from_:to, max(to, long_) : len(ny)]
+        apart = np.bitwise_count(u1[s:e, None] ^ v1[None, at])
+        apart += np.bitwise_count(u2[s:e, None] ^ v2[None, at])
+        i, j = np.divmod(np.flatnonzero(apart <= rx[s:e, None] + ry[None, at]), max(1, len(at)))
+        i, j = i + s, at[j]
         if same:
             once = j > i
             i, j = i[once], j[once]
         near = N.may_be_near(x1[i], x2[i], y1[j], y2[j], threshold)
         i, j = i[near], j[near]
         yield ordered(x1[i], x2[i], y1[j], y2[j])
+        s = e
 
 
 def ordered(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> list[np.ndarray]:
@@ -237,21 +251,21 @@ def candidates(sets: DataFrame, counts: np.ndarray, threshold: float = N.THRESHO
 
 
 def reaching(counts: Broadcast):
-    """Column function (words of a, words of b, n): whether a and b reach T occurrences, n of them found in short lists."""
+    """Over rows with the hashes ha, hb of the words of a and b, n of whose lists are met among the short ones: rows that reach T occurrences, without the hashes."""
     limit = frequent_limit(counts.value)
 
-    @F.arrow_udf(T.BooleanType())
-    def reaches(ha: pa.Array, hb: pa.Array, n: pa.Array) -> pa.Array:
-        (va, la), (vb, lb) = N.flat(ha), N.flat(hb)
-        a, b = N.word_pairs(va, la, counts.value), N.word_pairs(vb, lb, counts.value)
-        (_, frequent, last_a), (_, _, last_b) = looked_up(a, la, limit), looked_up(b, lb, limit)
-        aside = np.flatnonzero((a[3] > np.minimum(last_a, last_b)[a[1]]) | frequent)
-        lists = b[0][np.lexsort((b[0].view(np.uint64), b[1]))]
-        found = N.probe(lists, np.maximum(lb - 1, 0), a[0][aside], a[1][aside])
-        total = n.to_numpy() + np.bincount(a[1][aside], weights=found, minlength=len(la))
-        return pa.array(total >= N.least_common(np.maximum(la, lb)))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            (va, la), (vb, lb) = N.flat(batch.column("ha")), N.flat(batch.column("hb"))
+            a, b = N.word_pairs(va, la, counts.value), N.word_pairs(vb, lb, counts.value)
+            (_, frequent, last_a), (_, _, last_b) = looked_up(a, la, limit), looked_up(b, lb, limit)
+            aside = np.flatnonzero((a[3] > np.minimum(last_a, last_b)[a[1]]) | frequent)
+            lists = b[0][np.lexsort((b[0].view(np.uint64), b[1]))]
+            found = N.probe(lists, np.maximum(lb - 1, 0), a[0][aside], a[1][aside])
+            total = batch.column("n").to_numpy() + np.bincount(a[1][aside], weights=found, minlength=len(la))
+            yield batch.drop_columns(["ha", "hb", "n"]).filter(pa.array(total >= N.least_common(np.maximum(la, lb))))
 
-    return reaches
+    return run
 
 
 def check(pairs: DataFrame, classes: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
@@ -265,13 +279,14 @@ def check(pairs: DataFrame, classes: DataFrame, counts: np.ndarray, threshold: f
     twins = twins.select(F.col("__s1").alias("a1"), F.col("__s2").alias("a2"), F.col("__s1").alias("b1"), F.col("__s2").alias("b2"), F.lit(1 << 20).cast("long").alias("n"))
     pairs = pairs.where("not (a1 = b1 and a2 = b2)").union(twins)
     both = pairs.join(side("a"), ["a1", "a2"]).repartition("b1", "b2").join(side("b"), ["b1", "b2"]).where("scope_a = scope_b and (not (a1 = b1 and a2 = b2) or a < b)")
-    both = both.withColumns({"wa": X.word_set(F.col("ta")), "wb": X.word_set(F.col("tb"))})
-    hashes = lambda s: N.word_hashes(F.col(f"w{s}"), [F.col(f"scope_{s}")])
-    reaches = reaching(pairs.sparkSession.sparkContext.broadcast(counts))
-    both = both.withColumns({"ha": hashes("a"), "hb": hashes("b")}).where(reaches("ha", "hb", "n"))
-    both = both.withColumn("common", F.size(F.array_intersect("wa", "wb")))
+    both = both.select("a1", "a2", "a", "b1", "b2", "b", "n", "scope_a", X.word_set(F.col("ta")).alias("wa"), X.word_set(F.col("tb")).alias("wb"))
+    hashes = lambda s: N.word_hashes(F.col(f"w{s}"), [F.col("scope_a")]).alias(f"h{s}")
+    both = both.select("a1", "a2", "a", "b1", "b2", "b", "n", "wa", "wb", hashes("a"), hashes("b"))
+    # a step of its own: as a filter, the words of each text would be found anew for every use of them
+    both = both.mapInArrow(reaching(pairs.sparkSession.sparkContext.broadcast(counts)), "a1 long, a2 long, a long, b1 long, b2 long, b long, wa array<string>, wb array<string>")
     top, low = round(threshold * 1000), 1000
-    return both.where(F.col("common") * low >= top * (F.size("wa") + F.size("wb") - F.col("common"))).select("a1", "a2", "a", "b1", "b2", "b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    return both.where(common * (low + top) >= top * (F.size("wa") + F.size("wb"))).select("a1", "a2", "a", "b1", "b2", "b")
 
 
 def near_classes(items: DataFrame, min_words: int = 8, threshold: float = N.THRESHOLD) -> tuple[DataFrame, DataFrame]:

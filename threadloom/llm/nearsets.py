@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions import text as X
 
@@ -33,13 +34,17 @@ THRESHOLD = 0.7
 SKETCH_BITS = 120
 
 
-def _sketch(hashes: Column, low: int, high: int, start: Column) -> Column:
-    """Parities of the bits low..high - 1 of the sketch."""
-    def step(acc: Column, h: Column) -> Column:
-        bit = F.pmod(h, F.lit(SKETCH_BITS)).cast("int")
-        return F.when((bit >= low) & (bit < high), acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit - low))).otherwise(acc)
-
-    return F.aggregate(hashes, start, step)
+@F.arrow_udf(T.StructType([T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]))
+def _sketch(hashes: pa.Array) -> pa.Array:
+    """Parities of the bits of the sketch, the size of the set in the top byte of s2."""
+    values, lengths = flat(hashes)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    number = np.bincount(row * SKETCH_BITS + values % SKETCH_BITS, minlength=len(lengths) * SKETCH_BITS).reshape(-1, SKETCH_BITS)
+    bits = np.zeros((len(lengths), 128), np.uint8)
+    bits[:, :SKETCH_BITS] = number & 1
+    s = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    s2 = s[:, 1] | np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+    return pa.StructArray.from_arrays([pa.array(s[:, 0].view(np.int64)), pa.array(s2.view(np.int64))], names=["s1", "s2"])
 
 
 def word_hashes(words: Column, scopes: list[Column]) -> Column:
@@ -52,8 +57,7 @@ def with_sets(df: DataFrame, text: str, scope: list[str]) -> DataFrame:
     df = df.withColumn("__set", X.word_set(F.coalesce(F.col(text), F.lit(""))))
     scopes = [F.col(c).cast("string") for c in scope]
     df = df.withColumns({"__n": F.size("__set"), "__h": word_hashes(F.col("__set"), scopes), "__cid": F.xxhash64(*scopes, F.concat_ws(" ", "__set"))}).drop("__set")
-    size = F.call_function("shiftleft", F.least("__n", F.lit(255)).cast("long"), F.lit(56))
-    return df.withColumns({"__s1": _sketch(F.col("__h"), 0, 64, F.lit(0).cast("long")), "__s2": _sketch(F.col("__h"), 64, SKETCH_BITS, size)})
+    return df.withColumn("__s", _sketch("__h")).withColumns({"__s1": F.col("__s.s1"), "__s2": F.col("__s.s2")}).drop("__s")
 
 
 def histogram(df: DataFrame) -> np.ndarray:
@@ -102,10 +106,16 @@ def word_pairs(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> t
 
 def ranks(key: np.ndarray, row: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places of the pairs of each row in the global order, from 0."""
-    order = np.lexsort((key, row))
     pairs = np.maximum(lengths - 1, 0)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order)) - np.repeat(starts(pairs), pairs)
+    place, most = np.arange(len(row)) - np.repeat(starts(pairs), pairs), int(pairs.max(initial=0))
+    if most * len(pairs) <= 4 * len(row):  # rows of about one length are sorted as a matrix; what fills it up comes last
+        table = np.full((len(pairs), most), np.iinfo(np.uint64).max)
+        table[row, place] = key
+        at = np.empty(table.shape, np.int64)
+        np.put_along_axis(at, np.argsort(table, axis=1, kind="stable"), np.arange(most)[None], axis=1)
+        return at[row, place]
+    out = np.empty(len(row), np.int64)
+    out[np.lexsort((key, row))] = place
     return out
 
 
